@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orderlens.config import DEFAULT, Params
 from orderlens.operators.model import Model
-from orderlens.plans import incomplete, model_tables
+from orderlens.plans import campaign, incomplete, model_tables, payment, sku_report
 
-_MODULES = [model_tables, incomplete]
+_MODULES = [model_tables, incomplete, campaign, payment, sku_report]
 
 QUERY_KEYS: dict[str, Callable[[Model], DataFrame]] = {}
 
