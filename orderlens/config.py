@@ -69,6 +69,8 @@ class Params:
     reason_slow: str = "too_slow"
     reason_duplicate: str = "duplicate"
     reason_unpaid: str = "unpaid"
+    # product key of the cohort and RFM analyses
+    product_key: str = "part_id"
     # the pay method value meaning cash on delivery
     cod_value: str = "COD"
     # carrier spelling fixes: lower(trim(value)) -> canonical

@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orderlens.config import DEFAULT, Params
 from orderlens.operators.model import Model
-from orderlens.plans import campaign, incomplete, model_tables, payment, sku_report
+from orderlens.plans import (
+    campaign, cohort, dashboard, incomplete, ingest, model_tables, payment, rfm, seasonality, sku_report,
+)
 
-_MODULES = [model_tables, incomplete, campaign, payment, sku_report]
+_MODULES = [ingest, model_tables, sku_report, incomplete, campaign, payment, seasonality, cohort, rfm, dashboard]
 
 QUERY_KEYS: dict[str, Callable[[Model], DataFrame]] = {}
 

@@ -31,6 +31,12 @@ SKU_SUFFIXES = ("-FS", "FS2", "-SL", "-1sticker", " - fs3")
 FAIL_REASONS = ("too_slow", "duplicate", "unpaid", None)
 # codes without a known cost
 BRANDS_WITHOUT_COST = ("Brand#3", "Brand#7")
+# columns of the labelled raw union once the personal columns are dropped
+RAW_COLUMNS = (
+    "order_number", "line_number", "seller_sku", "item_name", "status_raw", "pay_method", "carrier",
+    "carrier_type", "fail_reason", "unit_price_raw", "seller_discount_raw", "platform_discount_raw",
+    "shipping_fee", "paid_price", "created_raw", "warehouse", "shop",
+)
 # ---------------------------------------------------------------------------
 
 
