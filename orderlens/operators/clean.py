@@ -7,7 +7,7 @@ every later query.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.config import COMPLETED_STATUSES, DEFAULT, Params
@@ -80,16 +80,15 @@ def parse_failure_counts(df: DataFrame) -> DataFrame:
     return one.selectExpr(f"stack({len(DATE_COLUMNS)}, {pairs}) AS (column_name, n_fail)")
 
 
-def value_counts(df: DataFrame, col: str) -> DataFrame:
+def value_counts(df: DataFrame, col: str, extra=()) -> DataFrame:
     """CL8: (value, n, pct) over non-null values; the percentage is of *all*
-    rows (the denominator includes nulls). The total is a scalar subquery."""
-    total = df.select(F.count(F.lit(1))).scalar()
-    return (
-        df.where(F.col(col).isNotNull())
-        .groupBy(col)
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .withColumn("pct", F.lit(100.0) * F.col("n_rows") / total)
-    )
+    rows (the denominator includes nulls). One aggregate by value (null is a
+    group), then the total as a window over those few categorical rows - no
+    second pass over the data."""
+    agg = df.groupBy(col).agg(F.count(F.lit(1)).alias("n_rows"), *extra)
+    return agg.withColumn(
+        "pct", F.lit(100.0) * F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy())
+    ).where(F.col(col).isNotNull())
 
 
 def case_variants(df: DataFrame, col: str) -> DataFrame:

@@ -66,27 +66,37 @@ def fact_order_item(parsed: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
+_SUMMED = ("unit_price", "paid_price", "shipping_fee", "seller_discount", "platform_discount")
+
+
 def dim_order(parsed: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """SM2 + SM3: one row per (order_number, shop).
 
     ``max(pay_method)`` is the deterministic, null-skipping pick of the order's
-    pay method (it is single-valued per order). The aggregate is two-phase:
-    partial sums per task before the shuffle, so a huge order costs no more
-    than a small one.
+    pay method. A string in an aggregation buffer forces Spark's sort-based
+    aggregate (every line sorted twice), so the aggregate runs in two levels:
+    all numeric measures by (order, shop, pay_method) as a hash aggregate with
+    map-side partial sums, then the string max over the already-collapsed rows
+    (about one per order). Both levels are satisfied by a hash partitioning on
+    the order number, so when the lines arrive partitioned by order (a shuffle
+    join with ``orders``) neither level adds an exchange.
     """
-    n = F.count(F.lit(1))
-    return parsed.groupBy(*ORDER_KEY).agg(
+    lvl1 = parsed.groupBy(*ORDER_KEY, "pay_method").agg(
+        F.min("created_at").alias("created_at"),
+        F.count(F.lit(1)).alias("n_items"),
+        F.sum(F.col("is_completed").cast("bigint")).alias("n_items_completed"),
+        F.bool_and("is_completed").alias("is_completed"),
+        *[F.sum(c).alias(f"total_{c}") for c in _SUMMED],
+    )
+    n = F.sum("n_items")
+    return lvl1.groupBy(*ORDER_KEY).agg(
         F.max("pay_method").alias("pay_method"),
         F.min("created_at").alias("created_at"),
         F.to_date(F.min("created_at")).alias("order_date"),
         n.alias("n_items"),
-        F.sum(F.col("is_completed").cast("bigint")).alias("n_items_completed"),
+        F.sum("n_items_completed").alias("n_items_completed"),
         F.bool_and("is_completed").alias("is_completed"),
-        F.sum("unit_price").alias("total_unit_price"),
-        F.sum("paid_price").alias("total_paid_price"),
-        F.sum("shipping_fee").alias("total_shipping_fee"),
-        F.sum("seller_discount").alias("total_seller_discount"),
-        F.sum("platform_discount").alias("total_platform_discount"),
+        *[F.sum(f"total_{c}").alias(f"total_{c}") for c in _SUMMED],
         (n >= params.bulk_threshold).alias("is_bulk"),
     )
 

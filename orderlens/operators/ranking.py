@@ -3,17 +3,21 @@
 ``row_number().over(Window.orderBy(...))`` without ``partitionBy`` moves every
 row into one task. Instead:
 
-1. sort globally (range exchange; keys must be unique, so ties are broken by
-   a key column and no value can pile up in one range partition), tag each row
-   with ``monotonically_increasing_id`` (partition index in the high bits,
+1. sort globally (range exchange; the order must be total, so ties are broken
+   by a key column and no value can pile up in one range partition), tag each
+   row with ``monotonically_increasing_id`` (partition index in the high bits,
    position inside the partition in the low 33 bits) and checkpoint the result
-   to the shared checkpoint folder, so later passes see the same partitions;
+   to the shared checkpoint folder, so later passes see the same partitions
+   even if an executor is lost in between;
 2. per-partition row counts and value sums: one row per partition;
-3. exclusive prefix sums over those few rows (a one-task window over the
-   number of partitions, a bound that does not grow with the data), broadcast
-   back;
+3. exclusive prefix sums and grand totals over those few rows (a window over
+   the number of partitions, a bound that does not grow with the data),
+   broadcast back;
 4. rank = partition offset + position + 1; running sum = partition offset +
    running sum inside the partition.
+
+The grand totals come out of step 3 for free, so callers never need a second
+pass over the input to normalise by the total.
 """
 
 from __future__ import annotations
@@ -31,47 +35,56 @@ _LOW_BITS = (1 << 33) - 1
 def _sorted_positions(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     s = df.orderBy(*order).withColumn("_gr_pos", F.monotonically_increasing_id())
-    return s.checkpoint(eager=True)
+    s = s.checkpoint(eager=True)
+    return s.withColumn("_gr_pid", F.shiftright(F.col("_gr_pos"), 33))
+
 
+def _offsets(s: DataFrame, values: dict[str, str]) -> DataFrame:
+    totals = s.groupBy("_gr_pid").agg(
+        F.count(F.lit(1)).alias("_gr_n"), *[F.sum(v).alias(f"_gr_t_{o}") for o, v in values.items()]
+    )
+    prev = Window.orderBy("_gr_pid").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy()
+    cols = [F.coalesce(F.sum("_gr_n").over(prev), F.lit(0)).alias("_gr_off"),
+            F.sum("_gr_n").over(whole).alias("_gr_total_n")]
+    for o in values:
+        cols += [F.coalesce(F.sum(f"_gr_t_{o}").over(prev), F.lit(0)).alias(f"_gr_o_{o}"),
+                 F.sum(f"_gr_t_{o}").over(whole).alias(f"_gr_total_{o}")]
+    return totals.select("_gr_pid", *cols)
 
-def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank") -> DataFrame:
-    """Add a 1-based rank in ``order`` (which must be a total order)."""
+
+def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
+                total_col: str | None = None) -> DataFrame:
+    """Add a 1-based rank in ``order`` (which must be a total order) and,
+    optionally, the total row count."""
     s = _sorted_positions(df, order)
-    pid = F.shiftright(F.col("_gr_pos"), 33)
-    counts = s.groupBy(pid.alias("_gr_pid")).agg(F.count(F.lit(1)).alias("_gr_n"))
-    w = Window.orderBy("_gr_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_gr_pid", F.coalesce(F.sum("_gr_n").over(w), F.lit(0)).alias("_gr_off"))
-    out = s.join(F.broadcast(offsets), pid == F.col("_gr_pid"), "inner")
-    return out.withColumn(
-        rank_col, F.col("_gr_off") + F.col("_gr_pos").bitwiseAND(F.lit(_LOW_BITS)) + 1
-    ).drop("_gr_pos", "_gr_pid", "_gr_off")
+    out = s.join(F.broadcast(_offsets(s, {})), "_gr_pid", "inner").withColumn(
+        rank_col, F.col("_gr_off") + F.col("_gr_pos").bitwiseAND(F.lit(_LOW_BITS)) + 1)
+    if total_col:
+        out = out.withColumn(total_col, F.col("_gr_total_n"))
+    return out.drop("_gr_pos", "_gr_pid", "_gr_off", "_gr_total_n")
 
 
 def global_running_sum(
-    df: DataFrame, order: Sequence[Column], values: dict[str, str], rank_col: str | None = None
+    df: DataFrame, order: Sequence[Column], values: dict[str, str], rank_col: str | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums ``{out_col: value_col}`` in ``order``
-    (a total order), and optionally the rank."""
+    """Add inclusive running sums ``{out_col: value_col}`` in ``order`` (a
+    total order); optionally the rank and grand totals ``{total_col: out_col}``."""
     s = _sorted_positions(df, order)
-    pid = F.shiftright(F.col("_gr_pos"), 33)
-    s = s.withColumn("_gr_pid", pid)
-    aggs = [F.count(F.lit(1)).alias("_gr_n")] + [F.sum(v).alias(f"_gr_t_{o}") for o, v in values.items()]
-    totals = s.groupBy("_gr_pid").agg(*aggs)
-    w_prev = Window.orderBy("_gr_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_gr_pid",
-        F.coalesce(F.sum("_gr_n").over(w_prev), F.lit(0)).alias("_gr_off"),
-        *[F.coalesce(F.sum(f"_gr_t_{o}").over(w_prev), F.lit(0)).alias(f"_gr_o_{o}") for o in values],
-    )
+    out = s.join(F.broadcast(_offsets(s, values)), "_gr_pid", "inner")
     # inside one range partition: a window over that partition only (its size
     # is bounded by the range exchange, not by the data as a whole)
     w_in = Window.partitionBy("_gr_pid").orderBy("_gr_pos").rowsBetween(Window.unboundedPreceding, 0)
-    out = s.join(F.broadcast(offsets), "_gr_pid", "inner")
     for o, v in values.items():
         out = out.withColumn(o, F.col(f"_gr_o_{o}") + F.sum(v).over(w_in))
     if rank_col:
         out = out.withColumn(rank_col, F.col("_gr_off") + F.col("_gr_pos").bitwiseAND(F.lit(_LOW_BITS)) + 1)
-    return out.drop("_gr_pos", "_gr_pid", "_gr_off", *[f"_gr_o_{o}" for o in values])
+    for t, o in (totals or {}).items():
+        out = out.withColumn(t, F.col(f"_gr_total_{o}"))
+    drop = ["_gr_pos", "_gr_pid", "_gr_off", "_gr_total_n"]
+    drop += [f"_gr_o_{o}" for o in values] + [f"_gr_total_{o}" for o in values]
+    return out.drop(*drop)
 
 
 def quintile_from_rank(rank: Column, n: Column, bins: int = 5) -> Column:

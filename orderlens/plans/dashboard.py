@@ -58,19 +58,18 @@ def revenue_bridge(m: Model) -> DataFrame:
 
 def pareto_revenue(m: Model) -> DataFrame:
     """DB3 + SK10: products by completed revenue (net of seller discount),
-    rank, share and cumulative share; ties by product code. The running sum is
-    distributed (``ranking``), the total a scalar subquery."""
+    rank, share and cumulative share; ties by product code. The running sum and
+    the total come from one distributed pass (``ranking``)."""
     rev = (
         m.fact_customer.where(F.col("is_completed"))
         .groupBy("product_code").agg(F.sum(_seller_net()).alias("revenue"))
     )
-    total = rev.select(F.sum("revenue")).scalar()
     run = global_running_sum(rev, [F.desc("revenue"), F.asc_nulls_first("product_code")],
-                             {"cum_revenue": "revenue"}, rank_col="rank")
+                             {"cum_revenue": "revenue"}, rank_col="rank", totals={"total": "cum_revenue"})
     return run.select(
         "product_code", "revenue", "rank",
-        (F.lit(100.0) * F.col("revenue") / total).alias("pct"),
-        (F.lit(100.0) * F.col("cum_revenue") / total).alias("cum_pct"),
+        (F.lit(100.0) * F.col("revenue") / F.col("total")).alias("pct"),
+        (F.lit(100.0) * F.col("cum_revenue") / F.col("total")).alias("cum_pct"),
     )
 
 

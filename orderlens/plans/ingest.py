@@ -67,9 +67,7 @@ def clean_money(m: Model) -> DataFrame:
 
 def status_distribution(m: Model) -> DataFrame:
     """CL7 + CL8: status value counts with percent of all rows."""
-    c = _clean(m)
-    return cl.value_counts(c, "status").join(
-        c.groupBy("status").agg(F.bool_or("is_completed").alias("is_completed")), "status", "left")
+    return cl.value_counts(_clean(m), "status", [F.bool_or("is_completed").alias("is_completed")])
 
 
 def row_incomplete_rate(m: Model) -> DataFrame:

@@ -3,7 +3,7 @@ over completed customer lines, quintile scores and segments."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.config import RFM_SEGMENTS
@@ -19,7 +19,10 @@ def _base(m: Model) -> DataFrame:
         F.count(F.lit(1)).alias("frequency"),
         F.sum(F.col("unit_price") - F.col("seller_discount")).alias("monetary"),
     )
-    # snapshot = last sale date overall: a scalar subquery over the per-product rows
+    # the per-product rows are written once to the checkpoint folder; the
+    # snapshot (last sale overall) is then a cheap scalar subquery over them
+    # instead of a second pass over the fact
+    per = per.checkpoint(eager=True)
     snapshot = per.select(F.max("last_sale")).scalar()
     return per.withColumn("recency_days", F.datediff(snapshot, F.col("last_sale")))
 
@@ -55,12 +58,11 @@ def rfm_scores(m: Model) -> DataFrame:
     """RF3 + RF4: quintile scores on first-come ranks (ties broken by the
     product key), recency reversed; total score and segment.
 
-    Each rank is a distributed global sort (see ``ranking``); n is a scalar
-    subquery."""
+    Each rank is a distributed global sort (see ``ranking``); n comes with
+    the first rank."""
     k = m.params.product_key
-    base = _base(m)
-    n = base.select(F.count(F.lit(1))).scalar()
-    r = global_rank(base, [F.col("recency_days"), F.col(k)], "rank_r")
+    r = global_rank(_base(m), [F.col("recency_days"), F.col(k)], "rank_r", total_col="n")
+    n = F.col("n")
     r = global_rank(r, [F.col("frequency"), F.col(k)], "rank_f")
     r = global_rank(r, [F.col("monetary"), F.col(k)], "rank_m")
     scored = r.select(
@@ -88,6 +90,6 @@ def rfm_segment_summary(m: Model) -> DataFrame:
         F.count(F.lit(1)).alias("n_products"), F.sum("monetary").alias("revenue"))
     order = m.spark.createDataFrame([(name, i + 1) for i, (name, _) in enumerate(RFM_SEGMENTS)],
                                     "segment string, segment_order int")
-    total = agg.select(F.sum("revenue")).scalar()
+    # the share's denominator: a window over the (at most four) segment rows
     return order.join(agg, "segment", "left").withColumn(
-        "revenue_pct", F.lit(100.0) * F.col("revenue") / total)
+        "revenue_pct", F.lit(100.0) * F.col("revenue") / F.sum("revenue").over(Window.partitionBy()))

@@ -16,6 +16,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # lines partitioned by order number (the shuffle join with orders at
+    # scale) may feed joins on (order_number, shop) without a re-shuffle
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
