@@ -7,10 +7,14 @@ expression, so the same rows come out of the DuckDB oracle (see
 ``orderlens.plans.oracle``).
 
 Join order matters for the physical plan: ``lineitem`` is joined to ``part``
-first and to ``orders`` last, so when the orders join is a shuffle join the
-output is hash-partitioned by the order key and the (order, shop) aggregate of
-the model needs no second exchange. Which join is broadcast is left to Spark's
-size estimate and AQE's runtime statistics (a measured size, never assumed).
+first (Spark's size-based choice: broadcast while ``part`` is small) and to
+``orders`` last, as a sort-merge join. ``orders`` has about a quarter of the
+line count, so it is never a broadcast candidate at scale; the shuffle join
+leaves the lines hash-partitioned by order key, and every later (order, shop)
+aggregate, the customer-order semi-join and the order-level join-backs reuse
+that partitioning instead of shuffling the lines again. (Measured at sf0.1 on
+local[8]: the order dimension 0.96 s with the merge join vs 2.3 s when Spark
+broadcast the 150k-row orders table.)
 """
 
 from __future__ import annotations
@@ -67,7 +71,7 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean order-item lines (the input of SKU parsing and the model)."""
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     x = _lines(spark, sf_dir)
-    x = x.join(orders, x.l_orderkey == orders.o_orderkey, "inner")
+    x = x.join(orders.hint("merge"), x.l_orderkey == orders.o_orderkey, "inner")
 
     ln = F.col("l_linenumber")
     suffix = F.coalesce(_pick(ln - 1, SKU_SUFFIXES), F.lit(""))
@@ -136,7 +140,7 @@ def raw_order_sources(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataF
         F.col("c_mktsegment").alias("customer_segment"),
     )
     k = F.col("order_number")
-    raw = items.join(people, "order_number", "left").select(
+    raw = items.join(people.hint("merge"), "order_number", "left").select(
         "order_number", "line_number", "shop", "seller_sku", "item_name",
         F.when(k % 101 == 0, F.lit(None).cast("string")).otherwise(F.col("status")).alias("status_raw"),
         "pay_method", "carrier", "carrier_type", "fail_reason",
