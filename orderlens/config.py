@@ -89,6 +89,8 @@ class Params:
     rank_buckets: int = 0
     # codes tables up to this many rows are broadcast for the prefix match
     max_broadcast_codes: int = 200_000
+    # product lookup tables (cost per code) up to this many rows are broadcast
+    max_broadcast_products: int = 2_000_000
 
 
 DEFAULT = Params()

@@ -20,6 +20,7 @@ from orderlens.config import DEFAULT, Params
 from orderlens.functions.calendar import weekday0, year_month
 from orderlens.functions.sku import campaign_flag, has_gift, promo_label
 from orderlens.operators.clean import completed_flag, normalise_category
+from orderlens.operators.joins import checked_broadcast
 from orderlens.operators.prefix_match import with_product_code
 from orderlens.sources import adapter
 
@@ -177,6 +178,12 @@ class Model:
     def cost(self) -> DataFrame:
         return adapter.cost_table(self.spark, self.sf_dir)
 
+    @cached_property
+    def cost_lookup(self) -> tuple[DataFrame, bool]:
+        """Codes with a known cost, broadcast when the count check allows."""
+        known = self.cost.where(F.col("cost").isNotNull()).select("product_code", "cost")
+        return checked_broadcast(known, self.params.max_broadcast_products)
+
     @cached_property
     def cleaned(self) -> DataFrame:
         return with_completed(self.items)

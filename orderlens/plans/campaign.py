@@ -21,9 +21,11 @@ def _item_margin(m: Model) -> DataFrame:
     The reference joins ``dim_product`` (distinct codes left-joined to the
     cost table) and keeps rows with a cost; since the cost table has one row
     per code, that is exactly an inner join with the cost rows that have a
-    cost, without the extra pass that lists the distinct codes.
+    cost, without the extra pass that lists the distinct codes. The cost
+    table is broadcast behind a row-count check, so a product holding a third
+    of the lines never becomes one hot join partition.
     """
-    cost = m.cost.where(F.col("cost").isNotNull()).select("product_code", "cost")
+    cost, _ = m.cost_lookup
     return (
         m.fact_customer.join(cost, "product_code", "inner")
         .withColumn("sale_group", F.when(F.col("campaign_flag").isNotNull(), CAMPAIGN).otherwise(NORMAL))
@@ -41,12 +43,20 @@ def _eligible(im: DataFrame, min_n: int) -> DataFrame:
     )
 
 
+def _eligible_lines(m: Model, im: DataFrame) -> DataFrame:
+    """Lines of eligible products. The eligible list is aggregated (one row per
+    code) and is a subset of the cost table, so when the cost table passed its
+    broadcast check the list is broadcast too (its size bound is proven); a
+    product holding most rows is then never a hot join partition."""
+    eligible = _eligible(im, m.params.min_sample)
+    _, small = m.cost_lookup
+    return im.join(F.broadcast(eligible) if small else eligible, "product_code", "left_semi")
+
+
 def _sample(m: Model) -> DataFrame:
     """Eligible lines with the margin realised per initiated line (0 if not
-    completed). The eligible-code list is aggregated (one row per code) and
-    semi-joined, so a product holding most rows is never sorted in one task."""
-    im = _item_margin(m)
-    return im.join(_eligible(im, m.params.min_sample), "product_code", "left_semi").withColumn(
+    completed)."""
+    return _eligible_lines(m, _item_margin(m)).withColumn(
         "margin_initiated", F.when(F.col("is_completed"), F.col("margin")).otherwise(F.lit(0))
     )
 
@@ -74,9 +84,8 @@ def eligible_products(m: Model) -> DataFrame:
 
 def campaign_margin_by_product(m: Model) -> DataFrame:
     """A2c."""
-    im = _item_margin(m)
     return (
-        im.join(_eligible(im, m.params.min_sample), "product_code", "left_semi")
+        _eligible_lines(m, _item_margin(m))
         .groupBy("product_code", "sale_group")
         .agg(
             F.count(F.lit(1)).alias("n_lines"),
@@ -107,9 +116,8 @@ def campaign_margin_one_product(m: Model) -> DataFrame:
 
 def campaign_margin_pooled(m: Model) -> DataFrame:
     """A2e: pooled over the eligible products."""
-    im = _item_margin(m)
     return (
-        im.join(_eligible(im, m.params.min_sample), "product_code", "left_semi")
+        _eligible_lines(m, _item_margin(m))
         .groupBy("sale_group")
         .agg(
             F.count(F.lit(1)).alias("n_lines"),

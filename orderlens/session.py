@@ -15,6 +15,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot join key (e.g. one order with a third of the lines) even
+    # when that costs an extra exchange before the next aggregate
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     # lines partitioned by order number (the shuffle join with orders at
     # scale) may feed joins on (order_number, shop) without a re-shuffle
