@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from orderlens.config import ALPHA, EFFECT_SIZE_LABELS
 from orderlens.functions.stats import normal_two_sided_p, normal_upper_tail
 from orderlens.operators.model import Model
-from orderlens.operators.ranking import global_running_sum
+from orderlens.operators.ranking import exact_quantiles, global_running_sum
 
 CAMPAIGN, NORMAL = "campaign", "normal"
 
@@ -141,15 +141,20 @@ def campaign_summary(m: Model) -> DataFrame:
     done = F.col("is_completed")
     depth = F.try_divide(F.col("seller_discount") + F.col("platform_discount"), F.col("unit_price"))
     realised = F.col("unit_price") - F.col("seller_discount") - F.col("platform_discount")
-    return _sample(m).groupBy("sale_group").agg(
+    sample = _sample(m)
+    agg = sample.groupBy("sale_group").agg(
         F.count(F.lit(1)).alias("n_lines"),
         (F.lit(100.0) * F.avg((~done).cast("int"))).alias("cancel_pct"),
         F.avg(F.when(done, realised)).alias("realised_price_completed"),
         F.round(F.lit(100.0) * F.avg(depth), 9).alias("discount_depth_pct"),
         F.avg(F.when(done, F.col("margin"))).alias("mean_margin_completed"),
         F.avg("margin_initiated").alias("mean_margin_initiated"),
-        F.median("margin_initiated").alias("median_margin_initiated"),
     )
+    # money values have no bounded domain: the median is the distributed
+    # exact quantile, not a per-group value map merged in one task
+    med = exact_quantiles(sample, "margin_initiated", [0.5], ["sale_group"]).withColumnRenamed(
+        "q_0.5", "median_margin_initiated")
+    return agg.join(med, "sale_group", "left")
 
 
 def _decision(p: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orderlens.config import RFM_SEGMENTS
 from orderlens.operators.model import Model
-from orderlens.operators.ranking import global_rank, quintile_from_rank
+from orderlens.operators.ranking import exact_quantiles, global_rank, quintile_from_rank
 
 
 def _base(m: Model) -> DataFrame:
@@ -34,26 +34,38 @@ def rfm_base(m: Model) -> DataFrame:
 
 def rfm_describe(m: Model) -> DataFrame:
     """RF2: count, mean, std, min, quartiles (linear interpolation), max of the
-    three measures. Quartiles are exact (value-count maps merged per column);
-    the sample standard deviation depends on summation order and is rounded."""
+    three measures. The quartiles are exact and distributed (``ranking.
+    exact_quantiles``: no column's values are gathered in one task); the
+    sample standard deviation depends on summation order and is rounded."""
     cols = ["recency_days", "frequency", "monetary"]
     stats = [
         ("count", lambda c: F.count(c).cast("double")),
         ("mean", lambda c: F.avg(c)),
         ("std", lambda c: F.round(F.stddev_samp(c), 6)),
         ("min", lambda c: F.min(c).cast("double")),
-        ("25%", lambda c: F.percentile(c, 0.25)),
-        ("50%", lambda c: F.percentile(c, 0.5)),
-        ("75%", lambda c: F.percentile(c, 0.75)),
         ("max", lambda c: F.max(c).cast("double")),
     ]
-    one = _base(m).agg(*[fn(F.col(c)).alias(f"{s}__{c}") for s, fn in stats for c in cols])
+    base = _base(m)
+    one = base.agg(*[fn(F.col(c)).alias(f"{s}__{c}") for s, fn in stats for c in cols])
+    probs = [0.25, 0.5, 0.75]
+    for c in cols:
+        q = exact_quantiles(base, c, probs, prefix=c)
+        one = _attach(one, q)
+    names = [s for s, _ in stats[:4]] + ["25%", "50%", "75%", "max"]
+    src = {s: (lambda c, s=s: f"`{s}__{c}`") for s, _ in stats}
+    src.update({lab: (lambda c, p=p: f"`{c}_{p}`") for lab, p in zip(["25%", "50%", "75%"], probs)})
     rows = F.array(*[
-        F.struct(F.lit(s).alias("stat"), *[F.col(f"`{s}__{c}`").alias(c) for c in cols]) for s, _ in stats
+        F.struct(F.lit(s).alias("stat"), *[F.col(src[s](c)).alias(c) for c in cols]) for s in names
     ])
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def _attach(one: DataFrame, q: DataFrame) -> DataFrame:
+    """Put the columns of two one-row frames side by side (equi-join on a
+    constant key of two single rows)."""
+    return one.withColumn("_k", F.lit(0)).join(q.withColumn("_k", F.lit(0)), "_k").drop("_k")
+
+
 def rfm_scores(m: Model) -> DataFrame:
     """RF3 + RF4: quintile scores on first-come ranks (ties broken by the
     product key), recency reversed; total score and segment.

@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlens.session import scratch_path
+from orderlens.sources.schemas import SCHEMAS
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """IO3: one Parquet table of a data folder."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """IO3: one Parquet table of a data folder, with its declared schema when
+    known (no footer read on the driver to infer it)."""
+    reader = spark.read
+    if name in SCHEMAS:
+        reader = reader.schema(SCHEMAS[name])
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def ingest_labelled(sources: Iterable[tuple[str, DataFrame]], label_col: str = "shop") -> DataFrame:

@@ -38,3 +38,24 @@ def test_global_running_sum_matches_prefix_sums(spark):
         acc += w
         want[k] = (i + 1, acc)
     assert {r.k: (r.rank, r.cw) for r in out} == want
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+
+    from orderlens.operators.ranking import exact_quantiles
+
+    rnd = random.Random(3)
+    rows = []
+    for g, n in (("a", 1000), ("b", 7), ("c", 1), (None, 5)):
+        for i in range(n):
+            rows.append((g, 0 if i % 3 == 0 else rnd.randint(-50, 5000)))
+    df = spark.createDataFrame(rows, "g string, v long").repartition(5)
+    probs = [0.25, 0.5, 0.75]
+    got = {r.g: [r[f"q_{p}"] for p in probs] for r in exact_quantiles(df, "v", probs, ["g"]).collect()}
+    for g in ("a", "b", "c", None):
+        vals = np.array([v for gg, v in rows if gg == g], dtype=float)
+        want = [float(np.percentile(vals, p * 100, method="linear")) for p in probs]
+        assert got[g] == want, g
+    whole = exact_quantiles(df, "v", [0.5]).first()["q_0.5"]
+    assert whole == float(np.median([v for _, v in rows]))
