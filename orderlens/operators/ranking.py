@@ -98,47 +98,52 @@ def quintile_from_rank(rank: Column, n: Column, bins: int = 5) -> Column:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_cols: Sequence[str] = (),
-                    prefix: str = "q") -> DataFrame:
+                    prefix: str = "q", weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (the ``quantile_cont`` /
     ``percentile`` definition) per group, without holding any group's values
     in one task.
 
     Rows collapse to (group, value, count) with a two-phase aggregate; a
     distributed running sum of the counts over (group, value) gives every
-    distinct value its position range; per group, the positions
-    floor/ceil(p (n - 1)) are looked up with an equi-join on the group and a
-    range filter, and interpolated: lo + (hi - lo) * frac. Returns one row per
-    group with columns ``{prefix}_{p}`` (p as in ``probs``, e.g. q_0.5).
+    distinct value its position range [prev, cum); the positions
+    floor/ceil(p (n - 1)) of each group are matched against those ranges and
+    interpolated: lo + (hi - lo) * frac. Without groups n is the grand total
+    of the same pass; with groups the per-group start and size come from an
+    aggregate and are joined on the group columns. Returns one row per group
+    with columns ``{prefix}_{p}``. ``weight`` names a count column when the
+    input is already collapsed to (group, value, count) rows.
     """
     groups = list(group_cols)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_eq_c"))
-    run = global_running_sum(counts, [*(F.col(g).asc_nulls_first() for g in groups), F.col(value)],
-                             {"_eq_cum": "_eq_c"})
-    run = run.withColumn("_eq_prev", F.col("_eq_cum") - F.col("_eq_c"))
-    spans = run.groupBy(*groups).agg(F.min("_eq_prev").alias("_eq_start"), F.sum("_eq_c").alias("_eq_n"))
-    targets = spans.select(
-        *groups, "_eq_start", "_eq_n",
-        F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_eq_p"),
-    ).withColumn("_eq_pos", F.col("_eq_p") * (F.col("_eq_n") - 1))
-    targets = targets.select(
-        *[F.col(g).alias(f"_eq_t_{g}") for g in groups], "_eq_p",
-        (F.col("_eq_start") + F.floor("_eq_pos")).alias("_eq_lo"),
-        (F.col("_eq_start") + F.ceil("_eq_pos")).alias("_eq_hi"),
-        (F.col("_eq_pos") - F.floor("_eq_pos")).alias("_eq_frac"),
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(n.alias("_eq_c"))
+    order = [*(F.col(g).asc_nulls_first() for g in groups), F.col(value)]
+    if groups:
+        run = global_running_sum(counts, order, {"_eq_cum": "_eq_c"})
+        run = run.withColumn("_eq_prev", F.col("_eq_cum") - F.col("_eq_c"))
+        spans = run.groupBy(*groups).agg(F.min("_eq_prev").alias("_eq_start"), F.sum("_eq_c").alias("_eq_n"))
+        spans = spans.select(*[F.col(g).alias(f"_eq_t_{g}") for g in groups], "_eq_start", "_eq_n")
+        # one row per group: a handful in every caller, broadcast
+        keys = [F.col(g).eqNullSafe(F.col(f"_eq_t_{g}")) for g in groups]
+        run = run.join(F.broadcast(spans), keys, "inner").drop(*[f"_eq_t_{g}" for g in groups])
+    else:
+        run = global_running_sum(counts, order, {"_eq_cum": "_eq_c"}, totals={"_eq_n": "_eq_cum"})
+        run = run.withColumn("_eq_prev", F.col("_eq_cum") - F.col("_eq_c")).withColumn("_eq_start", F.lit(0))
+    x = run.select(*groups, value, "_eq_prev", "_eq_cum", "_eq_start", "_eq_n",
+                   F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_eq_p"))
+    pos = F.col("_eq_p") * (F.col("_eq_n") - 1)
+    x = x.select(
+        *groups, value, "_eq_prev", "_eq_cum", "_eq_p",
+        (F.col("_eq_start") + F.floor(pos)).alias("_eq_lo"),
+        (F.col("_eq_start") + F.ceil(pos)).alias("_eq_hi"),
+        (pos - F.floor(pos)).alias("_eq_frac"),
     )
-    # one target row per (group, p): a handful of groups in every caller, so
-    # the target table is broadcast (each distinct value probes it once)
-    run = run.withColumn("_eq_k", F.lit(0))
-    targets = targets.withColumn("_eq_tk", F.lit(0))
-    join_on = [F.col("_eq_k") == F.col("_eq_tk")] + [F.col(g).eqNullSafe(F.col(f"_eq_t_{g}")) for g in groups]
     hit = (F.col("_eq_prev") <= F.col("_eq_lo")) & (F.col("_eq_lo") < F.col("_eq_cum"))
     hit_hi = (F.col("_eq_prev") <= F.col("_eq_hi")) & (F.col("_eq_hi") < F.col("_eq_cum"))
-    j = run.join(F.broadcast(targets), join_on, "inner")
-    j = j.where(hit | hit_hi).select(
+    x = x.where(hit | hit_hi).select(
         *groups, "_eq_p", "_eq_frac",
         F.when(hit, F.col(value)).alias("_eq_vlo"), F.when(hit_hi, F.col(value)).alias("_eq_vhi"),
     )
-    per_p = j.groupBy(*groups, "_eq_p").agg(
+    per_p = x.groupBy(*groups, "_eq_p").agg(
         F.max("_eq_vlo").cast("double").alias("_eq_vlo"), F.max("_eq_vhi").cast("double").alias("_eq_vhi"),
         F.max("_eq_frac").alias("_eq_frac"),
     ).withColumn("_eq_q", F.col("_eq_vlo") + (F.col("_eq_vhi") - F.col("_eq_vlo")) * F.col("_eq_frac"))

@@ -3,13 +3,14 @@ statistical tests on the same sample (ST1-ST5)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.config import ALPHA, EFFECT_SIZE_LABELS
 from orderlens.functions.stats import normal_two_sided_p, normal_upper_tail
 from orderlens.operators.model import Model
 from orderlens.operators.ranking import exact_quantiles, global_running_sum
+from orderlens.session import ensure_checkpoint_dir
 
 CAMPAIGN, NORMAL = "campaign", "normal"
 
@@ -34,6 +35,7 @@ def _item_margin(m: Model) -> DataFrame:
 
 
 def _eligible(im: DataFrame, min_n: int) -> DataFrame:
+    """Codes with at least ``min_n`` lines in both groups (line-level input)."""
     g = F.col("sale_group")
     return (
         im.groupBy("product_code")
@@ -43,30 +45,87 @@ def _eligible(im: DataFrame, min_n: int) -> DataFrame:
     )
 
 
-def _eligible_lines(m: Model, im: DataFrame) -> DataFrame:
-    """Lines of eligible products. The eligible list is aggregated (one row per
-    code) and is a subset of the cost table, so when the cost table passed its
-    broadcast check the list is broadcast too (its size bound is proven); a
-    product holding most rows is then never a hot join partition."""
-    eligible = _eligible(im, m.params.min_sample)
-    _, small = m.cost_lookup
-    return im.join(F.broadcast(eligible) if small else eligible, "product_code", "left_semi")
-
-
 def _sample(m: Model) -> DataFrame:
     """Eligible lines with the margin realised per initiated line (0 if not
-    completed)."""
-    return _eligible_lines(m, _item_margin(m)).withColumn(
+    completed) - the line-level sample the tests count pairs on. The queries
+    below never materialise it: they work on collapsed rows."""
+    im = _item_margin(m)
+    return im.join(_eligible(im, m.params.min_sample), "product_code", "left_semi").withColumn(
         "margin_initiated", F.when(F.col("is_completed"), F.col("margin")).otherwise(F.lit(0))
     )
 
 
+def _partial_sums(done: Column) -> list[Column]:
+    depth = F.try_divide(F.col("seller_discount") + F.col("platform_discount"), F.col("unit_price"))
+    realised = F.col("unit_price") - F.col("seller_discount") - F.col("platform_discount")
+    return [
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~done).alias("n_bad"),
+        F.count_if(done).alias("n_done"),
+        F.sum("seller_discount").alias("s_seller_discount"),
+        F.sum("unit_price").alias("s_unit_price"),
+        F.sum("cost").alias("s_cost"),
+        F.sum(F.when(done, F.col("margin")).otherwise(F.lit(0))).alias("s_margin_initiated"),
+        F.sum(F.when(done, realised)).alias("s_realised"),
+        F.sum(depth).alias("s_depth"),
+        F.count(depth).alias("n_depth"),
+    ]
+
+
+def _with_eligibility(rows: DataFrame, min_n: int) -> DataFrame:
+    """Flag rows of (product, group, ...) aggregates whose product has at
+    least ``min_n`` lines in both groups. The window spans one product's
+    aggregated rows (two groups x its distinct values), never its lines."""
+    w = Window.partitionBy("product_code")
+    n_c = F.sum(F.when(F.col("sale_group") == CAMPAIGN, F.col("n")).otherwise(0)).over(w)
+    n_n = F.sum(F.when(F.col("sale_group") == NORMAL, F.col("n")).otherwise(0)).over(w)
+    return rows.withColumn("is_eligible", (n_c >= min_n) & (n_n >= min_n))
+
+
+def _by_product_group(m: Model) -> DataFrame:
+    """One pass over the customer lines with a cost: partial sums per
+    (product, group), flagged with the product's eligibility."""
+    done = F.col("is_completed")
+    agg = _item_margin(m).groupBy("product_code", "sale_group").agg(*_partial_sums(done))
+    return _with_eligibility(agg, m.params.min_sample)
+
+
+def _by_value(m: Model, materialize: bool = False) -> DataFrame:
+    """One pass over the customer lines with a cost: partial sums per
+    (product, group, margin per initiated line), eligible products only.
+    ``materialize`` writes it to the checkpoint folder for callers that read
+    it twice."""
+    done = F.col("is_completed")
+    im = _item_margin(m).withColumn(
+        "margin_initiated", F.when(done, F.col("margin")).otherwise(F.lit(0)))
+    agg = im.groupBy("product_code", "sale_group", "margin_initiated").agg(*_partial_sums(done))
+    # eligibility from the same collapsed rows (re-aggregated per product, a
+    # subset of the size-checked cost table, hence broadcast when it is)
+    g, k = F.col("sale_group"), m.params.min_sample
+    elig = agg.groupBy("product_code").agg(
+        F.sum(F.when(g == CAMPAIGN, F.col("n")).otherwise(0)).alias("n_c"),
+        F.sum(F.when(g == NORMAL, F.col("n")).otherwise(0)).alias("n_n"),
+    ).where((F.col("n_c") >= k) & (F.col("n_n") >= k)).select("product_code")
+    _, small = m.cost_lookup
+    coll = agg.join(F.broadcast(elig) if small else elig, "product_code", "left_semi")
+    if not materialize:
+        return coll
+    ensure_checkpoint_dir(m.spark)
+    return coll.checkpoint(eager=True)
+
+
 def _cancel_pct() -> Column:
-    return F.lit(100.0) * (F.lit(1) - F.avg(F.col("is_completed").cast("int")))
+    return F.lit(100.0) * (F.lit(1) - F.sum("n_done") / F.sum("n"))
 
 
-def _margin_per_initiated() -> Column:
-    return F.sum(F.when(F.col("is_completed"), F.col("margin")).otherwise(F.lit(0))) / F.count(F.lit(1))
+def _measures() -> list[Column]:
+    return [
+        F.sum("n").alias("n_lines"),
+        _cancel_pct().alias("cancel_pct"),
+        (F.sum("s_seller_discount") / F.sum("n")).alias("mean_seller_discount"),
+        (F.sum("s_unit_price") / F.sum("n")).alias("mean_unit_price"),
+        (F.sum("s_margin_initiated") / F.sum("n")).alias("margin_per_initiated"),
+    ]
 
 
 def item_margin(m: Model) -> DataFrame:
@@ -79,80 +138,48 @@ def item_margin(m: Model) -> DataFrame:
 
 def eligible_products(m: Model) -> DataFrame:
     """A2b: codes with at least ``min_sample`` lines in both groups."""
-    return _eligible(_item_margin(m), m.params.min_sample)
+    return _by_product_group(m).where(F.col("is_eligible")).select("product_code").distinct()
 
 
 def campaign_margin_by_product(m: Model) -> DataFrame:
     """A2c."""
-    return (
-        _eligible_lines(m, _item_margin(m))
-        .groupBy("product_code", "sale_group")
-        .agg(
-            F.count(F.lit(1)).alias("n_lines"),
-            _cancel_pct().alias("cancel_pct"),
-            F.avg("seller_discount").alias("mean_seller_discount"),
-            F.avg("unit_price").alias("mean_unit_price"),
-            _margin_per_initiated().alias("margin_per_initiated"),
-        )
-    )
+    rows = _by_product_group(m).where(F.col("is_eligible"))
+    return rows.groupBy("product_code", "sale_group").agg(*_measures())
 
 
 def campaign_margin_one_product(m: Model) -> DataFrame:
-    """A2d: one product (the filter reaches the scan side of the join)."""
-    return (
-        _item_margin(m)
-        .where(F.col("product_code") == m.params.hero_product)
-        .groupBy("sale_group")
-        .agg(
-            F.count(F.lit(1)).alias("n_lines"),
-            _cancel_pct().alias("cancel_pct"),
-            F.avg("seller_discount").alias("mean_seller_discount"),
-            F.avg("unit_price").alias("mean_unit_price"),
-            F.avg("cost").alias("mean_cost"),
-            _margin_per_initiated().alias("margin_per_initiated"),
-        )
-    )
+    """A2d: one product (no eligibility rule), with its mean cost."""
+    rows = _by_product_group(m).where(F.col("product_code") == m.params.hero_product)
+    return rows.groupBy("sale_group").agg(*_measures(), (F.sum("s_cost") / F.sum("n")).alias("mean_cost"))
 
 
 def campaign_margin_pooled(m: Model) -> DataFrame:
-    """A2e: pooled over the eligible products."""
-    return (
-        _eligible_lines(m, _item_margin(m))
-        .groupBy("sale_group")
-        .agg(
-            F.count(F.lit(1)).alias("n_lines"),
-            _cancel_pct().alias("cancel_pct"),
-            F.avg("seller_discount").alias("mean_seller_discount"),
-            F.avg("unit_price").alias("mean_unit_price"),
-            _margin_per_initiated().alias("margin_per_initiated"),
-            F.sum(F.when(F.col("is_completed"), F.col("margin")).otherwise(F.lit(0))).alias("total_margin"),
-        )
-    )
+    """A2e: pooled over the eligible products, plus the total realised margin."""
+    rows = _by_product_group(m).where(F.col("is_eligible"))
+    return rows.groupBy("sale_group").agg(*_measures(), F.sum("s_margin_initiated").alias("total_margin"))
 
 
 def campaign_summary(m: Model) -> DataFrame:
     """A2f + ST4: the notebook's line-level summary per group.
 
+    The means are ratios of integer sums of the collapsed rows (exact); the
+    median is the distributed exact quantile over the same rows (money has no
+    bounded domain, so no per-group value map is merged in one task).
     Discount depth divides by the list price; a zero list price gives null
     (skipped by the mean) instead of infinity. The mean of ratios is a sum of
     non-integers whose last bits depend on summation order, so it is rounded
     to 9 decimals.
     """
-    done = F.col("is_completed")
-    depth = F.try_divide(F.col("seller_discount") + F.col("platform_discount"), F.col("unit_price"))
-    realised = F.col("unit_price") - F.col("seller_discount") - F.col("platform_discount")
-    sample = _sample(m)
-    agg = sample.groupBy("sale_group").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        (F.lit(100.0) * F.avg((~done).cast("int"))).alias("cancel_pct"),
-        F.avg(F.when(done, realised)).alias("realised_price_completed"),
-        F.round(F.lit(100.0) * F.avg(depth), 9).alias("discount_depth_pct"),
-        F.avg(F.when(done, F.col("margin"))).alias("mean_margin_completed"),
-        F.avg("margin_initiated").alias("mean_margin_initiated"),
+    coll = _by_value(m, materialize=True)
+    agg = coll.groupBy("sale_group").agg(
+        F.sum("n").alias("n_lines"),
+        (F.lit(100.0) * (F.sum("n_bad") / F.sum("n"))).alias("cancel_pct"),
+        F.try_divide(F.sum("s_realised"), F.sum("n_done")).alias("realised_price_completed"),
+        F.round(F.lit(100.0) * F.try_divide(F.sum("s_depth"), F.sum("n_depth")), 9).alias("discount_depth_pct"),
+        F.try_divide(F.sum("s_margin_initiated"), F.sum("n_done")).alias("mean_margin_completed"),
+        (F.sum("s_margin_initiated") / F.sum("n")).alias("mean_margin_initiated"),
     )
-    # money values have no bounded domain: the median is the distributed
-    # exact quantile, not a per-group value map merged in one task
-    med = exact_quantiles(sample, "margin_initiated", [0.5], ["sale_group"]).withColumnRenamed(
+    med = exact_quantiles(coll, "margin_initiated", [0.5], ["sale_group"], weight="n").withColumnRenamed(
         "q_0.5", "median_margin_initiated")
     return agg.join(med, "sale_group", "left")
 
@@ -165,12 +192,13 @@ def ztest_cancel_rate(m: Model) -> DataFrame:
     """ST1 + ST5: two-proportion z-test of the cancel rate, pooled variance,
     two-sided; counts come from one aggregate."""
     g = F.col("sale_group")
-    bad = ~F.col("is_completed")
-    c = _sample(m).agg(
-        F.count_if(bad & (g == CAMPAIGN)).alias("x1"),
-        F.count_if(g == CAMPAIGN).alias("n1"),
-        F.count_if(bad & (g == NORMAL)).alias("x2"),
-        F.count_if(g == NORMAL).alias("n2"),
+
+    def total(c, grp):
+        return F.coalesce(F.sum(F.when(g == grp, F.col(c))), F.lit(0)).cast("bigint")
+
+    c = _by_product_group(m).where(F.col("is_eligible")).agg(
+        total("n_bad", CAMPAIGN).alias("x1"), total("n", CAMPAIGN).alias("n1"),
+        total("n_bad", NORMAL).alias("x2"), total("n", NORMAL).alias("n2"),
     )
     x1, n1, x2, n2 = (F.col(k) for k in ("x1", "n1", "x2", "n2"))
     p1, p2 = x1 / n1, x2 / n2
@@ -200,8 +228,9 @@ def mann_whitney_margin(m: Model) -> DataFrame:
     U_A = sum_v nA(v) * (B_below(v) + nB(v)/2); tie term sum(t^3 - t).
     """
     g = F.col("sale_group")
-    collapsed = _sample(m).groupBy(F.col("margin_initiated").alias("v")).agg(
-        F.count_if(g == CAMPAIGN).alias("na"), F.count_if(g == NORMAL).alias("nb")
+    collapsed = _by_value(m).groupBy(F.col("margin_initiated").alias("v")).agg(
+        F.coalesce(F.sum(F.when(g == CAMPAIGN, F.col("n"))), F.lit(0)).alias("na"),
+        F.coalesce(F.sum(F.when(g == NORMAL, F.col("n"))), F.lit(0)).alias("nb"),
     )
     run = global_running_sum(collapsed, [F.col("v")], {"cum_b": "nb"})
     t = (F.col("na") + F.col("nb")).cast("double")

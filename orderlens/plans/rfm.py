@@ -36,7 +36,9 @@ def rfm_describe(m: Model) -> DataFrame:
     """RF2: count, mean, std, min, quartiles (linear interpolation), max of the
     three measures. The quartiles are exact and distributed (``ranking.
     exact_quantiles``: no column's values are gathered in one task); the
-    sample standard deviation depends on summation order and is rounded."""
+    sample standard deviation depends on summation order and is rounded.
+    All parts are unioned in long form (stat, measure, value) and pivoted
+    by measure - no join between one-row frames."""
     cols = ["recency_days", "frequency", "monetary"]
     stats = [
         ("count", lambda c: F.count(c).cast("double")),
@@ -47,23 +49,18 @@ def rfm_describe(m: Model) -> DataFrame:
     ]
     base = _base(m)
     one = base.agg(*[fn(F.col(c)).alias(f"{s}__{c}") for s, fn in stats for c in cols])
-    probs = [0.25, 0.5, 0.75]
+    long = one.select(F.explode(F.array(*[
+        F.struct(F.lit(s).alias("stat"), F.lit(c).alias("measure"), F.col(f"`{s}__{c}`").alias("value"))
+        for s, _ in stats for c in cols
+    ])).alias("r")).select("r.*")
+    labels = {0.25: "25%", 0.5: "50%", 0.75: "75%"}
     for c in cols:
-        q = exact_quantiles(base, c, probs, prefix=c)
-        one = _attach(one, q)
-    names = [s for s, _ in stats[:4]] + ["25%", "50%", "75%", "max"]
-    src = {s: (lambda c, s=s: f"`{s}__{c}`") for s, _ in stats}
-    src.update({lab: (lambda c, p=p: f"`{c}_{p}`") for lab, p in zip(["25%", "50%", "75%"], probs)})
-    rows = F.array(*[
-        F.struct(F.lit(s).alias("stat"), *[F.col(src[s](c)).alias(c) for c in cols]) for s in names
-    ])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
-
-
-def _attach(one: DataFrame, q: DataFrame) -> DataFrame:
-    """Put the columns of two one-row frames side by side (equi-join on a
-    constant key of two single rows)."""
-    return one.withColumn("_k", F.lit(0)).join(q.withColumn("_k", F.lit(0)), "_k").drop("_k")
+        q = exact_quantiles(base, c, list(labels), prefix="q")
+        long = long.unionByName(q.select(F.explode(F.array(*[
+            F.struct(F.lit(lab).alias("stat"), F.lit(c).alias("measure"), F.col(f"`q_{p}`").alias("value"))
+            for p, lab in labels.items()
+        ])).alias("r")).select("r.*"))
+    return long.groupBy("stat").pivot("measure", cols).agg(F.first("value"))
 
 
 def rfm_scores(m: Model) -> DataFrame:
