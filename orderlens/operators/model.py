@@ -222,3 +222,22 @@ class Model:
     @cached_property
     def dim_shipping_provider(self) -> DataFrame:
         return dim_shipping_provider(self.fact)
+
+
+MODEL_TABLES = ("fact_order_item", "dim_order", "dim_product", "dim_date", "dim_shipping_provider")
+
+
+def materialize_model(m: Model, base_path: str) -> dict[str, str]:
+    """IO6: write the model tables overwrite-by-name under ``base_path`` (a
+    shared folder). The fact is partitioned by order month so date filters of
+    later analyses prune whole folders; each table is one job from the scan."""
+    from orderlens.sources.io import write_table
+
+    tables = {
+        "fact_order_item": (m.fact.withColumn("order_month", F.date_format("order_date", "yyyy-MM")), ["order_month"]),
+        "dim_order": (m.dim_order, []),
+        "dim_product": (m.dim_product, []),
+        "dim_date": (m.dim_date, []),
+        "dim_shipping_provider": (m.dim_shipping_provider, []),
+    }
+    return {name: write_table(df, f"{base_path.rstrip('/')}/{name}", parts) for name, (df, parts) in tables.items()}

@@ -20,3 +20,18 @@ def test_export_csv_roundtrip(spark):
     export_csv(df, path)
     back = spark.read.schema(df.schema).option("header", True).csv(path)
     assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_materialize_model_roundtrip(spark):
+    from orderlens.operators.model import MODEL_TABLES, Model, materialize_model
+
+    from conftest import SF_SMALL
+
+    m = Model(spark, SF_SMALL)
+    base = tempfile.mkdtemp(prefix="orderlens-model-")
+    paths = materialize_model(m, base)
+    assert set(paths) == set(MODEL_TABLES)
+    fact = spark.read.parquet(paths["fact_order_item"])
+    assert fact.count() == m.fact.count()
+    assert "order_month" in fact.columns
+    assert spark.read.parquet(paths["dim_order"]).count() == m.dim_order.count()
