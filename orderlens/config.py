@@ -89,6 +89,11 @@ class Params:
     rank_buckets: int = 0
     # codes tables up to this many rows are broadcast for the prefix match
     max_broadcast_codes: int = 200_000
+    # optional cost table as CSV (header; code and cost columns by name);
+    # without it the adapter derives costs from the part table
+    cost_csv: str | None = None
+    cost_csv_code_col: str = "product_code"
+    cost_csv_cost_col: str = "cost"
     # product lookup tables (cost per code) up to this many rows are broadcast
     max_broadcast_products: int = 2_000_000
 

@@ -176,6 +176,11 @@ class Model:
 
     @cached_property
     def cost(self) -> DataFrame:
+        p = self.params
+        if p.cost_csv:
+            from orderlens.sources.io import read_cost_csv
+
+            return read_cost_csv(self.spark, p.cost_csv, p.cost_csv_code_col, p.cost_csv_cost_col)
         return adapter.cost_table(self.spark, self.sf_dir)
 
     @cached_property

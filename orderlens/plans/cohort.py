@@ -64,3 +64,14 @@ def cohort_retention(m: Model) -> DataFrame:
         .select("cohort_month", "month_index", "n_active",
                 (F.lit(100.0) * F.col("n_active") / F.col("n_month0")).alias("retention_pct"))
     )
+
+
+def cohort_retention_matrix(m: Model) -> DataFrame:
+    """CO4 as the table the notebook draws: one row per cohort, columns m0..m11
+    = retention percent by month index. The pivot lists its values
+    explicitly (no extra job to discover them); a month without activity is
+    null in its own column rather than shifting later columns."""
+    months = list(range(m.params.retention_months))
+    ret = cohort_retention(m)
+    wide = ret.groupBy("cohort_month").pivot("month_index", months).agg(F.first("retention_pct"))
+    return wide.select("cohort_month", *[F.col(f"`{i}`").alias(f"m{i}") for i in months])

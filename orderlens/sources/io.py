@@ -10,7 +10,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orderlens.session import scratch_path
 from orderlens.sources.schemas import SCHEMAS
@@ -41,27 +40,27 @@ def ingest_labelled(sources: Iterable[tuple[str, DataFrame]], label_col: str = "
     return out
 
 
-COST_CSV_SCHEMA = T.StructType([
-    T.StructField("product_code", T.StringType()),
-    T.StructField("cost", T.LongType()),
-])
+def read_cost_csv(spark: SparkSession, path: str, code_col: str = "product_code",
+                  cost_col: str = "cost") -> DataFrame:
+    """IO4: the product cost table from a CSV file with a header.
 
-
-def read_cost_csv(spark: SparkSession, path: str, schema: T.StructType = COST_CSV_SCHEMA) -> DataFrame:
-    """IO4: the product cost table as CSV with a header.
-
-    A declared schema (no inference pass over the file); quoted fields may hold
-    commas; a UTF-8 byte-order mark before the header is dropped by the reader.
+    No inference pass: every column is read as text and only the two named
+    columns are kept, the cost coerced to whole minor units (unparseable or
+    empty -> null, i.e. unknown cost, never invented). Quoted fields may hold
+    commas and doubled quotes; a UTF-8 byte-order mark before the header is
+    dropped by the reader, so the first header name matches.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
+    raw = (
+        spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", False)
-        .option("mode", "PERMISSIVE")
+        .option("inferSchema", False)
         .csv(path)
     )
+    return raw.select(
+        F.col(code_col).alias("product_code"),
+        F.col(cost_col).try_cast("double").try_cast("bigint").alias("cost"),
+    )
 
 
 def export_csv(df: DataFrame, path: str) -> str:

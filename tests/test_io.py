@@ -7,11 +7,26 @@ from orderlens.sources.io import export_csv, read_cost_csv
 
 def test_cost_csv_with_bom_and_quoted_commas(spark):
     path = tempfile.mkdtemp(prefix="orderlens-csv-") + "/cost.csv"
-    text = '﻿product_code,cost\n"AB,1",36000\nCT,660\n"CT ""x""",137500\n'
+    text = ('﻿code,name,unit_cost,note\n"AB,1","a, b",36000,\nCT,c,660,x\n'
+            '"CT ""x""",d,137500,\nZZ,e,,\n')
     with open(path, "w", encoding="utf-8") as f:
         f.write(text)
-    rows = {r.product_code: r.cost for r in read_cost_csv(spark, path).collect()}
-    assert rows == {"AB,1": 36000, "CT": 660, 'CT "x"': 137500}
+    rows = {r.product_code: r.cost for r in read_cost_csv(spark, path, "code", "unit_cost").collect()}
+    assert rows == {"AB,1": 36000, "CT": 660, 'CT "x"': 137500, "ZZ": None}
+
+
+def test_model_reads_cost_csv(spark):
+    from orderlens.config import Params
+    from orderlens.operators.model import Model
+
+    from conftest import SF_SMALL
+
+    path = tempfile.mkdtemp(prefix="orderlens-csv-") + "/cost.csv"
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("product_code,cost\nBrand#10,1000\n")
+    m = Model(spark, SF_SMALL, Params(cost_csv=path))
+    got = {r.product_code: r.cost for r in m.dim_product.collect()}
+    assert got["Brand#10"] == 1000 and got["Brand#11"] is None
 
 
 def test_export_csv_roundtrip(spark):
