@@ -27,6 +27,7 @@ def test_entry_smoke(spark):
 def test_query_matches_oracle(spark, duck_small, key):
     r = compare(spark, duck_small, key, QUERIES[key], ORACLE[key], SF_SMALL)
     assert r["columns_match"], r
+    assert r["types_match"], r
     assert r["exact"], r
 
 
