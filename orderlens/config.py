@@ -89,6 +89,9 @@ class Params:
     rank_buckets: int = 0
     # codes tables up to this many rows are broadcast for the prefix match
     max_broadcast_codes: int = 200_000
+    # optional folder written by ``materialize_model``: the model tables are
+    # then read from it instead of being derived from the source tables
+    model_dir: str | None = None
     # optional cost table as CSV (header; code and cost columns by name);
     # without it the adapter derives costs from the part table
     cost_csv: str | None = None

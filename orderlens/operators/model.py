@@ -197,12 +197,24 @@ class Model:
     def parsed(self) -> DataFrame:
         return parse_orders(self.cleaned, self.codes, self.params)
 
+    def _stored(self, name: str) -> DataFrame | None:
+        """A table of the materialised model, when ``params.model_dir`` is set."""
+        if not self.params.model_dir:
+            return None
+        return self.spark.read.parquet(f"{self.params.model_dir.rstrip('/')}/{name}")
+
     @cached_property
     def fact(self) -> DataFrame:
+        stored = self._stored("fact_order_item")
+        if stored is not None:
+            return stored.select(*FACT_COLUMNS)
         return fact_order_item(self.parsed, self.params)
 
     @cached_property
     def dim_order(self) -> DataFrame:
+        stored = self._stored("dim_order")
+        if stored is not None:
+            return stored
         # order-level columns only: built from the cleaned lines, so order
         # queries never plan the SKU parsing
         return dim_order(self.cleaned, self.params)
@@ -218,15 +230,18 @@ class Model:
 
     @cached_property
     def dim_product(self) -> DataFrame:
-        return dim_product(self.parsed, self.cost)
+        stored = self._stored("dim_product")
+        return stored if stored is not None else dim_product(self.parsed, self.cost)
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        return dim_date(self.cleaned)
+        stored = self._stored("dim_date")
+        return stored if stored is not None else dim_date(self.cleaned)
 
     @cached_property
     def dim_shipping_provider(self) -> DataFrame:
-        return dim_shipping_provider(self.fact)
+        stored = self._stored("dim_shipping_provider")
+        return stored if stored is not None else dim_shipping_provider(self.fact)
 
 
 MODEL_TABLES = ("fact_order_item", "dim_order", "dim_product", "dim_date", "dim_shipping_provider")
