@@ -9,22 +9,27 @@ from pyspark.sql import functions as F
 from orderlens.config import RFM_SEGMENTS
 from orderlens.operators.model import Model
 from orderlens.operators.ranking import exact_quantiles, global_rank, quintile_from_rank
+from orderlens.session import ensure_checkpoint_dir
 
 
 def _base(m: Model) -> DataFrame:
     k = m.params.product_key
-    sales = m.fact_customer.where(F.col("is_completed") & F.col(k).isNotNull())
+    sales = m.fact_customer.where(F.col("is_completed"))
+    # the null product is a group here only so that the snapshot (last
+    # completed sale of *all* lines) comes out of the same pass; it is dropped
+    # below, as a grouping that skips null keys would
     per = sales.groupBy(F.col(k).alias(k)).agg(
         F.max("order_date").alias("last_sale"),
         F.count(F.lit(1)).alias("frequency"),
         F.sum(F.col("unit_price") - F.col("seller_discount")).alias("monetary"),
     )
     # the per-product rows are written once to the checkpoint folder; the
-    # snapshot (last sale overall) is then a cheap scalar subquery over them
-    # instead of a second pass over the fact
+    # snapshot is then a cheap scalar subquery over them instead of a second
+    # pass over the fact
+    ensure_checkpoint_dir(m.spark)
     per = per.checkpoint(eager=True)
     snapshot = per.select(F.max("last_sale")).scalar()
-    return per.withColumn("recency_days", F.datediff(snapshot, F.col("last_sale")))
+    return per.where(F.col(k).isNotNull()).withColumn("recency_days", F.datediff(snapshot, F.col("last_sale")))
 
 
 def rfm_base(m: Model) -> DataFrame:

@@ -49,3 +49,14 @@ def test_orders_join_is_a_shuffle_join(spark):
     # only the string max runs sort-based, over the collapsed rows
     first_level = [ln for ln in plan.splitlines() if "keys=[order_number" in ln and "pay_method" in ln.split("functions")[0]]
     assert first_level and all("HashAggregate" in ln for ln in first_level)
+
+
+def test_checkpoint_calls_ensure_a_folder():
+    # every module that checkpoints makes sure a checkpoint folder exists first
+    import pathlib
+
+    root = pathlib.Path(__file__).resolve().parent.parent / "orderlens"
+    for p in root.rglob("*.py"):
+        src = p.read_text()
+        if ".checkpoint(eager=True)" in src:
+            assert "ensure_checkpoint_dir(" in src, p
