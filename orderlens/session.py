@@ -25,6 +25,22 @@ RECOMMENDED_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Sizing for a cluster run: scan splits and shuffle partitions of about
+    ``target_partition_bytes`` so a task's share fits in executor memory
+    without spilling, at least three tasks per core for balance, and AQE left
+    to coalesce small shuffles and split skewed ones. Merge the result into
+    the session config (together with ``RECOMMENDED_CONF``)."""
+    shuffle_partitions = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle_partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        **RECOMMENDED_CONF,
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "orderlens",
                   checkpoint_dir: str | None = None) -> SparkSession:
     """A local-mode session for tests and the bench (UI off, AQE on)."""
