@@ -25,13 +25,17 @@ RECOMMENDED_CONF = {
 }
 
 
-def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
-    """Sizing for a cluster run: scan splits and shuffle partitions of about
-    ``target_partition_bytes`` so a task's share fits in executor memory
-    without spilling, at least three tasks per core for balance, and AQE left
-    to coalesce small shuffles and split skewed ones. Merge the result into
-    the session config (together with ``RECOMMENDED_CONF``)."""
-    shuffle_partitions = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20,
+                 shuffle_fraction: float = 0.3, max_shuffle_partitions: int = 100_000) -> dict:
+    """Sizing for a cluster run: scan splits of about ``target_partition_bytes``
+    and shuffle partitions sized to the bytes actually shuffled (the pruned,
+    partially aggregated ``shuffle_fraction`` of the input), at least three
+    tasks per core, capped because map-output bookkeeping grows with mappers x
+    reducers; AQE coalesces small shuffles and splits skewed ones. Merge the
+    result into the session config."""
+    shuffled = int(input_bytes * shuffle_fraction)
+    shuffle_partitions = min(max_shuffle_partitions,
+                             max(3 * total_cores, -(-shuffled // target_partition_bytes)))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
