@@ -69,8 +69,11 @@ def _broadcast_plan(df, keyed, lengths, sku_col, out_col):
     picked = []
     for i, n in enumerate(lengths):
         k, c = f"_pm_k{i}", f"_pm_c{i}"
+        # grouped by exactly the join key: Catalyst then knows the side is
+        # unique and removes the whole left join from queries that never read
+        # the product code
         side = F.broadcast(
-            keyed.where(F.col("_pm_len") == n).select(F.col("_pm_key").alias(k), F.col("_pm_code").alias(c))
+            keyed.where(F.col("_pm_len") == n).groupBy(F.col("_pm_key").alias(k)).agg(F.first("_pm_code").alias(c))
         )
         out = out.join(side, F.upper(F.substring(F.col(sku_col), 1, n)) == F.col(k), "left").drop(k)
         picked.append(F.col(c))
