@@ -28,15 +28,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.operators.joins import checked_broadcast
-from orderlens.session import ensure_checkpoint_dir
+from orderlens.session import checkpoint_once
 
 _LOW_BITS = (1 << 33) - 1
 
 
 def _sorted_positions(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
     s = df.orderBy(*order).withColumn("_gr_pos", F.monotonically_increasing_id())
-    s = s.checkpoint(eager=True)
+    s = checkpoint_once(s)
     return s.withColumn("_gr_pid", F.shiftright(F.col("_gr_pos"), 33))
 
 

@@ -10,7 +10,7 @@ from orderlens.config import ALPHA, EFFECT_SIZE_LABELS
 from orderlens.functions.stats import normal_two_sided_p, normal_upper_tail
 from orderlens.operators.model import Model
 from orderlens.operators.ranking import exact_quantiles, global_running_sum
-from orderlens.session import ensure_checkpoint_dir
+from orderlens.session import checkpoint_once
 
 CAMPAIGN, NORMAL = "campaign", "normal"
 
@@ -90,15 +90,17 @@ def _by_product_group(m: Model) -> DataFrame:
     return _with_eligibility(agg, m.params.min_sample)
 
 
-def _by_value(m: Model, materialize: bool = False) -> DataFrame:
+def _by_value(m: Model, materialize: bool = False, slim: bool = False) -> DataFrame:
     """One pass over the customer lines with a cost: partial sums per
     (product, group, margin per initiated line), eligible products only.
+    ``slim`` keeps only the line count (all the rank test needs);
     ``materialize`` writes it to the checkpoint folder for callers that read
     it twice."""
     done = F.col("is_completed")
     im = _item_margin(m).withColumn(
         "margin_initiated", F.when(done, F.col("margin")).otherwise(F.lit(0)))
-    agg = im.groupBy("product_code", "sale_group", "margin_initiated").agg(*_partial_sums(done))
+    sums = [F.count(F.lit(1)).alias("n")] if slim else _partial_sums(done)
+    agg = im.groupBy("product_code", "sale_group", "margin_initiated").agg(*sums)
     # eligibility from the same collapsed rows (re-aggregated per product, a
     # subset of the size-checked cost table, hence broadcast when it is)
     g, k = F.col("sale_group"), m.params.min_sample
@@ -110,8 +112,7 @@ def _by_value(m: Model, materialize: bool = False) -> DataFrame:
     coll = agg.join(F.broadcast(elig) if small else elig, "product_code", "left_semi")
     if not materialize:
         return coll
-    ensure_checkpoint_dir(m.spark)
-    return coll.checkpoint(eager=True)
+    return checkpoint_once(coll)
 
 
 def _cancel_pct() -> Column:
@@ -228,7 +229,7 @@ def mann_whitney_margin(m: Model) -> DataFrame:
     U_A = sum_v nA(v) * (B_below(v) + nB(v)/2); tie term sum(t^3 - t).
     """
     g = F.col("sale_group")
-    collapsed = _by_value(m).groupBy(F.col("margin_initiated").alias("v")).agg(
+    collapsed = _by_value(m, slim=True).groupBy(F.col("margin_initiated").alias("v")).agg(
         F.coalesce(F.sum(F.when(g == CAMPAIGN, F.col("n"))), F.lit(0)).alias("na"),
         F.coalesce(F.sum(F.when(g == NORMAL, F.col("n"))), F.lit(0)).alias("nb"),
     )

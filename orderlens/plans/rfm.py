@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from orderlens.config import RFM_SEGMENTS
 from orderlens.operators.model import Model
 from orderlens.operators.ranking import exact_quantiles, global_rank, quintile_from_rank
-from orderlens.session import ensure_checkpoint_dir
+from orderlens.session import checkpoint_once
 
 
 def _base(m: Model) -> DataFrame:
@@ -26,8 +26,7 @@ def _base(m: Model) -> DataFrame:
     # the per-product rows are written once to the checkpoint folder; the
     # snapshot is then a cheap scalar subquery over them instead of a second
     # pass over the fact
-    ensure_checkpoint_dir(m.spark)
-    per = per.checkpoint(eager=True)
+    per = checkpoint_once(per)
     snapshot = per.select(F.max("last_sale")).scalar()
     return per.where(F.col(k).isNotNull()).withColumn("recency_days", F.datediff(snapshot, F.col("last_sale")))
 

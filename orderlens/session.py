@@ -93,3 +93,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def checkpoint_once(df):
+    """Reliable checkpoint to the shared folder, computing ``df`` only once.
+
+    A reliable checkpoint runs one job to count and a second one to write the
+    files, recomputing the input in between unless it is persisted; the input
+    is therefore persisted for the duration of the checkpoint (memory, then
+    disk) and released right after. Lineage is cut; never ``localCheckpoint``.
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
