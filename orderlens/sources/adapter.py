@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlens.operators.joins import checked_broadcast
 from orderlens.sources.io import read_table
 
 # --- fixed adapter values ---------------------------------------------------
@@ -58,20 +59,33 @@ def _idiv(a: Column, n: int) -> Column:
     return ((a - a % n) / n).cast("bigint")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _joined(spark: SparkSession, sf_dir: str, max_broadcast_parts: int = 5_000_000) -> DataFrame:
+    """lineitem joined to part and orders.
+
+    When ``part`` is small enough to broadcast (a row count from the Parquet
+    footers), it is joined *after* the orders sort-merge join: its string
+    columns then never travel through the line shuffle, and the broadcast
+    join keeps the order-key partitioning. A large ``part`` is joined first
+    (its own shuffle join on the part key), so that the orders join still
+    comes last and leaves the lines partitioned by order key.
+    """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
     )
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return li.join(part, li.l_partkey == part.p_partkey, "inner")
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    part_b, small = checked_broadcast(part, max_broadcast_parts)
+    if small:
+        x = li.join(orders.hint("merge"), li.l_orderkey == orders.o_orderkey, "inner")
+        return x.join(part_b, x.l_partkey == part_b.p_partkey, "inner")
+    x = li.join(part, li.l_partkey == part.p_partkey, "inner")
+    return x.join(orders.hint("merge"), x.l_orderkey == orders.o_orderkey, "inner")
 
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean order-item lines (the input of SKU parsing and the model)."""
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    x = _lines(spark, sf_dir)
-    x = x.join(orders.hint("merge"), x.l_orderkey == orders.o_orderkey, "inner")
+    x = _joined(spark, sf_dir)
 
     ln = F.col("l_linenumber")
     suffix = F.coalesce(_pick(ln - 1, SKU_SUFFIXES), F.lit(""))
