@@ -6,15 +6,14 @@ column, money in whole minor units) is derived from ``lineitem`` joined to
 expression, so the same rows come out of the DuckDB oracle (see
 ``orderlens.plans.oracle``).
 
-Join order matters for the physical plan: ``lineitem`` is joined to ``part``
-first (Spark's size-based choice: broadcast while ``part`` is small) and to
-``orders`` last, as a sort-merge join. ``orders`` has about a quarter of the
-line count, so it is never a broadcast candidate at scale; the shuffle join
-leaves the lines hash-partitioned by order key, and every later (order, shop)
-aggregate, the customer-order semi-join and the order-level join-backs reuse
-that partitioning instead of shuffling the lines again. (Measured at sf0.1 on
-local[8]: the order dimension 0.96 s with the merge join vs 2.3 s when Spark
-broadcast the 150k-row orders table.)
+Join order matters for the physical plan: ``orders`` has about a quarter of
+the line count, so it is never a broadcast candidate at scale; it is joined
+with a sort-merge join, which leaves the lines hash-partitioned by order key,
+and every later (order, shop) aggregate, the customer-order semi-join and the
+order-level join-backs reuse that partitioning instead of shuffling the lines
+again. ``part`` is joined after it as a broadcast when a row count shows it
+is small (its strings then stay out of the line shuffle), else before it as
+its own shuffle join, so the orders join still comes last.
 """
 
 from __future__ import annotations
