@@ -73,9 +73,9 @@ def _partial_sums(done: Column) -> list[Column]:
 
 
 def _with_eligibility(rows: DataFrame, min_n: int) -> DataFrame:
-    """Flag rows of (product, group, ...) aggregates whose product has at
-    least ``min_n`` lines in both groups. The window spans one product's
-    aggregated rows (two groups x its distinct values), never its lines."""
+    """Flag (product, group) aggregate rows whose product has at least
+    ``min_n`` lines in both groups. The window spans one product's aggregated
+    rows - at most two - never its lines."""
     w = Window.partitionBy("product_code")
     n_c = F.sum(F.when(F.col("sale_group") == CAMPAIGN, F.col("n")).otherwise(0)).over(w)
     n_n = F.sum(F.when(F.col("sale_group") == NORMAL, F.col("n")).otherwise(0)).over(w)

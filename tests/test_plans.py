@@ -20,6 +20,9 @@ def test_no_cartesian_or_nested_loop_join(spark, key):
     plan = _plan(QUERIES[key](spark, SF_SMALL))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+    # built-in expressions only: no Python UDF or Python evaluation node
+    for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "MapInPandas", "FlatMapGroupsInPandas"):
+        assert node not in plan, node
 
 
 def test_personal_columns_never_read(spark):
