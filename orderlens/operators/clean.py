@@ -111,3 +111,15 @@ def normalise_category(c: Column, canonical: tuple) -> Column:
     for key, canon in canonical:
         expr = F.when(folded == key, F.lit(canon)) if expr is None else expr.when(folded == key, F.lit(canon))
     return c if expr is None else expr.otherwise(c)
+
+
+def empty_columns(df: DataFrame) -> list[str]:
+    """CL2, automatic: the columns without a single non-null value, from one
+    aggregate pass (one row per column reaches the driver, never data rows)."""
+    rows = null_ratio_profile(df).where(F.col("n_non_null") == 0).select("column_name").collect()
+    return [r.column_name for r in rows]
+
+
+def drop_empty_columns(df: DataFrame) -> DataFrame:
+    """Drop every column that is null in all rows."""
+    return df.drop(*empty_columns(df))

@@ -171,3 +171,15 @@ def test_global_rank_first_come(spark):
     df = spark.createDataFrame([(k, v) for k, v in [(3, 5), (1, 5), (2, 1), (4, 9)]], "k long, v long")
     got = {r.k: r.rank for r in global_rank(df, [F.col("v"), F.col("k")]).collect()}
     assert got == {2: 1, 1: 2, 3: 3, 4: 4}
+
+
+def test_empty_columns_detected_from_profile(spark):
+    from orderlens.operators.clean import drop_empty_columns, empty_columns
+    from orderlens.sources.adapter import raw_order_sources
+    from orderlens.sources.io import ingest_labelled
+
+    from conftest import SF_SMALL
+
+    raw = ingest_labelled(raw_order_sources(spark, SF_SMALL)).drop("customer_name", "customer_segment")
+    assert empty_columns(raw) == ["warehouse"]
+    assert "warehouse" not in drop_empty_columns(raw).columns
