@@ -92,6 +92,9 @@ class Params:
     # optional folder written by ``materialize_model``: the model tables are
     # then read from it instead of being derived from the source tables
     model_dir: str | None = None
+    # optional database of the bucketed fact and order tables written by
+    # ``materialize_model(..., buckets=n, database=...)``
+    model_tables: str | None = None
     # optional cost table as CSV (header; code and cost columns by name);
     # without it the adapter derives costs from the part table
     cost_csv: str | None = None

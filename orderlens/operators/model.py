@@ -198,10 +198,15 @@ class Model:
         return parse_orders(self.cleaned, self.codes, self.params)
 
     def _stored(self, name: str) -> DataFrame | None:
-        """A table of the materialised model, when ``params.model_dir`` is set."""
-        if not self.params.model_dir:
+        """A table of the materialised model: a bucketed catalog table when
+        ``params.model_tables`` names its database, else the Parquet folder
+        under ``params.model_dir``."""
+        p = self.params
+        if p.model_tables and name in ("fact_order_item", "dim_order"):
+            return self.spark.table(f"{p.model_tables}.{name}")
+        if not p.model_dir:
             return None
-        return self.spark.read.parquet(f"{self.params.model_dir.rstrip('/')}/{name}")
+        return self.spark.read.parquet(f"{p.model_dir.rstrip('/')}/{name}")
 
     @cached_property
     def fact(self) -> DataFrame:
@@ -247,10 +252,16 @@ class Model:
 MODEL_TABLES = ("fact_order_item", "dim_order", "dim_product", "dim_date", "dim_shipping_provider")
 
 
-def materialize_model(m: Model, base_path: str) -> dict[str, str]:
+def materialize_model(m: Model, base_path: str, buckets: int = 0, database: str | None = None) -> dict[str, str]:
     """IO6: write the model tables overwrite-by-name under ``base_path`` (a
     shared folder). The fact is partitioned by order month so date filters of
-    later analyses prune whole folders; each table is one job from the scan."""
+    later analyses prune whole folders; each table is one job from the scan.
+
+    With ``buckets`` and ``database``, the fact and the order dimension are
+    instead written as catalog tables (data in ``base_path``) bucketed and
+    sorted by order number: analyses reading them with
+    ``Params(model_tables=database)`` join lines to orders without a shuffle.
+    """
     from orderlens.sources.io import write_table
 
     tables = {
@@ -260,4 +271,16 @@ def materialize_model(m: Model, base_path: str) -> dict[str, str]:
         "dim_date": (m.dim_date, []),
         "dim_shipping_provider": (m.dim_shipping_provider, []),
     }
-    return {name: write_table(df, f"{base_path.rstrip('/')}/{name}", parts) for name, (df, parts) in tables.items()}
+    out = {}
+    if buckets and database:
+        m.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{base_path.rstrip('/')}/_catalog'")
+    for name, (df, parts) in tables.items():
+        path = f"{base_path.rstrip('/')}/{name}"
+        if buckets and database and name in ("fact_order_item", "dim_order"):
+            (df.drop("order_month").write.mode("overwrite").option("path", path)
+             .bucketBy(buckets, "order_number").sortBy("order_number")
+             .saveAsTable(f"{database}.{name}"))
+            out[name] = f"{database}.{name}"
+        else:
+            out[name] = write_table(df, path, parts)
+    return out

@@ -70,3 +70,28 @@ def test_queries_on_materialised_model_match(spark):
         a = sorted(map(tuple, fn(Model(spark, SF_SMALL)).collect()), key=str)
         b = sorted(map(tuple, fn(Model(spark, SF_SMALL, stored)).collect()), key=str)
         assert a == b, k
+
+
+def test_bucketed_model_joins_without_shuffle(spark):
+    from orderlens.config import Params
+    from orderlens.operators.model import Model, materialize_model
+    from orderlens.plans import registry
+
+    from conftest import SF_SMALL
+
+    base = tempfile.mkdtemp(prefix="orderlens-bucketed-")
+    materialize_model(Model(spark, SF_SMALL), base, buckets=4, database="orderlens_test")
+    p = Params(model_dir=base, model_tables="orderlens_test")
+    # as at scale, where the order table is far too big to broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = Model(spark, SF_SMALL, p)
+        plan = m.fact_customer._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    assert "hashpartitioning" not in plan  # bucketed by order number on both sides: no shuffle
+    fn = registry.QUERY_KEYS["incomplete_by_reason"]
+    a = sorted(map(tuple, fn(Model(spark, SF_SMALL)).collect()), key=str)
+    b = sorted(map(tuple, fn(Model(spark, SF_SMALL, p)).collect()), key=str)
+    assert a == b
