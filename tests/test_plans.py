@@ -29,6 +29,7 @@ def test_personal_columns_never_read(spark):
     for key in ("clean_drop_columns", "clean_money", "status_distribution", "ingest_union_labelled"):
         plan = _plan(QUERIES[key](spark, SF_SMALL))
         assert "c_name" not in plan and "c_mktsegment" not in plan, key
+        assert "customer.parquet" not in plan, key  # the whole personal-data join is pruned
 
 
 def test_raw_columns_constant_matches_union(spark):
