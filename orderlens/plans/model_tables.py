@@ -9,30 +9,37 @@ from orderlens.operators.model import ORDER_KEY, Model
 
 
 def fact_order_item(m: Model) -> DataFrame:
+    """SM1: one row per order line with parsed SKU attributes and the carrier spelling fixed."""
     return m.fact
 
 
 def dim_order(m: Model) -> DataFrame:
+    """SM2 + SM3: one row per (order_number, shop) with the bulk flag."""
     return m.dim_order
 
 
 def dim_order_customer(m: Model) -> DataFrame:
+    """SM4: the order dimension without bulk orders."""
     return m.orders
 
 
 def fact_order_item_customer(m: Model) -> DataFrame:
+    """SM5: fact lines of the orders that survive the bulk exclusion."""
     return m.fact_customer
 
 
 def dim_product(m: Model) -> DataFrame:
+    """SM6: product codes in use with their cost (null when unknown)."""
     return m.dim_product
 
 
 def dim_date(m: Model) -> DataFrame:
+    """SM7: dense daily calendar of the data range."""
     return m.dim_date
 
 
 def dim_shipping_provider(m: Model) -> DataFrame:
+    """SM8: distinct (carrier, carrier type)."""
     return m.dim_shipping_provider
 
 

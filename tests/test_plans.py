@@ -64,3 +64,9 @@ def test_checkpoint_calls_ensure_a_folder():
         src = p.read_text()
         if ".checkpoint(eager=True)" in src:
             assert "ensure_checkpoint_dir(" in src, p
+
+
+def test_every_query_is_documented():
+    from orderlens.plans import registry
+
+    assert all((f.__doc__ or "").strip() for f in registry.QUERY_KEYS.values())
