@@ -119,8 +119,8 @@ def bulk_exclusion_impact(m: Model) -> DataFrame:
                 F.struct(F.lit("n_orders").alias("metric"), F.col("n_before").cast("double").alias("before"),
                          F.col("n_after").cast("double").alias("after")),
                 F.struct(F.lit("pct_incomplete").alias("metric"),
-                         (F.lit(100.0) * F.col("bad_before") / F.col("n_before")).alias("before"),
-                         (F.lit(100.0) * F.col("bad_after") / F.col("n_after")).alias("after")),
+                         F.try_divide(F.lit(100.0) * F.col("bad_before"), F.col("n_before")).alias("before"),
+                         F.try_divide(F.lit(100.0) * F.col("bad_after"), F.col("n_after")).alias("after")),
                 F.struct(F.lit("lost_revenue").alias("metric"), F.col("lost_before").cast("double").alias("before"),
                          F.col("lost_after").cast("double").alias("after")),
             )
@@ -138,4 +138,4 @@ def bulk_lost_share(m: Model) -> DataFrame:
         F.count_if(F.col("is_bulk")).alias("n_bulk_orders"),
         F.count_if(F.col("is_bulk") & bad).alias("n_bulk_incomplete"),
     )
-    return one.withColumn("pct_bulk", F.lit(100.0) * F.col("lost_bulk") / F.col("lost_total"))
+    return one.withColumn("pct_bulk", F.try_divide(F.lit(100.0) * F.col("lost_bulk"), F.col("lost_total")))
