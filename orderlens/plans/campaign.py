@@ -202,10 +202,11 @@ def ztest_cancel_rate(m: Model) -> DataFrame:
         total("n_bad", NORMAL).alias("x2"), total("n", NORMAL).alias("n2"),
     )
     x1, n1, x2, n2 = (F.col(k) for k in ("x1", "n1", "x2", "n2"))
-    p1, p2 = x1 / n1, x2 / n2
-    pooled = (x1 + x2) / (n1 + n2)
-    var = pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / n1 + F.lit(1.0) / n2)
-    z = (p1 - p2) / F.sqrt(var)
+    # an empty group gives nulls (try_divide), not an error
+    p1, p2 = F.try_divide(x1, n1), F.try_divide(x2, n2)
+    pooled = F.try_divide(x1 + x2, n1 + n2)
+    var = pooled * (F.lit(1.0) - pooled) * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2))
+    z = F.try_divide(p1 - p2, F.sqrt(var))
     out = c.select(
         "x1", "n1", "x2", "n2",
         p1.alias("cancel_rate_campaign"),
@@ -245,11 +246,11 @@ def mann_whitney_margin(m: Model) -> DataFrame:
     n1, n2, u_a, tie = (F.col(k) for k in ("n1", "n2", "u_a", "tie"))
     n = n1 + n2
     mu = n1 * n2 / F.lit(2.0)
-    sigma = F.sqrt(n1 * n2 / F.lit(12.0) * ((n + F.lit(1.0)) - tie / (n * (n - F.lit(1.0)))))
+    sigma = F.sqrt(n1 * n2 / F.lit(12.0) * ((n + F.lit(1.0)) - F.try_divide(tie, n * (n - F.lit(1.0)))))
     big_u = F.greatest(u_a, n1 * n2 - u_a)
-    z = (big_u - mu - F.lit(0.5)) / sigma
+    z = F.try_divide(big_u - mu - F.lit(0.5), sigma)
     p = F.when(z < 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(2.0) * normal_upper_tail(z)))
-    effect = F.lit(1.0) - F.lit(2.0) * u_a / (n1 * n2)
+    effect = F.lit(1.0) - F.try_divide(F.lit(2.0) * u_a, n1 * n2)
     label = None
     for name, bound in EFFECT_SIZE_LABELS:
         cond = F.abs(F.col("effect_size")) < bound if bound is not None else None

@@ -31,7 +31,7 @@ def biz_monthly(m: Model) -> DataFrame:
         F.sum(_seller_net()).alias("costed_revenue"),
     )
     return orders.join(margin, "year_month", "left").withColumn(
-        "margin_rate_pct", F.lit(100.0) * F.col("gross_margin") / F.col("costed_revenue"))
+        "margin_rate_pct", F.try_divide(F.lit(100.0) * F.col("gross_margin"), F.col("costed_revenue")))
 
 
 def _step(order: int, name: str, amount):
@@ -68,8 +68,8 @@ def pareto_revenue(m: Model) -> DataFrame:
                              {"cum_revenue": "revenue"}, rank_col="rank", totals={"total": "cum_revenue"})
     return run.select(
         "product_code", "revenue", "rank",
-        (F.lit(100.0) * F.col("revenue") / F.col("total")).alias("pct"),
-        (F.lit(100.0) * F.col("cum_revenue") / F.col("total")).alias("cum_pct"),
+        F.try_divide(F.lit(100.0) * F.col("revenue"), F.col("total")).alias("pct"),
+        F.try_divide(F.lit(100.0) * F.col("cum_revenue"), F.col("total")).alias("cum_pct"),
     )
 
 

@@ -105,4 +105,4 @@ def rfm_segment_summary(m: Model) -> DataFrame:
                                     "segment string, segment_order int")
     # the share's denominator: a window over the (at most four) segment rows
     return order.join(agg, "segment", "left").withColumn(
-        "revenue_pct", F.lit(100.0) * F.col("revenue") / F.sum("revenue").over(Window.partitionBy()))
+        "revenue_pct", F.try_divide(F.lit(100.0) * F.col("revenue"), F.sum("revenue").over(Window.partitionBy())))
