@@ -168,30 +168,32 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * down[starts])
 
 
-def word_hashes(data, offsets, in_word):
-    """(hash, row) of every word of lower-cased text, in text order, segment by segment."""
-    hashes, rows = [], []
+def word_segments(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray, overlap: int = 0):
+    """Words of lower-cased rows in segments of bounded size: ``(bytes, starts,
+    ends, row, number)`` with each word's row and its number in the row. A row
+    longer than a segment goes on in the next one, which repeats its last
+    ``overlap`` words."""
     for lo, hi in row_slices(offsets):
         a, b = int(offsets[lo]), int(offsets[hi])
-        cuts = [a]
-        while b - cuts[-1] > 2 * SEGMENT_BYTES:  # one very long row: cut between words
-            cut = cuts[-1] + SEGMENT_BYTES
-            gap = np.flatnonzero(~in_word[data[cut:b]][: 1 << 16])
-            while not len(gap) and cut < b:
-                cut += 1 << 16
-                gap = np.flatnonzero(~in_word[data[cut:b]][: 1 << 16])
-            if not len(gap):
+        if b - a <= 2 * SEGMENT_BYTES:
+            part = ascii_lower(data[a:b])
+            starts, ends, row = word_spans(part, offsets[lo : hi + 1] - a, in_word)
+            number = np.arange(len(row)) - np.searchsorted(row, row)
+            yield part, starts, ends, row + lo, number
+            continue
+        begin, base = a, 0
+        while True:  # one very long row
+            end = min(begin + SEGMENT_BYTES, b)
+            while end < b and in_word[data[end]]:
+                end += 1
+            part = ascii_lower(data[begin:end])
+            starts, ends, row = word_spans(part, np.array([0, end - begin]), in_word)
+            yield part, starts, ends, row + lo, np.arange(base, base + len(row))
+            if end == b:
                 break
-            cuts.append(cut + int(gap[0]))
-        for x, y in zip(cuts, cuts[1:] + [b], strict=True):
-            part = ascii_lower(data[x:y])
-            own = np.clip(offsets[lo : hi + 1] - x, 0, y - x)
-            starts, ends, row = word_spans(part, own, in_word)
-            hashes.append(span_hash(prefix_hash(part), starts, ends))
-            rows.append(row + lo)
-    if not hashes:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(rows)
+            again = min(overlap, max(len(starts) - 1, 0))
+            base += len(starts) - again
+            begin = begin + int(starts[len(starts) - again]) if again else end
 
 
 def runs(sorted_values: np.ndarray) -> np.ndarray:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from orderlens.llm import packing, token_files
+from orderlens.llm import decontaminate, packing, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_token_files": token_files.op2_token_files,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontaminate": decontaminate.ORACLE}
