@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from orderlens.llm import decontaminate, packing, prefix_free, token_files
+from orderlens.llm import decontaminate, near_dedup, packing, prefix_free, token_files
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_token_files": token_files.op2_token_files,
+        "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_prefix_free_dedup": prefix_free.op7_prefix_free_dedup,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
     }
