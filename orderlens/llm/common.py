@@ -98,6 +98,14 @@ def row_slices(offsets: np.ndarray, max_bytes: int = SEGMENT_BYTES):
         lo = hi
 
 
+def sliced(batches, column: int, max_bytes: int = SEGMENT_BYTES // 2):
+    """Arrow batches in slices with at most ``max_bytes`` of one text column, or one row."""
+    for batch in batches:
+        if batch.num_rows:
+            for lo, hi in row_slices(text_buffer(batch.column(column))[1], max_bytes):
+                yield batch.slice(lo, hi - lo)
+
+
 def ascii_lower(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z; all other bytes stay."""
     return _LOWER[data]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import U64, documents, mix, prefix_hash, runs, span_hash, text_buffer, word_segments, write_table
+from orderlens.llm.common import U64, documents, mix, prefix_hash, runs, sliced, span_hash, text_buffer, word_segments, write_table
 from orderlens.llm.components import connected
 from orderlens.llm.decontaminate import IN_WORD, bitmap, gram_hashes
 
@@ -101,9 +101,7 @@ SIGNED = "_row long, doc_id long, text_hash long, h1 long, h2 long, bands array<
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in sliced(batches, 2):
         data, offsets = text_buffer(batch.column(2))
         row, gram, weight, n_words, sequence = shingles(data, offsets)
         n = batch.num_rows
@@ -135,7 +133,7 @@ def _signatures(row, gram, weight, n: int) -> np.ndarray:
     out = np.zeros((n, REGISTERS), np.uint64)
     bounds, lo = np.searchsorted(row, np.arange(n + 1)), 0
     while lo < n:
-        hi = max(lo + 1, min(n, int(np.searchsorted(bounds, bounds[lo] + 400_000, "right")) - 1, lo + 4000))
+        hi = max(lo + 1, min(n, int(np.searchsorted(bounds, bounds[lo] + 250_000, "right")) - 1, lo + 4000))
         a, b = bounds[lo], bounds[hi]
         out[lo:hi] = prob_min_hash(row[a:b] - lo, gram[a:b], weight[a:b], hi - lo)
         lo = hi
@@ -217,7 +215,7 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     texts = docs.select("_hash", "_text").mapInArrow(only_wanted, "_hash long, _text string").dropDuplicates(["_hash"]).join(both, "_hash")
 
     def sets(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             data, offsets = text_buffer(batch.column(1))
             row, gram, weight, _, _ = shingles(data, offsets)
             bounds = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
