@@ -14,9 +14,10 @@ bucket, up to ``SMALL`` texts are compared with one another; in a larger one all
 texts are compared with the text that stands in the most and largest buckets,
 then those that are not yet connected with it with the next such one, and what
 is left after ``ROUNDS`` of these is compared with every text of the bucket that
-a 96-byte sketch does not rule out (below 0.62 in 96 registers, over four
-standard deviations under the threshold), so that no group is paired out and no
-link is given up.
+two sketches do not rule out: the 96 registers (below 0.62, over four standard
+deviations under the threshold), and, unless shingles repeat much in a text, the
+least hashes of 512 bins of the set (below 0.74, over three). So no group is
+paired out, and only texts about as alike as the threshold are compared.
 
 Defined cases: null and empty texts are never duplicates; other texts without
 words are copies if their bytes are equal; repeated rows are copies; ties go to
@@ -42,8 +43,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 SMALL = 8
-ROUNDS = 3
+ROUNDS = 1
 LEAST_SKETCH = 0.62
+BINS = 512
+LEAST_BINS = 0.74
 
 
 # --- shingles and signatures -----------------------------------------------------------
@@ -97,7 +100,7 @@ def prob_min_hash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n_ro
     return winner.reshape(n_rows, registers)
 
 
-SIGNED = "_row long, doc_id long, text_hash long, h1 long, h2 long, bands array<long>, sketch array<long>"
+SIGNED = "_row long, doc_id long, text_hash long, h1 long, h2 long, bands array<long>, sketch array<long>, bins array<long>, heavy boolean"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +114,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.arange(n * BANDS) * ROWS
         keys = span_hash(prefix, starts, starts + ROWS) ^ mix(np.tile(np.arange(BANDS, dtype=np.uint64), n), 8)
         sketch = np.ascontiguousarray(mixed.astype(np.uint8)).view(np.int64)
+        heavy = np.bincount(row, weight, n) > 1.05 * np.bincount(row, minlength=n)
         h1, h2 = sequence.astype(np.int64), mix(sequence ^ n_words.astype(np.uint64), 4).astype(np.int64)
         raw = batch.column(3).to_numpy(zero_copy_only=False)
         size, rows = np.diff(offsets), batch.column(0).to_numpy(zero_copy_only=False)
@@ -120,9 +124,21 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([
             batch.column(0), batch.column(1), batch.column(3), pa.array(h1), pa.array(h2),
             _lists(keys.view(np.int64).reshape(n, BANDS), wordless), _lists(sketch.reshape(n, REGISTERS // 8), wordless),
+            _lists(least_of_bins(row, gram, n), wordless), pa.array(heavy),
         ], names=[c.split()[0] for c in SIGNED.split(", ")])
 
 
+def least_of_bins(row: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+    """A byte of the least hash in each of ``BINS`` bins of a row's shingles, 0
+    for an empty bin; eight bins to a number."""
+    h = mix(gram, 12)
+    slot = row * BINS + (h % U64(BINS)).astype(np.int64)
+    order = np.argsort(h)[::-1]  # the least is written last
+    out = np.zeros(n * BINS, np.uint8)
+    out[slot[order]] = (mix(h[order], 13) % U64(255)).astype(np.uint8) + 1
+    return out.view(np.int64).reshape(n, BINS // 8)
+
+
 def _lists(values: np.ndarray, empty: np.ndarray) -> pa.Array:
     sizes = np.where(empty, 0, values.shape[1])
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values[~empty].reshape(-1)))
@@ -252,16 +268,27 @@ def _set_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["b", "a", "body"])
 
 
+_ONES = f"{0x0101010101010101}L"
+
+
+def _filled(x: str) -> str:
+    """SQL for a number whose lowest bit of each byte tells if that byte of x isn't 0."""
+    for bits, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        x = f"({x} | (shiftrightunsigned({x}, {bits}) & {mask}L))"
+    return x
+
+
 def _agreement(x: str, y: str) -> str:
     """SQL for the registers in which two sketches of bytes agree."""
-    parts = []
-    for k in range(REGISTERS // 8):
-        d = f"({x}[{k}] ^ {y}[{k}])"
-        d = f"({d} | (shiftrightunsigned({d}, 4) & {0x0F0F0F0F0F0F0F0F}L))"
-        d = f"({d} | (shiftrightunsigned({d}, 2) & {0x3333333333333333}L))"
-        d = f"({d} | (shiftrightunsigned({d}, 1) & {0x5555555555555555}L))"
-        parts.append(f"bit_count({d} & {0x0101010101010101}L)")
-    return f"({REGISTERS} - ({' + '.join(parts)}))"
+    return f"({REGISTERS} - ({' + '.join(f'bit_count({_filled(f'({x}[{k}] ^ {y}[{k}])')} & {_ONES})' for k in range(REGISTERS // 8))}))"
+
+
+def _bins_alike(x: str, y: str) -> str:
+    """SQL: the share of equal bins, among those that either set fills."""
+    same = f"bit_count({_filled('(p | q)')} & ~{_filled('(p ^ q)')} & {_ONES})"
+    either = f"bit_count({_filled('(p | q)')} & {_ONES})"
+    total = "aggregate(zip_with({x}, {y}, (p, q) -> {e}), 0, (a, e) -> a + e)"
+    return f"{total.format(x=x, y=y, e=same)} >= {LEAST_BINS} * {total.format(x=x, y=y, e=either)}"
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -269,8 +296,8 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     class), ``class_row`` (that document's row)."""
     docs = _hashed(df, id_col, text_col)
     signed = write_table(docs.mapInArrow(_sign, SIGNED), "signatures")
-    first = F.min(F.struct("text_hash", "bands", "sketch")).alias("m")  # equal for all copies but for text_hash
-    texts = write_table(signed.groupBy("h1", "h2").agg(first).select("h1", "h2", F.col("m.text_hash").alias("node"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch")), "texts")
+    first = F.min(F.struct("text_hash", "bands", "sketch", "bins", "heavy")).alias("m")  # equal for all copies but for text_hash
+    texts = write_table(signed.groupBy("h1", "h2").agg(first).select("h1", "h2", F.col("m.text_hash").alias("node"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch"), F.col("m.bins").alias("bins"), F.col("m.heavy").alias("heavy")), "texts")
 
     banded = texts.select("node", F.explode("bands").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -285,27 +312,15 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tested = write_table(pairs.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = verified(docs, _to_centres(tested, support), threshold)
     labels = connected(links)
-    for round_ in range(ROUNDS + 1):
-        labelled = open_members.join(labels, "node", "left").select("bucket", "node", "support", F.coalesce("component", "node").alias("component"))
-        # of each bucket, what is not connected with its best text
-        best = labelled.groupBy("bucket").agg(F.max(F.struct("support", "node", "component")).alias("top"))
-        apart = write_table(labelled.join(best, "bucket").where("component <> top.component").select("bucket", "node", "support", "component"), "apart")
-        if not apart.limit(1).count():
-            break
-        if round_ < ROUNDS:
-            more, open_members = _stars(apart), apart.select("bucket", "node", "support")
-        else:
-            open_members = members.where(F.col("size") > SMALL).select("bucket", "node", "support")
-            more = _unlike(open_members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), apart, texts)
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = write_table(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not more.limit(1).count():
-            if round_ < ROUNDS:
-                continue
-            break
-        tested = tested.union(more)
+    for _ in range(ROUNDS):
+        more = write_table(_stars(_apart(open_members, labels)).join(tested.select("b", "a"), ["a", "b"], "left_anti"), "pairs")
         links = links.union(verified(docs, _to_centres(more, support), threshold))
         labels = connected(links)
+    rest = write_table(_apart(open_members, labels), "apart")
+    if rest.limit(1).count():
+        bands = texts.select("node", "sketch", "bins", "heavy", "bands")
+        links = links.union(verified(docs, write_table(_unlike(_labelled(open_members, labels), rest, bands), "pairs"), threshold))
+        labels = connected(links)
 
     class_of = texts.join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     rows = signed.join(class_of, ["h1", "h2"]).select("_row", "doc_id", "component", F.when(F.size("bands") == 0, F.col("h2")).alias("wordless"), F.when(F.size("bands") == 0, F.col("h1")).alias("alone"))
@@ -316,19 +331,34 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(heads, same[0] & same[1] & same[2]).select("_row", rows["doc_id"], F.col("head.doc_id").alias("class_id"), F.col("head._row").alias("class_row"))
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").select("bucket", "node", "support", F.coalesce("component", "node").alias("component"))
+
+
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of each bucket, the texts that aren't connected with its best one."""
+    own = _labelled(members, labels)
+    best = own.groupBy("bucket").agg(F.max(F.struct("support", "node", "component")).alias("top"))
+    return own.join(best, "bucket").where("component <> top.component").select("bucket", "node", "support", "component")
+
+
 def _stars(members: DataFrame) -> DataFrame:
     """Pairs of each bucket's texts with the one of most support."""
     hubs = members.groupBy("bucket").agg(F.max(F.struct("support", "node")).alias("hub"))
-    return members.join(hubs, "bucket").where("node <> hub.node").select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+    return members.join(hubs, "bucket").where("node <> hub.node").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
 
 
 def _unlike(members: DataFrame, apart: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of a text that is apart with any of its bucket of another
-    component, that their sketches do not rule out."""
-    sketch = texts.select("node", "sketch")
-    x = apart.select("bucket", "node", "component").join(sketch, "node").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-    y = members.join(sketch, "node").select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
-    return x.join(y, "bucket").where("ca <> cb").where(f"{_agreement('sa', 'sb')} >= {LEAST_SKETCH * REGISTERS}").select("a", "b")
+    component, that their sketches do not rule out; a pair that shares several
+    buckets is made in the first of them only."""
+    kept = ["node", "component", "sketch", "bins", "heavy", "bands"]
+    x, y = (t.join(texts, "node").select("bucket", F.struct(*kept).alias(n)) for t, n in ((apart.select("bucket", "node", "component"), "x"), (members.drop("support"), "y")))
+    x, y = x.withColumnRenamed("bucket", "xb"), y.withColumnRenamed("bucket", "yb")
+    alike = f"{_agreement('x.sketch', 'y.sketch')} >= {LEAST_SKETCH * REGISTERS} and (x.heavy or y.heavy or {_bins_alike('x.bins', 'y.bins')})"
+    met = F.expr(f"x.component <> y.component and {alike} and array_min(array_intersect(x.bands, y.bands)) = xb")
+    pairs = x.join(y, (F.col("xb") == F.col("yb")) & met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _to_centres(pairs: DataFrame, support: DataFrame) -> DataFrame:
