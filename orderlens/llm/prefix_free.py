@@ -56,8 +56,8 @@ MESSAGE = "bucket int, block long, body binary"
 # --- blocks --------------------------------------------------------------------------
 
 
-def to_blocks(df: DataFrame, text_col: str) -> DataFrame:
-    """Rows of ``df`` in blocks of about ``BLOCK_BYTES`` of text, as Arrow streams."""
+def to_blocks(df: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of ``df`` in blocks of about ``block_bytes`` of text, as Arrow streams."""
     ship(df.sparkSession)
     position = df.columns.index(text_col)
 
@@ -65,7 +65,7 @@ def to_blocks(df: DataFrame, text_col: str) -> DataFrame:
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             data, offsets = text_buffer(batch.column(position))
-            for lo, hi in row_slices(offsets, BLOCK_BYTES):
+            for lo, hi in row_slices(offsets, block_bytes):
                 own = batch.slice(lo, hi - lo)
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from orderlens.llm import decontaminate, near_dedup, packing, prefix_free, token_files
+from orderlens.llm import decontaminate, language_id, near_dedup, packing, prefix_free, quality, suffix_tree_lm, token_files
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_token_files": token_files.op2_token_files,
+        "op3_suffix_tree_scores": suffix_tree_lm.op3_suffix_tree_scores,
+        "op4_language_id": language_id.op4_language_id,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_prefix_free_dedup": prefix_free.op7_prefix_free_dedup,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op10_quality": quality.op10_quality,
     }
 
 
