@@ -28,7 +28,7 @@ Defined cases: null texts are empty; null ids come first; rows that repeat an
 id follow one another in input order (block, then row); rows shorter than 100
 bytes never change; empty tables give empty results; other columns are kept by
 ``remove_repeats`` and never looked at. What is left may end inside a UTF-8
-character, which ``remove_repeats`` shows as U+FFFD in the text column.
+character; ``remove_repeats`` leaves such a fragment out of the text column.
 """
 
 from __future__ import annotations
@@ -430,7 +430,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kept, bounds = _kept(block, gone)
             text, at = kept.tobytes(), rows.schema.names.index(text_col)
             null = np.asarray(rows.column(at).is_null()).tolist()
-            texts = [None if n else text[a:b].decode(errors="replace") for n, a, b in zip(null, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            texts = [None if n else text[a:b].decode(errors="ignore") for n, a, b in zip(null, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(rows.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orderlens.llm import decontaminate, language_id, near_dedup, packing, prefix_free, quality, suffix_tree_lm, token_files
+from orderlens.llm import chat, decontaminate, hash_index, language_id, near_dedup, packing, prefix_free, quality, suffix_tree_lm, token_files
 
 
 def queries() -> dict:
@@ -11,12 +11,14 @@ def queries() -> dict:
         "op2_token_files": token_files.op2_token_files,
         "op3_suffix_tree_scores": suffix_tree_lm.op3_suffix_tree_scores,
         "op4_language_id": language_id.op4_language_id,
+        "op5_hash_index": hash_index.op5_hash_index,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_prefix_free_dedup": prefix_free.op7_prefix_free_dedup,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_chat_format": chat.op9_chat_format,
         "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op9_chat_format": chat.ORACLE}
