@@ -47,6 +47,7 @@ ROUNDS = 1
 LEAST_SKETCH = 0.62
 BINS = 512
 LEAST_BINS = 0.74
+CHUNK = 512
 
 
 # --- shingles and signatures -----------------------------------------------------------
@@ -212,6 +213,20 @@ def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return documents(df, id_col, text_col).withColumn("_hash", F.xxhash64(F.coalesce("_text", F.lit(""))))
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One text for each wanted ``_hash``, with wanted's other columns. A bitmap
+    of fixed size keeps most other texts out of the join."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("_hash").alias("fp"))))
+
+    def only_wanted(batches):
+        words = bits.value
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & U64(len(words) * 64 - 1)
+            yield batch.filter(pa.array((words[(h >> U64(6)).astype(np.int64)] >> (h & U64(63))) & U64(1) == 1))
+
+    return docs.select("_hash", "_text").mapInArrow(only_wanted, "_hash long, _text string").dropDuplicates(["_hash"]).join(wanted, "_hash")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``(a, b)`` of text hashes whose similarity reaches the threshold.
 
@@ -220,15 +235,7 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     wanted = pairs.groupBy(F.col("a").alias("_hash")).agg(F.collect_set("b").alias("others"))
     centres = pairs.select(F.col("b").alias("_hash")).distinct()
     both = write_table(wanted.join(centres.withColumn("centre", F.lit(True)), "_hash", "full"), "wanted")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(both.select(F.col("_hash").alias("fp"))))
-
-    def only_wanted(batches):
-        words = bits.value
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & U64(len(words) * 64 - 1)
-            yield batch.filter(pa.array((words[(h >> U64(6)).astype(np.int64)] >> (h & U64(63))) & U64(1) == 1))
-
-    texts = docs.select("_hash", "_text").mapInArrow(only_wanted, "_hash long, _text string").dropDuplicates(["_hash"]).join(both, "_hash")
+    texts = _texts_of(docs, both)
 
     def sets(batches):
         for batch in sliced(batches, 1):
@@ -268,29 +275,6 @@ def _set_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["b", "a", "body"])
 
 
-_ONES = f"{0x0101010101010101}L"
-
-
-def _filled(x: str) -> str:
-    """SQL for a number whose lowest bit of each byte tells if that byte of x isn't 0."""
-    for bits, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        x = f"({x} | (shiftrightunsigned({x}, {bits}) & {mask}L))"
-    return x
-
-
-def _agreement(x: str, y: str) -> str:
-    """SQL for the registers in which two sketches of bytes agree."""
-    return f"({REGISTERS} - ({' + '.join(f'bit_count({_filled(f'({x}[{k}] ^ {y}[{k}])')} & {_ONES})' for k in range(REGISTERS // 8))}))"
-
-
-def _bins_alike(x: str, y: str) -> str:
-    """SQL: the share of equal bins, among those that either set fills."""
-    same = f"bit_count({_filled('(p | q)')} & ~{_filled('(p ^ q)')} & {_ONES})"
-    either = f"bit_count({_filled('(p | q)')} & {_ONES})"
-    total = "aggregate(zip_with({x}, {y}, (p, q) -> {e}), 0, (a, e) -> a + e)"
-    return f"{total.format(x=x, y=y, e=same)} >= {LEAST_BINS} * {total.format(x=x, y=y, e=either)}"
-
-
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document: ``_row``, doc_id, ``class_id`` (the smallest id of its
     class), ``class_row`` (that document's row)."""
@@ -318,8 +302,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         labels = connected(links)
     rest = write_table(_apart(open_members, labels), "apart")
     if rest.limit(1).count():
-        bands = texts.select("node", "sketch", "bins", "heavy", "bands")
-        links = links.union(verified(docs, write_table(_unlike(_labelled(open_members, labels), rest, bands), "pairs"), threshold))
+        links = links.union(_compare_apart(docs, _labelled(open_members, labels), rest, texts, threshold))
         labels = connected(links)
 
     class_of = texts.join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
@@ -348,17 +331,63 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.join(hubs, "bucket").where("node <> hub.node").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
 
 
-def _unlike(members: DataFrame, apart: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of a text that is apart with any of its bucket of another
-    component, that their sketches do not rule out; a pair that shares several
-    buckets is made in the first of them only."""
-    kept = ["node", "component", "sketch", "bins", "heavy", "bands"]
-    x, y = (t.join(texts, "node").select("bucket", F.struct(*kept).alias(n)) for t, n in ((apart.select("bucket", "node", "component"), "x"), (members.drop("support"), "y")))
-    x, y = x.withColumnRenamed("bucket", "xb"), y.withColumnRenamed("bucket", "yb")
-    alike = f"{_agreement('x.sketch', 'y.sketch')} >= {LEAST_SKETCH * REGISTERS} and (x.heavy or y.heavy or {_bins_alike('x.bins', 'y.bins')})"
-    met = F.expr(f"x.component <> y.component and {alike} and array_min(array_intersect(x.bands, y.bands)) = xb")
-    pairs = x.join(y, (F.col("xb") == F.col("yb")) & met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _compare_apart(docs: DataFrame, members: DataFrame, apart: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links of the texts that are apart with any text of their bucket that is
+    of another component. Buckets are dealt out in pairs of chunks; a chunk of
+    texts meets a chunk of others inside a task, and only links leave it."""
+    size_x, size_y = (t.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(f"n_{n}")) for t, n in ((apart, "x"), (members, "y")))
+    open_buckets = write_table(size_x.join(size_y, "bucket"), "open-buckets")
+    members = members.join(open_buckets.select("bucket"), "bucket", "left_semi")
+    body = _texts_of(docs, write_table(members.select(F.col("node").alias("_hash")).distinct(), "wanted"))
+
+    def sets(batches):
+        for batch in sliced(batches, 1):
+            data, offsets = text_buffer(batch.column(1))
+            row, gram, weight, _, _ = shingles(data, offsets)
+            at = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(gram[a:b], weight[a:b]) for a, b in zip(at, at[1:])], pa.binary())], names=["node", "body"])
+
+    known = texts.select("node", "sketch", "bins", "heavy", "bands")
+    full = write_table(body.select("_hash", "_text").mapInArrow(sets, "node long, body binary").join(known, "node"), "sets")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        placed = rows.select("bucket", "node", "component").join(open_buckets, "bucket")
+        here = F.pmod(F.hash("node"), F.col(f"n_{own}")).alias(own)
+        return placed.select("bucket", "node", "component", here, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(other)).join(full, "node")
+
+    x, y = dealt(apart, "x", "y"), dealt(members, "y", "x")
+    y = y.toDF(*y.columns)  # names of its own, for the cogroup
+    links = x.groupBy("bucket", "x", "y").cogroup(y.groupBy("bucket", "x", "y")).applyInArrow(lambda a, b: _compare(a, b, threshold), "a long, b long")
+    return write_table(links, "apart-links")
+
+
+def _compare(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
+    """Links between two chunks of a bucket: not ruled out by the sketches, of
+    different components, and in the first bucket that the two share."""
+    links: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        def lists(t, c, kind):
+            return t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).view(kind).reshape(len(t), -1)
+
+        bucket = left.column("bucket")[0].as_py()
+        (nx, cx, hx), (ny, cy, hy) = ([t.column(c).to_numpy() for c in ("node", "component", "heavy")] for t in (left, right))
+        (sx, bx, kx), (sy, by, ky) = ([lists(t, c, k) for c, k in (("sketch", np.uint8), ("bins", np.uint8), ("bands", np.int64))] for t in (left, right))
+        xs, ys = left.column("body").to_pylist(), right.column("body").to_pylist()
+        opened: dict[int, tuple] = {}
+        for i in range(len(left)):
+            at = np.flatnonzero((cy != cx[i]) & ((sy == sx[i]).sum(axis=1) >= LEAST_SKETCH * REGISTERS))
+            first = np.where(ky[at] == kx[i], ky[at], np.iinfo(np.int64).max).min(axis=1) == bucket
+            at = at[first]
+            same, either = ((by[at] == bx[i]) & (bx[i] > 0)).sum(axis=1), ((by[at] > 0) | (bx[i] > 0)).sum(axis=1)
+            at = at[(same >= LEAST_BINS * either) | hx[i] | hy[at]]
+            own = _unpacked(xs[i]) if len(at) else None
+            for j in at.tolist():
+                if j not in opened:
+                    opened[j] = _unpacked(ys[j])
+                if similarity(own, opened[j]) >= threshold:
+                    links.append((int(nx[i]), int(ny[j])))
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _to_centres(pairs: DataFrame, support: DataFrame) -> DataFrame:
