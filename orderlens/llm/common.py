@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 import orderlens
 from orderlens.session import scratch_path
 
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)

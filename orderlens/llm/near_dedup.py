@@ -47,7 +47,7 @@ ROUNDS = 1
 LEAST_SKETCH = 0.62
 BINS = 512
 LEAST_BINS = 0.74
-CHUNK = 512
+CHUNK = 256
 
 
 # --- shingles and signatures -----------------------------------------------------------

@@ -36,7 +36,7 @@ class ChunkEncoder:
 
     ``max_chunks`` bounds the memo; when it is full it starts anew."""
 
-    def __init__(self, path: str, max_chunks: int = 2_000_000):
+    def __init__(self, path: str, max_chunks: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
