@@ -18,6 +18,10 @@ from orderlens.config import (
 )
 
 
+#: White space at either end: Unicode's, and the four separators U+001C to U+001F.
+OUTER_SPACE_RE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+
 def _ci(pattern: str) -> str:
     return "(?i)" + pattern
 
@@ -37,5 +41,5 @@ def has_gift(sku: Column) -> Column:
 
 def promo_label(item_name: Column) -> Column:
     """The leading '[...]' label of the trimmed item name, else null."""
-    name = F.trim(item_name)
+    name = F.regexp_replace(item_name, OUTER_SPACE_RE, "")
     return F.when(name.rlike(PROMO_LABEL_RE), F.regexp_extract(name, PROMO_LABEL_RE, 1))

@@ -1,8 +1,8 @@
 """Closed-form test statistics as Column expressions.
 
-Spark SQL has no ``erf``; the standard-normal upper tail uses the rational
-approximation 26.2.17 of Abramowitz & Stegun (absolute error < 7.5e-8), with
-the same operation order as the SQL oracle so both engines agree.
+Spark SQL has no ``erf``; the standard-normal upper tail is half the
+complementary error function of z / sqrt(2), by Cody's rational approximations
+on three ranges, whose *relative* error stays small far out in the tail.
 """
 
 from __future__ import annotations
@@ -12,18 +12,38 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Abramowitz & Stegun 26.2.17 constants.
-_P = 0.2316419
-_B = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-_INV_SQRT_2PI = 1.0 / math.sqrt(2.0 * math.pi)
+# Coefficients of W. J. Cody's approximations (Math. Comp. 23, 1969).
+_SMALL_P = (3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3, 1.85777706184603153e-1)
+_SMALL_Q = (2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3)
+_MID_P = (5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2,
+          1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3, 2.15311535474403846e-8)
+_MID_Q = (1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3,
+          4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3)
+_FAR_P = (3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4, 1.63153871373020978e-2)
+_FAR_Q = (2.56852019228982242e0, 1.87295284992346047e0, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3)
+
+
+def _ratio(x: Column, p: tuple[float, ...], q: tuple[float, ...]) -> Column:
+    """Cody's order: the last p leads the numerator, the denominator is monic."""
+    above, below = F.lit(p[-1]) * x, x
+    for a, b in zip(p[:-2], q[:-1], strict=True):
+        above, below = (above + F.lit(a)) * x, (below + F.lit(b)) * x
+    return (above + F.lit(p[-2])) / (below + F.lit(q[-1]))
+
+
+def erfc(y: Column) -> Column:
+    """1 - erf(y) for y >= 0."""
+    square = y * y
+    small = F.lit(1.0) - y * _ratio(square, _SMALL_P, _SMALL_Q)
+    mid = F.exp(-square) * _ratio(y, _MID_P, _MID_Q)
+    inverse = F.lit(1.0) / F.greatest(square, F.lit(1e-300))
+    far = F.exp(-square) * (F.lit(1.0 / math.sqrt(math.pi)) - inverse * _ratio(inverse, _FAR_P, _FAR_Q)) / F.greatest(y, F.lit(1e-150))
+    return F.when(y <= 0.46875, small).when(y <= 4.0, mid).otherwise(far)
 
 
 def normal_upper_tail(z: Column) -> Column:
     """P(Z > z) for z >= 0 (use |z| for a two-sided test)."""
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(_P) * z)
-    poly = t * (F.lit(_B[0]) + t * (F.lit(_B[1]) + t * (F.lit(_B[2]) + t * (F.lit(_B[3]) + t * F.lit(_B[4])))))
-    pdf = F.lit(_INV_SQRT_2PI) * F.exp(-(z * z) / F.lit(2.0))
-    return pdf * poly
+    return F.lit(0.5) * erfc(z / F.lit(math.sqrt(2.0)))
 
 
 def normal_two_sided_p(z: Column) -> Column:
@@ -31,14 +51,6 @@ def normal_two_sided_p(z: Column) -> Column:
     return F.least(F.lit(1.0), F.lit(2.0) * normal_upper_tail(F.abs(z)))
 
 
-def sql_normal_upper_tail(z: str) -> str:
-    """The same approximation as SQL text (for the DuckDB oracle)."""
-    t = f"(1.0 / (1.0 + {_P!r} * ({z})))"
-    b = [repr(v) for v in _B]
-    poly = f"({t} * ({b[0]} + {t} * ({b[1]} + {t} * ({b[2]} + {t} * ({b[3]} + {t} * {b[4]})))))"
-    pdf = f"({_INV_SQRT_2PI!r} * exp(-(({z}) * ({z})) / 2.0))"
-    return f"({pdf} * {poly})"
-
-
-def sql_normal_two_sided_p(z: str) -> str:
-    return f"least(1.0, 2.0 * {sql_normal_upper_tail(f'abs({z})')})"
+def significant(x: Column, digits: int = 10) -> Column:
+    """x to so many significant digits, also when it is tiny."""
+    return F.format_string(f"%.{digits - 1}e", x).cast("double")

@@ -29,14 +29,29 @@ def completed_flag(status: Column) -> Column:
     return F.coalesce(status.isin(*COMPLETED_STATUSES), F.lit(False))
 
 
+def whole_units(c: Column) -> Column:
+    """A number or its text (``75000.0``, ``1e5``, ``-12.5``) in whole minor
+    units, halves rounded away from zero; null if it isn't a number."""
+    return F.round(c.try_cast("decimal(38,6)"), 0).try_cast("bigint")
+
+
 def money_discount(c: Column) -> Column:
     """CL5: discounts arrive negative and null when zero."""
-    return F.abs(F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")))
+    return F.abs(F.coalesce(whole_units(c), F.lit(0).cast("bigint")))
 
 
 def money_numeric(c: Column) -> Column:
     """CL6: anything -> bigint, unparseable -> null -> 0."""
-    return F.coalesce(c.try_cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(whole_units(c), F.lit(0).cast("bigint"))
+
+
+def money_failure_counts(raw: DataFrame) -> DataFrame:
+    """CL5 + CL6: per money column of the raw export, values that are present
+    but no number, and so count as 0 after cleaning."""
+    names = {c: n for c, n in {**DISCOUNT_COLUMNS, **NUMERIC_COLUMNS}.items() if c in raw.columns}
+    one = raw.agg(*[F.count_if(F.col(c).isNotNull() & whole_units(F.col(c)).isNull()).alias(n) for c, n in names.items()])
+    pairs = ", ".join(f"'{n}', `{n}`" for n in names.values())
+    return one.selectExpr(f"stack({len(names)}, {pairs}) AS (column_name, n_fail)")
 
 
 def clean_orders(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:

@@ -107,16 +107,19 @@ def dim_order_customer(orders: DataFrame) -> DataFrame:
     return orders.where(~F.col("is_bulk")).drop("is_bulk")
 
 
-def fact_order_item_customer(fact: DataFrame, orders: DataFrame) -> DataFrame:
-    """SM5: fact lines of surviving orders, as a semi-join on both keys.
-
-    The order side is pre-aggregated (one row per order), so a hot order key
-    is one row there; on the fact side AQE's skew-join handling splits an
-    oversized partition. A window count over (order, shop) would instead
-    sort a hot order's lines in a single task.
+def fact_order_item_customer(fact: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """SM5: fact lines of orders that are no bulk orders.
+
+    Lines are counted per order from the key columns alone; only the keys of
+    bulk orders remain, a few hundredths of all orders, and an anti-join on
+    both of them removes their lines. So the side that meets the lines stays
+    small (Spark broadcasts it by its measured size, or shuffles it and splits
+    a skewed partition), and a hot order is one row of it. Lines without an
+    order key belong to no order.
     """
-    keep = orders.where(~F.col("is_bulk")).select(*ORDER_KEY)
-    return fact.join(keep, ORDER_KEY, "left_semi")
+    keyed = fact.where(" AND ".join(f"{k} IS NOT NULL" for k in ORDER_KEY))
+    sizes = fact.select(*ORDER_KEY).groupBy(*ORDER_KEY).agg(F.count(F.lit(1)).alias("n"))
+    return keyed.join(sizes.where(F.col("n") >= params.bulk_threshold).drop("n"), ORDER_KEY, "left_anti")
 
 
 def dim_product(parsed: DataFrame, cost: DataFrame) -> DataFrame:
@@ -231,7 +234,7 @@ class Model:
 
     @cached_property
     def fact_customer(self) -> DataFrame:
-        return fact_order_item_customer(self.fact, self.dim_order)
+        return fact_order_item_customer(self.fact, self.params)
 
     @cached_property
     def dim_product(self) -> DataFrame:

@@ -2,9 +2,10 @@
 
 The reference loops over all codes for every row (a nested loop). Here the
 theta predicate "code is a prefix of sku" becomes equi-joins: for every code
-length L in use, ``upper(substring(sku, 1, L))`` must equal the upper-cased
-code. The longest matching length wins; among codes that fold to the same
-upper-case spelling the one listed first (lowest ordinal) wins.
+upper-cased length L in use, the first L characters of the upper-cased SKU must
+equal the upper-cased code (upper-casing can change a length, so both sides are
+upper-cased before anything is cut). The longest matching code wins, by its own
+length; among equally long ones the one listed first (lowest ordinal) wins.
 
 Plans
 -----
@@ -24,16 +25,16 @@ from pyspark.sql import functions as F
 
 
 def _keyed_codes(codes: DataFrame, code_col: str, ordinal_col: str) -> DataFrame:
+    """One row per upper-cased code: its length, and the code that wins with
+    its rank ``(own length, -ordinal)``."""
+    code = F.col(code_col)
+    rank = F.struct(F.length(code).alias("len"), (-F.col(ordinal_col)).alias("ord"))
     return (
-        codes.where(F.col(code_col).isNotNull())
-        .select(
-            F.upper(F.col(code_col)).alias("_pm_key"),
-            F.length(F.col(code_col)).alias("_pm_len"),
-            F.col(code_col).alias("_pm_code"),
-            F.col(ordinal_col).alias("_pm_ord"),
-        )
-        .groupBy("_pm_key", "_pm_len")
-        .agg(F.min_by("_pm_code", "_pm_ord").alias("_pm_code"))
+        codes.where(code.isNotNull())
+        .select(F.upper(code).alias("_pm_key"), rank.alias("_pm_rank"), code.alias("_pm_code"))
+        .groupBy("_pm_key")
+        .agg(F.max("_pm_rank").alias("_pm_rank"), F.max_by("_pm_code", "_pm_rank").alias("_pm_code"))
+        .withColumn("_pm_len", F.length("_pm_key"))
     )
 
 
@@ -73,22 +74,25 @@ def _broadcast_plan(df, keyed, lengths, sku_col, out_col):
         # unique and removes the whole left join from queries that never read
         # the product code
         side = F.broadcast(
-            keyed.where(F.col("_pm_len") == n).groupBy(F.col("_pm_key").alias(k)).agg(F.first("_pm_code").alias(c))
+            keyed.where(F.col("_pm_len") == n).groupBy(F.col("_pm_key").alias(k))
+            .agg(F.first(F.struct("_pm_rank", "_pm_code")).alias(c))
         )
-        out = out.join(side, F.upper(F.substring(F.col(sku_col), 1, n)) == F.col(k), "left").drop(k)
+        out = out.join(side, F.substring(F.upper(F.col(sku_col)), 1, n) == F.col(k), "left").drop(k)
         picked.append(F.col(c))
-    return out.withColumn(out_col, F.coalesce(*picked)).drop(*[f"_pm_c{i}" for i in range(len(lengths))])
+    best = picked[0] if len(picked) == 1 else F.greatest(*picked)  # skips nulls
+    return out.withColumn(out_col, best.getField("_pm_code")).drop(*[f"_pm_c{i}" for i in range(len(lengths))])
 
 
 def sku_code_map(skus: DataFrame, keyed: DataFrame, lengths: list[int], sku_col: str, out_col: str) -> DataFrame:
     """(sku, code) for distinct SKUs that match at least one code."""
+    upper = F.upper(F.col(sku_col))
     cand = skus.select(
-        F.col(sku_col),
+        F.col(sku_col), upper.alias("_pm_sku"),
         F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_pm_len"),
-    ).where(F.length(F.col(sku_col)) >= F.col("_pm_len"))
-    cand = cand.withColumn("_pm_key", F.upper(F.expr(f"substring(`{sku_col}`, 1, _pm_len)")))
+    ).where(F.length("_pm_sku") >= F.col("_pm_len"))
+    cand = cand.withColumn("_pm_key", F.expr("substring(_pm_sku, 1, _pm_len)"))
     hit = cand.join(keyed, ["_pm_key", "_pm_len"], "inner")
-    return hit.groupBy(sku_col).agg(F.max_by("_pm_code", "_pm_len").alias(out_col))
+    return hit.groupBy(sku_col).agg(F.max_by("_pm_code", "_pm_rank").alias(out_col))
 
 
 def _distinct_sku_plan(df, keyed, lengths, sku_col, out_col):

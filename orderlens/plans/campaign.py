@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.config import ALPHA, EFFECT_SIZE_LABELS
-from orderlens.functions.stats import normal_two_sided_p, normal_upper_tail
+from orderlens.functions.stats import normal_two_sided_p, normal_upper_tail, significant
 from orderlens.operators.model import Model
 from orderlens.operators.ranking import exact_quantiles, global_running_sum
 from orderlens.session import checkpoint_once
@@ -213,7 +213,7 @@ def ztest_cancel_rate(m: Model) -> DataFrame:
         p2.alias("cancel_rate_normal"),
         (p1 - p2).alias("diff"),
         F.round(z, 12).alias("z"),
-        F.round(normal_two_sided_p(z), 12).alias("p_value"),
+        F.when(z.isNotNull(), significant(normal_two_sided_p(z))).alias("p_value"),
     )
     return out.withColumn("decision", _decision(F.col("p_value")))
 
@@ -265,7 +265,7 @@ def mann_whitney_margin(m: Model) -> DataFrame:
         n2.cast("bigint").alias("n_b"),
         u_a.alias("u_stat"),
         F.round(z, 12).alias("z"),
-        F.round(p, 12).alias("p_value"),
+        F.when(z.isNotNull(), significant(p)).alias("p_value"),
         F.round(effect, 12).alias("effect_size"),
     )
     return out.withColumn("effect_label", label).withColumn("decision", _decision(F.col("p_value")))

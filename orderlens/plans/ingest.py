@@ -34,7 +34,7 @@ def ingest_profile(m: Model) -> DataFrame:
 
 def export_csv(m: Model) -> DataFrame:
     """IO5: the cleaned lines written as CSV to the shared scratch folder and
-    read back (rows-only check)."""
+    read back, every value as it was."""
     return export_csv_roundtrip(m.spark, _clean(m).drop("created_raw"))
 
 
@@ -65,6 +65,11 @@ def clean_money(m: Model) -> DataFrame:
         "platform_discount", "paid_price", "shipping_fee")
 
 
+def money_failure_counts(m: Model) -> DataFrame:
+    """CL5 + CL6: values of each money column that are no number."""
+    return cl.money_failure_counts(_raw(m))
+
+
 def status_distribution(m: Model) -> DataFrame:
     """CL7 + CL8: status value counts with percent of all rows."""
     return cl.value_counts(_clean(m), "status", [F.bool_or("is_completed").alias("is_completed")])

@@ -161,6 +161,7 @@ def raw_order_sources(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataF
         F.when(k % 101 == 0, F.lit(None).cast("string")).otherwise(F.col("status")).alias("status_raw"),
         "pay_method", "carrier", "carrier_type", "fail_reason",
         F.when(F.col("line_number") == 7, F.lit("n/a"))
+        .when(F.col("line_number") == 6, F.concat(F.col("unit_price").cast("string"), F.lit(".00")))
         .otherwise(F.col("unit_price").cast("string")).alias("unit_price_raw"),
         F.when(F.col("seller_discount") != 0, -F.col("seller_discount")).alias("seller_discount_raw"),
         F.when(F.col("platform_discount") != 0, -F.col("platform_discount")).alias("platform_discount_raw"),

@@ -46,7 +46,8 @@ def read_cost_csv(spark: SparkSession, path: str, code_col: str = "product_code"
 
     No inference pass: every column is read as text and only the two named
     columns are kept, the cost coerced to whole minor units (unparseable or
-    empty -> null, i.e. unknown cost, never invented). Quoted fields may hold
+    empty -> null, i.e. unknown cost, never invented; halves round away from
+    zero). Quoted fields may hold
     commas and doubled quotes; a UTF-8 byte-order mark before the header is
     dropped by the reader, so the first header name matches.
     """
@@ -59,16 +60,35 @@ def read_cost_csv(spark: SparkSession, path: str, code_col: str = "product_code"
     )
     return raw.select(
         F.col(code_col).alias("product_code"),
-        F.col(cost_col).try_cast("double").try_cast("bigint").alias("cost"),
+        F.round(F.col(cost_col).try_cast("decimal(38,6)"), 0).try_cast("bigint").alias("cost"),
     )
 
 
+#: Both ways the same, so that blanks, quotes, line breaks, empty strings and
+#: microseconds come back as they were: null is an empty field, '' a quoted one.
+CSV_OPTIONS = {
+    "header": "true", "quote": '"', "escape": '"', "nullValue": "", "quoteAll": "false",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "lineSep": "\n",
+    "dateFormat": "yyyy-MM-dd", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def export_csv(df: DataFrame, path: str) -> str:
     """IO5: CSV fallback sink with a header (one file per task, no BOM)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV_OPTIONS, emptyValue='""').csv(path)
     return path
 
 
+def read_exported_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Read back what ``export_csv`` wrote; values may hold line breaks. The
+    reader would take a quoted empty field for null as well, so it is told to
+    deliver a character that no export holds for it."""
+    raw = spark.read.schema(schema).options(**CSV_OPTIONS, emptyValue="\x00", multiLine=True).csv(path)
+    strings = [f.name for f in schema.fields if f.dataType.typeName() == "string"]
+    return raw.withColumns({c: F.when(F.col(c) == "\x00", F.lit("")).otherwise(F.col(c)) for c in strings})
+
+
 def write_table(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> str:
     """IO6: overwrite-by-name materialisation of a model table as Parquet.
 
@@ -86,4 +106,4 @@ def write_table(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> s
 def export_csv_roundtrip(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write ``df`` as CSV into the shared scratch folder and read it back."""
     path = export_csv(df, scratch_path(spark, "export-csv"))
-    return spark.read.schema(df.schema).option("header", True).csv(path)
+    return read_exported_csv(spark, path, df.schema)

@@ -5,9 +5,9 @@ same cleaning step (labelled union, personal columns dropped, timestamps
 parsed, money fixed) can instead run incrementally over a landing folder per
 shop: ``ingest_stream`` starts one file-source stream per shop, cleans each
 micro-batch with the batch functions of ``orderlens.operators.clean`` and
-appends Parquet partitioned by order month. The stream's checkpoint lives in
-the shared checkpoint folder, so a restarted or failed job resumes exactly
-where it stopped (file sources + the Parquet sink are exactly-once).
+appends Parquet partitioned by order month. The stream's checkpoint lives
+beside its sink unless another place is named, so a restarted or failed job
+resumes exactly where it stopped (file sources + the Parquet sink are exactly-once).
 """
 
 from orderlens.streaming.ingest import ingest_stream

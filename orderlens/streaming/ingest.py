@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from orderlens.config import DEFAULT, Params
 from orderlens.operators.clean import clean_orders
-from orderlens.session import scratch_path
 
 
 def ingest_stream(
@@ -27,7 +26,9 @@ def ingest_stream(
     ``landing`` maps the shop label to its landing folder; ``schema`` is the
     declared export schema (a file stream never infers). ``available_now``
     processes what has landed and stops (a scheduled incremental batch);
-    otherwise the stream keeps running.
+    otherwise the stream keeps running. Without a ``checkpoint`` the stream's
+    progress is kept beside its sink, at ``<sink_path>-checkpoint``: each call
+    for the same sink goes on where the last one stopped.
     """
     streams = []
     for label, path in landing.items():
@@ -45,7 +46,7 @@ def ingest_stream(
     writer = (
         cleaned.writeStream.format("parquet")
         .option("path", sink_path)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "ingest-stream"))
+        .option("checkpointLocation", checkpoint or f"{sink_path.rstrip('/')}-checkpoint")
         .partitionBy("order_month")
         .outputMode("append")
     )

@@ -10,7 +10,7 @@ from orderlens.plans import campaign
 
 from conftest import SF_SMALL
 
-Q = entry.queries()
+Q = entry.core_queries()
 
 
 def test_items_sum_to_fact_rows(spark):

@@ -1,8 +1,9 @@
 """CSV source and sink (IO4, IO5)."""
 
+import datetime as dt
 import tempfile
 
-from orderlens.sources.io import export_csv, read_cost_csv
+from orderlens.sources.io import export_csv, read_cost_csv, read_exported_csv
 
 
 def test_cost_csv_with_bom_and_quoted_commas(spark):
@@ -30,11 +31,13 @@ def test_model_reads_cost_csv(spark):
 
 
 def test_export_csv_roundtrip(spark):
-    df = spark.createDataFrame([(1, "a,b"), (2, None)], "id long, s string")
+    values = ["a,b", None, "", " lead", "trail ", 'say "x"', "two\nlines", "tab\t", "\\", "'", "ünïcode", '""', "#c"]
+    rows = [(i, v, dt.datetime(2024, 1, 2, 3, 4, 5, 123456) if i % 2 else None) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id long, s string, at timestamp_ntz")
     path = tempfile.mkdtemp(prefix="orderlens-csv-out-") + "/out"
     export_csv(df, path)
-    back = spark.read.schema(df.schema).option("header", True).csv(path)
-    assert sorted(back.collect()) == sorted(df.collect())
+    back = read_exported_csv(spark, path, df.schema)
+    assert sorted(map(tuple, back.collect())) == rows
 
 
 def test_materialize_model_roundtrip(spark):

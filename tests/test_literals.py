@@ -183,3 +183,42 @@ def test_empty_columns_detected_from_profile(spark):
     raw = ingest_labelled(raw_order_sources(spark, SF_SMALL)).drop("customer_name", "customer_segment")
     assert empty_columns(raw) == ["warehouse"]
     assert "warehouse" not in drop_empty_columns(raw).columns
+
+
+def test_prefix_plans_agree_where_upper_case_changes_length(spark):
+    codes = _codes(spark, [("SSßabc", 1), ("ab", 2), ("AB", 3), ("ß", 4), ("SS", 5)])
+    skus = ["ßßabc", "ssssABC-1", "a", "ab", "ß", "s", "", None, "SSx"]
+    df = spark.createDataFrame([(x,) for x in skus], "seller_sku string")
+    want = {"ßßabc": "SSßabc", "ssssABC-1": "SSßabc", "a": None, "ab": "ab", "ß": "SS", "s": None, "": None, None: None, "SSx": "SS"}
+    for strategy in ("broadcast", "distinct"):
+        got = {r.seller_sku: r.product_code for r in with_product_code(df, codes, strategy=strategy).collect()}
+        assert got == want, strategy
+
+
+def test_money_text_forms(spark):
+    from orderlens.operators.clean import money_discount, money_failure_counts, money_numeric
+
+    values = ["75000.0", "75000.00", "1e5", "-12.5", " 7 ", "n/a", "", None, "12.4"]
+    df = spark.createDataFrame([(v, v) for v in values], "unit_price_raw string, seller_discount_raw string")
+    got = [tuple(r) for r in df.select(money_numeric(F.col("unit_price_raw")), money_discount(F.col("seller_discount_raw"))).collect()]
+    assert got == [(75000, 75000), (75000, 75000), (100000, 100000), (-13, 13), (7, 7), (0, 0), (0, 0), (0, 0), (12, 12)]
+    assert {r.column_name: r.n_fail for r in money_failure_counts(df).collect()} == {"unit_price": 2, "seller_discount": 2}
+    doubles = spark.createDataFrame([(-12.5,), (float("nan"),)], "d double")
+    assert [r[0] for r in doubles.select(money_discount(F.col("d"))).collect()] == [13, 0]
+
+
+def test_promo_label_strips_all_white_space(spark):
+    names = [" [A] x", "\t[B] x", "\u00a0\n[C] x", "\u2003[D]", "\x1c[E]"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0][1] if r[0] and r[0][0] == "[" else r[0] for r in df.select(promo_label(F.col("n"))).collect()] == list("ABCDE")
+
+
+def test_normal_tail_relative_error(spark):
+    import math
+
+    from orderlens.functions.stats import normal_upper_tail
+
+    df = spark.range(0, 3001).select((F.col("id") / 100.0).alias("z"))
+    for r in df.select("z", normal_upper_tail(F.col("z")).alias("p")).collect():
+        want = 0.5 * math.erfc(r.z / math.sqrt(2.0))
+        assert abs(r.p - want) <= 1e-10 * want

@@ -8,7 +8,7 @@ from orderlens.sources.io import ingest_labelled
 
 from conftest import SF_SMALL
 
-QUERIES = entry.queries()
+QUERIES = entry.core_queries()
 
 
 def _plan(df) -> str:
@@ -37,11 +37,11 @@ def test_raw_columns_constant_matches_union(spark):
     assert sorted(raw.columns) == sorted(RAW_COLUMNS)
 
 
-def test_customer_semi_join_reuses_order_partitioning(spark):
+def test_customer_anti_join_reuses_order_partitioning(spark):
     # the lines are shuffled by order key once per branch; the (order, shop)
-    # semi-join and both order-aggregate levels add no exchange of their own
+    # anti-join on bulk orders and the count per order add no exchange of their own
     plan = _plan(QUERIES["fact_order_item_customer"](spark, "/root/testdata/sf0.1"))
-    assert "LeftSemi" in plan
+    assert "LeftAnti" in plan
     assert plan.count("hashpartitioning(l_orderkey") == 2
     assert "hashpartitioning(order_number" not in plan
 
