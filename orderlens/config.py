@@ -13,6 +13,10 @@ from dataclasses import dataclass, field
 # Order statuses that count as a completed sale.
 COMPLETED_STATUSES = ("confirmed", "delivered")
 
+# Statuses of the status mix: cancelled, and the spellings of returned.
+CANCELED_STATUS = "canceled"
+RETURNED_STATUSES = ("returned", "Package Returned", "In Transit: Returning to seller")
+
 # Personal columns of the marketplace export, dropped right after the scan.
 PII_COLUMNS = (
     "customerName", "customerEmail", "nationalRegistrationNumber",
@@ -85,10 +89,9 @@ class Params:
     empty_columns: tuple = ("warehouse",)
     # personal columns present in the adapter's raw form
     pii_columns: tuple = field(default=PII_COLUMNS + ("customer_name", "customer_segment"))
-    # number of range buckets of the distributed global rank (0 = from data size)
-    rank_buckets: int = 0
-    # codes tables up to this many rows are broadcast for the prefix match
-    max_broadcast_codes: int = 200_000
+    # lookup tables (codes, costs, parts) are broadcast up to this many bytes,
+    # measured; each executor holds one copy. Larger ones are shuffle-joined
+    max_broadcast_bytes: int = 64 << 20
     # optional folder written by ``materialize_model``: the model tables are
     # then read from it instead of being derived from the source tables
     model_dir: str | None = None
@@ -100,8 +103,6 @@ class Params:
     cost_csv: str | None = None
     cost_csv_code_col: str = "product_code"
     cost_csv_cost_col: str = "cost"
-    # product lookup tables (cost per code) up to this many rows are broadcast
-    max_broadcast_products: int = 2_000_000
 
 
 DEFAULT = Params()

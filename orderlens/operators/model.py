@@ -44,7 +44,7 @@ def parse_orders(items: DataFrame, codes: DataFrame, params: Params = DEFAULT) -
     label; drop the item name once the label is out."""
     df = items if "is_completed" in items.columns else with_completed(items)
     df = with_product_code(df, codes, "seller_sku", "product_code",
-                           max_broadcast=params.max_broadcast_codes)
+                           max_bytes=params.max_broadcast_bytes)
     return (
         df.withColumn("campaign_flag", campaign_flag(F.col("seller_sku")))
         .withColumn("has_gift", has_gift(F.col("seller_sku")))
@@ -117,9 +117,14 @@ def fact_order_item_customer(fact: DataFrame, params: Params = DEFAULT) -> DataF
     a skewed partition), and a hot order is one row of it. Lines without an
     order key belong to no order.
     """
-    keyed = fact.where(" AND ".join(f"{k} IS NOT NULL" for k in ORDER_KEY))
     sizes = fact.select(*ORDER_KEY).groupBy(*ORDER_KEY).agg(F.count(F.lit(1)).alias("n"))
-    return keyed.join(sizes.where(F.col("n") >= params.bulk_threshold).drop("n"), ORDER_KEY, "left_anti")
+    return without_orders(fact, sizes.where(F.col("n") >= params.bulk_threshold))
+
+
+def without_orders(fact: DataFrame, orders: DataFrame) -> DataFrame:
+    """Lines that have an order key and belong to none of ``orders``."""
+    keyed = fact.where(" AND ".join(f"{k} IS NOT NULL" for k in ORDER_KEY))
+    return keyed.join(orders.select(*ORDER_KEY), ORDER_KEY, "left_anti")
 
 
 def dim_product(parsed: DataFrame, cost: DataFrame) -> DataFrame:
@@ -171,7 +176,7 @@ class Model:
 
     @cached_property
     def items(self) -> DataFrame:
-        return adapter.order_items(self.spark, self.sf_dir)
+        return adapter.order_items(self.spark, self.sf_dir, self.params.max_broadcast_bytes)
 
     @cached_property
     def codes(self) -> DataFrame:
@@ -188,9 +193,12 @@ class Model:
 
     @cached_property
     def cost_lookup(self) -> tuple[DataFrame, bool]:
-        """Codes with a known cost, broadcast when the count check allows."""
-        known = self.cost.where(F.col("cost").isNotNull()).select("product_code", "cost")
-        return checked_broadcast(known, self.params.max_broadcast_products)
+        """Codes with a known cost, broadcast when the size check allows."""
+        # a written model answers with its own costs, also without the source tables
+        stored = self._stored("dim_product")
+        cost = self.cost if stored is None else stored
+        known = cost.where(F.col("cost").isNotNull()).select("product_code", "cost")
+        return checked_broadcast(known, self.params.max_broadcast_bytes)
 
     @cached_property
     def cleaned(self) -> DataFrame:
@@ -234,7 +242,10 @@ class Model:
 
     @cached_property
     def fact_customer(self) -> DataFrame:
-        return fact_order_item_customer(self.fact, self.params)
+        if self._stored("dim_order") is None:
+            return fact_order_item_customer(self.fact, self.params)
+        # the written orders know the bulk ones: no second pass over the lines
+        return without_orders(self.fact, self.dim_order.where("is_bulk"))
 
     @cached_property
     def dim_product(self) -> DataFrame:

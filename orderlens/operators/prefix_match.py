@@ -9,7 +9,7 @@ length; among equally long ones the one listed first (lowest ordinal) wins.
 
 Plans
 -----
-- *broadcast* (codes table up to ``max_broadcast`` rows, checked by a count):
+- *broadcast* (codes table up to ``max_bytes``, measured):
   one broadcast hash join per distinct code length, all inside the same
   pipeline as the scan - no shuffle at all, and a hot SKU costs nothing extra.
 - *distinct-SKU* (larger code tables): only the distinct SKUs are shuffled
@@ -23,6 +23,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.config import DEFAULT
+from orderlens.operators.joins import fits
+
 
 def _keyed_codes(codes: DataFrame, code_col: str, ordinal_col: str) -> DataFrame:
     """One row per upper-cased code: its length, and the code that wins with
@@ -38,11 +41,11 @@ def _keyed_codes(codes: DataFrame, code_col: str, ordinal_col: str) -> DataFrame
     )
 
 
-def code_lengths(keyed: DataFrame) -> tuple[list[int], int]:
-    """Distinct code lengths (longest first) and the number of codes: one tiny
-    row per length reaches the driver, never the codes themselves."""
-    rows = keyed.groupBy("_pm_len").count().collect()
-    return sorted((r["_pm_len"] for r in rows), reverse=True), sum(r["count"] for r in rows)
+def code_lengths(keyed: DataFrame) -> list[int]:
+    """Distinct code lengths, longest first: one tiny row per length reaches
+    the driver, never the codes themselves."""
+    rows = keyed.select("_pm_len").distinct().collect()
+    return sorted((r["_pm_len"] for r in rows), reverse=True)
 
 
 def with_product_code(
@@ -52,15 +55,15 @@ def with_product_code(
     out_col: str = "product_code",
     code_col: str = "code",
     ordinal_col: str = "ordinal",
-    max_broadcast: int = 200_000,
+    max_bytes: int = DEFAULT.max_broadcast_bytes,
     strategy: str = "auto",
 ) -> DataFrame:
     """Add ``out_col`` = longest case-insensitive prefix code of ``sku_col``."""
     keyed = _keyed_codes(codes, code_col, ordinal_col)
-    lengths, n_codes = code_lengths(keyed)
+    lengths = code_lengths(keyed)
     if not lengths:
         return df.withColumn(out_col, F.lit(None).cast("string"))
-    if strategy == "broadcast" or (strategy == "auto" and n_codes <= max_broadcast):
+    if strategy == "broadcast" or (strategy == "auto" and fits(keyed, max_bytes)):
         return _broadcast_plan(df, keyed, lengths, sku_col, out_col)
     return _distinct_sku_plan(df, keyed, lengths, sku_col, out_col)
 
@@ -105,7 +108,7 @@ def product_code_map(skus: DataFrame, codes: DataFrame, sku_col: str = "seller_s
                      ordinal_col: str = "ordinal") -> DataFrame:
     """(sku, product_code or null) for a frame of distinct SKUs."""
     keyed = _keyed_codes(codes, code_col, ordinal_col)
-    lengths, _ = code_lengths(keyed)
+    lengths = code_lengths(keyed)
     if not lengths:
         return skus.withColumn(out_col, F.lit(None).cast("string"))
     return skus.join(sku_code_map(skus, keyed, lengths, sku_col, out_col), sku_col, "left")

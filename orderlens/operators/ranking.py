@@ -27,6 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderlens.config import DEFAULT
 from orderlens.operators.joins import checked_broadcast
 from orderlens.session import checkpoint_once
 
@@ -99,7 +100,7 @@ def quintile_from_rank(rank: Column, n: Column, bins: int = 5) -> Column:
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_cols: Sequence[str] = (),
                     prefix: str = "q", weight: str | None = None,
-                    max_broadcast_groups: int = 1_000_000) -> DataFrame:
+                    max_broadcast_bytes: int = DEFAULT.max_broadcast_bytes) -> DataFrame:
     """Exact quantiles with linear interpolation (the ``quantile_cont`` /
     ``percentile`` definition) per group, without holding any group's values
     in one task.
@@ -123,9 +124,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_col
         run = run.withColumn("_eq_prev", F.col("_eq_cum") - F.col("_eq_c"))
         spans = run.groupBy(*groups).agg(F.min("_eq_prev").alias("_eq_start"), F.sum("_eq_c").alias("_eq_n"))
         spans = spans.select(*[F.col(g).alias(f"_eq_t_{g}") for g in groups], "_eq_start", "_eq_n")
-        # one row per group, read from the checkpointed running sums: counted,
+        # one row per group, read from the checkpointed running sums: measured,
         # then broadcast when small (a shuffle join otherwise)
-        spans, _ = checked_broadcast(spans, max_broadcast_groups)
+        spans, _ = checked_broadcast(spans, max_broadcast_bytes)
         keys = [F.col(g).eqNullSafe(F.col(f"_eq_t_{g}")) for g in groups]
         run = run.join(spans, keys, "inner").drop(*[f"_eq_t_{g}" for g in groups])
     else:

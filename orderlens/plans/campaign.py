@@ -90,29 +90,14 @@ def _by_product_group(m: Model) -> DataFrame:
     return _with_eligibility(agg, m.params.min_sample)
 
 
-def _by_value(m: Model, materialize: bool = False, slim: bool = False) -> DataFrame:
-    """One pass over the customer lines with a cost: partial sums per
-    (product, group, margin per initiated line), eligible products only.
-    ``slim`` keeps only the line count (all the rank test needs);
-    ``materialize`` writes it to the checkpoint folder for callers that read
-    it twice."""
-    done = F.col("is_completed")
-    im = _item_margin(m).withColumn(
-        "margin_initiated", F.when(done, F.col("margin")).otherwise(F.lit(0)))
-    sums = [F.count(F.lit(1)).alias("n")] if slim else _partial_sums(done)
-    agg = im.groupBy("product_code", "sale_group", "margin_initiated").agg(*sums)
-    # eligibility from the same collapsed rows (re-aggregated per product, a
-    # subset of the size-checked cost table, hence broadcast when it is)
-    g, k = F.col("sale_group"), m.params.min_sample
-    elig = agg.groupBy("product_code").agg(
-        F.sum(F.when(g == CAMPAIGN, F.col("n")).otherwise(0)).alias("n_c"),
-        F.sum(F.when(g == NORMAL, F.col("n")).otherwise(0)).alias("n_n"),
-    ).where((F.col("n_c") >= k) & (F.col("n_n") >= k)).select("product_code")
+def _by_value(m: Model, eligible: DataFrame) -> DataFrame:
+    """Lines of the eligible products by (group, margin per initiated line).
+    The eligible products are a subset of the cost table and broadcast if it
+    is, so the lines go straight to these counts, whatever their product."""
     _, small = m.cost_lookup
-    coll = agg.join(F.broadcast(elig) if small else elig, "product_code", "left_semi")
-    if not materialize:
-        return coll
-    return checkpoint_once(coll)
+    margin = F.when(F.col("is_completed"), F.col("margin")).otherwise(F.lit(0))
+    lines = _item_margin(m).join(F.broadcast(eligible) if small else eligible, "product_code", "left_semi")
+    return lines.groupBy("sale_group", margin.alias("margin_initiated")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _cancel_pct() -> Column:
@@ -163,16 +148,17 @@ def campaign_margin_pooled(m: Model) -> DataFrame:
 def campaign_summary(m: Model) -> DataFrame:
     """A2f + ST4: the notebook's line-level summary per group.
 
-    The means are ratios of integer sums of the collapsed rows (exact); the
-    median is the distributed exact quantile over the same rows (money has no
-    bounded domain, so no per-group value map is merged in one task).
+    The means are ratios of the integer sums per (product, group), which are
+    written once (at most two rows a product) and also give the eligible
+    products; the median is the distributed exact quantile over the counts per
+    (group, margin) of their lines.
     Discount depth divides by the list price; a zero list price gives null
     (skipped by the mean) instead of infinity. The mean of ratios is a sum of
     non-integers whose last bits depend on summation order, so it is rounded
     to 9 decimals.
     """
-    coll = _by_value(m, materialize=True)
-    agg = coll.groupBy("sale_group").agg(
+    rows = checkpoint_once(_by_product_group(m).where(F.col("is_eligible")))
+    agg = rows.groupBy("sale_group").agg(
         F.sum("n").alias("n_lines"),
         (F.lit(100.0) * (F.sum("n_bad") / F.sum("n"))).alias("cancel_pct"),
         F.try_divide(F.sum("s_realised"), F.sum("n_done")).alias("realised_price_completed"),
@@ -180,7 +166,8 @@ def campaign_summary(m: Model) -> DataFrame:
         F.try_divide(F.sum("s_margin_initiated"), F.sum("n_done")).alias("mean_margin_completed"),
         (F.sum("s_margin_initiated") / F.sum("n")).alias("mean_margin_initiated"),
     )
-    med = exact_quantiles(coll, "margin_initiated", [0.5], ["sale_group"], weight="n").withColumnRenamed(
+    values = _by_value(m, rows.select("product_code").distinct())
+    med = exact_quantiles(values, "margin_initiated", [0.5], ["sale_group"], weight="n").withColumnRenamed(
         "q_0.5", "median_margin_initiated")
     return agg.join(med, "sale_group", "left")
 
@@ -230,7 +217,7 @@ def mann_whitney_margin(m: Model) -> DataFrame:
     U_A = sum_v nA(v) * (B_below(v) + nB(v)/2); tie term sum(t^3 - t).
     """
     g = F.col("sale_group")
-    collapsed = _by_value(m, slim=True).groupBy(F.col("margin_initiated").alias("v")).agg(
+    collapsed = _by_value(m, eligible_products(m)).groupBy(F.col("margin_initiated").alias("v")).agg(
         F.coalesce(F.sum(F.when(g == CAMPAIGN, F.col("n"))), F.lit(0)).alias("na"),
         F.coalesce(F.sum(F.when(g == NORMAL, F.col("n"))), F.lit(0)).alias("nb"),
     )

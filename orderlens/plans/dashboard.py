@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderlens.config import CANCELED_STATUS, RETURNED_STATUSES
 from orderlens.functions.calendar import year_month
 from orderlens.operators.model import Model
 from orderlens.operators.ranking import global_rank, global_running_sum
@@ -19,7 +20,11 @@ def _seller_net():
 def biz_monthly(m: Model) -> DataFrame:
     """DB1: per month, completed orders' revenue (net of seller discount), AOV
     (paid incl. shipping), gross margin over lines with a known cost and the
-    margin rate on those lines' revenue."""
+    margin rate on those lines' revenue.
+
+    Two grains, as the page shows them: revenue and AOV are of orders whose
+    lines are all completed, margin and ``costed_revenue`` (the base of the
+    rate) of completed lines of any order."""
     done = F.col("is_completed")
     orders = m.orders.where(done).groupBy(year_month(F.col("order_date")).alias("year_month")).agg(
         F.count(F.lit(1)).alias("n_orders"),
@@ -95,8 +100,8 @@ def status_mix_by_month(m: Model) -> DataFrame:
     st = F.col("status")
     group = (
         F.when(F.col("is_completed"), "completed")
-        .when(st == "canceled", "canceled")
-        .when(st.isin("returned", "Package Returned", "In Transit: Returning to seller"), "returned")
+        .when(st == CANCELED_STATUS, "canceled")
+        .when(st.isin(*RETURNED_STATUSES), "returned")
         .otherwise("other")
     )
     agg = m.fact_customer.groupBy(

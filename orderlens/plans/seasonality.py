@@ -1,19 +1,19 @@
 """Seasonality of one shop's customer orders (SEa-SEk).
 
-Calendar joins use small frames whose size is bounded by the calendar, not
-by the data: the double dates (at most 12 per year), the day windows around
-each holiday, and the dense daily series (one row per day of the range).
-Range predicates ("date within [h-14, h-1]") are turned into equi-joins by
-exploding each window into its days.
+Everything by day follows from one frame with a row for each day that has
+orders, aggregated from the orders in one pass; its size is bounded by the
+calendar, not by the data, so the windows over all of its rows are small.
+A double date is told by its day and month alone, and range predicates ("date
+within [h-14, h-1]") become equi-joins by exploding each window into its days.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.calendar import weekday0, year_month
-from orderlens.operators.model import Model, date_spine
+from orderlens.operators.model import ORDER_KEY, Model, date_spine
 
 
 def _shop_orders(m: Model) -> DataFrame:
@@ -24,19 +24,32 @@ def _shop_fact(m: Model) -> DataFrame:
     return m.fact_customer.where(F.col("shop") == m.params.seasonality_shop)
 
 
-def _bounds(orders: DataFrame) -> DataFrame:
-    return orders.agg(F.min("order_date").alias("lo"), F.max("order_date").alias("hi"))
+def _is_double(date: Column) -> Column:
+    """Day and month are the same number; false for a null date."""
+    return F.coalesce(F.dayofmonth(date) == F.month(date), F.lit(False))
 
 
-def _double_dates(orders: DataFrame) -> DataFrame:
-    spine = date_spine(_bounds(orders))
-    return spine.where(F.dayofmonth("date") == F.month("date"))
+def _daily(m: Model) -> DataFrame:
+    """Per order date of the shop: orders, and sums over the completed ones."""
+    done = F.col("is_completed")
+
+    def over_done(c: str) -> Column:
+        return F.sum(F.when(done, F.col(c))).alias(f"done_{c}")
+
+    return _shop_orders(m).groupBy(F.col("order_date").alias("date")).agg(
+        F.count(F.lit(1)).alias("n_orders"),
+        F.count_if(done).alias("n_done"),
+        over_done("total_paid_price"), over_done("total_seller_discount"), over_done("total_platform_discount"),
+    )
 
 
-def _daily_dense(orders: DataFrame) -> DataFrame:
-    counts = orders.groupBy(F.col("order_date").alias("date")).agg(F.count(F.lit(1)).alias("n_orders"))
-    spine = date_spine(_bounds(orders))
-    return spine.join(counts, "date", "left").select("date", F.coalesce("n_orders", F.lit(0)).alias("n_orders"))
+def _daily_dense(m: Model) -> DataFrame:
+    """Orders per calendar day between the first and the last one: each day
+    with orders also gives the days up to the next, with 0 orders."""
+    until = F.coalesce(F.date_sub(F.lead("date").over(Window.orderBy("date")), 1), F.col("date"))
+    days = _daily(m).where(F.col("date").isNotNull()).select("n_orders", F.col("date").alias("first"), until.alias("until"))
+    spans = days.select("n_orders", "first", F.explode(F.sequence("first", "until")).alias("date"))
+    return spans.select("date", F.when(F.col("date") == F.col("first"), F.col("n_orders")).otherwise(F.lit(0)).alias("n_orders"))
 
 
 def _holidays(m: Model) -> DataFrame:
@@ -70,7 +83,8 @@ def monthly_net_revenue(m: Model) -> DataFrame:
 
 def double_dates(m: Model) -> DataFrame:
     """SEc: days d/m with d = m (9/9 and 11/11 included) inside the shop's range."""
-    return _double_dates(_shop_orders(m))
+    bounds = _shop_orders(m).agg(F.min("order_date").alias("lo"), F.max("order_date").alias("hi"))
+    return date_spine(bounds).where(_is_double(F.col("date")))
 
 
 def campaign_rate_baseline(m: Model) -> DataFrame:
@@ -82,51 +96,55 @@ def campaign_rate_baseline(m: Model) -> DataFrame:
 
 
 def campaign_rate_on_double_dates(m: Model) -> DataFrame:
-    """SEe: per double date: orders, lines and campaign-flag rate."""
-    orders = _shop_orders(m)
-    dd = F.broadcast(_double_dates(orders).withColumnRenamed("date", "order_date"))
-    by_date = (
-        _shop_fact(m).join(dd, "order_date", "left_semi")
-        .groupBy("order_date")
-        .agg(
-            F.count(F.lit(1)).alias("n_lines"),
-            F.sum(F.col("campaign_flag").isNotNull().cast("int")).alias("n_flagged"),
-        )
+    """SEe: per double date: orders, lines and campaign-flag rate.
+
+    One pass over the lines: partial sums per (order, day), from which a window
+    over the order's few days tells its size (bulk or not) and its date; then
+    everything is summed per day. Lines without an order key count for no day.
+    """
+    p = m.params
+    order = Window.partitionBy(*ORDER_KEY)
+    lines = m.fact.where(F.col("shop") == p.seasonality_shop)
+    parts = lines.groupBy(*ORDER_KEY, "order_date").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("campaign_flag").isNotNull()).alias("flagged"))
+    parts = parts.select(
+        "*", F.sum("n").over(order).alias("order_size"), F.min("order_date").over(order).alias("first_date"))
+    keyed = F.col("order_number").isNotNull()
+    days = parts.where(F.col("order_size") < p.bulk_threshold).groupBy("order_date").agg(
+        F.sum(F.when(keyed, F.col("n"))).alias("n_lines"),
+        F.sum(F.when(keyed, F.col("flagged"))).alias("n_flagged"),
+        F.count_if(F.col("order_date") == F.col("first_date")).alias("n_orders"),
     )
-    n_orders = orders.join(dd, "order_date", "left_semi").groupBy("order_date").agg(
-        F.count(F.lit(1)).alias("n_orders"))
-    return by_date.join(n_orders, "order_date", "left").select(
-        "order_date", "n_orders", "n_lines", (F.col("n_flagged") / F.col("n_lines")).alias("campaign_rate")
+    with_orders = F.when(F.col("n_orders") > 0, F.col("order_date"))
+    whole = Window.partitionBy()
+    days = days.select("*", F.min(with_orders).over(whole).alias("lo"), F.max(with_orders).over(whole).alias("hi"))
+    return days.where(
+        _is_double(F.col("order_date")) & F.col("order_date").between(F.col("lo"), F.col("hi")) & (F.col("n_lines") > 0)
+    ).select(
+        "order_date", F.when(F.col("n_orders") > 0, F.col("n_orders")).alias("n_orders"), "n_lines",
+        (F.col("n_flagged") / F.col("n_lines")).alias("campaign_rate"),
     )
 
 
-def _flag_campaign(orders: DataFrame) -> DataFrame:
-    dd = F.broadcast(_double_dates(orders).select(F.col("date").alias("order_date"), F.lit(True).alias("_dd")))
-    return orders.join(dd, "order_date", "left").withColumn("is_campaign_day", F.coalesce("_dd", F.lit(False))).drop("_dd")
-
-
 def campaign_day_summary(m: Model) -> DataFrame:
     """SEf: campaign days vs other days; per-day means use the days that had
     orders; AOV and mean discount over completed orders."""
-    done = F.col("is_completed")
-    agg = _flag_campaign(_shop_orders(m)).groupBy("is_campaign_day").agg(
-        F.count_distinct("order_date").alias("days_with_orders"),
-        F.count(F.lit(1)).alias("n_orders"),
-        (F.lit(100.0) * (F.lit(1) - F.avg(done.cast("int")))).alias("cancel_pct"),
-        F.avg(F.when(done, F.col("total_paid_price"))).alias("aov_completed"),
-        F.try_divide(
-            F.sum(F.when(done, F.col("total_seller_discount"))) + F.sum(F.when(done, F.col("total_platform_discount"))),
-            F.count_if(done),
-        ).alias("mean_discount_completed"),
+    n, done = F.sum("n_orders"), F.sum("n_done")
+    agg = _daily(m).groupBy(_is_double(F.col("date")).alias("is_campaign_day")).agg(
+        F.count("date").alias("days_with_orders"),
+        n.alias("n_orders"),
+        (F.lit(100.0) * (F.lit(1) - done / n)).alias("cancel_pct"),
+        F.try_divide(F.sum("done_total_paid_price"), done).alias("aov_completed"),
+        F.try_divide(F.sum("done_total_seller_discount") + F.sum("done_total_platform_discount"), done).alias(
+            "mean_discount_completed"),
     )
-    return agg.withColumn("orders_per_day", F.col("n_orders") / F.col("days_with_orders"))
+    return agg.withColumn("orders_per_day", F.try_divide(F.col("n_orders"), F.col("days_with_orders")))
 
 
 def campaign_weekday_mix(m: Model) -> DataFrame:
     """SEg: weekdays of the campaign days that had orders."""
-    days = _flag_campaign(_shop_orders(m)).where(F.col("is_campaign_day")).select("order_date").distinct()
-    return days.groupBy(
-        F.date_format("order_date", "EEEE").alias("weekday_name"), weekday0(F.col("order_date")).alias("weekday_num")
+    return _daily(m).where(_is_double(F.col("date"))).groupBy(
+        F.date_format("date", "EEEE").alias("weekday_name"), weekday0(F.col("date")).alias("weekday_num")
     ).agg(F.count(F.lit(1)).alias("n_days"))
 
 
@@ -136,18 +154,23 @@ def pre_holiday_summary(m: Model) -> DataFrame:
     p = m.params
     pre_days = (
         _holidays(m)
-        .select(F.explode(F.sequence(F.date_sub("holiday", p.pre_holiday_days), F.date_sub("holiday", 1))).alias("order_date"))
+        .select(F.explode(F.sequence(F.date_sub("holiday", p.pre_holiday_days), F.date_sub("holiday", 1))).alias("date"))
         .distinct()
         .withColumn("_pre", F.lit(True))
     )
-    o = _flag_campaign(_shop_orders(m)).join(F.broadcast(pre_days), "order_date", "left")
+    days = _daily(m).join(F.broadcast(pre_days), "date", "left")
     pre = F.coalesce(F.col("_pre"), F.lit(False))
-    base = ~pre & ~F.col("is_campaign_day")
-    one = o.agg(
-        F.count_distinct(F.when(pre, F.col("order_date"))).alias("d_pre"),
-        F.count_if(pre).alias("n_pre"),
-        F.count_distinct(F.when(base, F.col("order_date"))).alias("d_base"),
-        F.count_if(base).alias("n_base"),
+    base = ~pre & ~_is_double(F.col("date"))
+    has_date = F.col("date").isNotNull()
+
+    def orders_of(kind: Column) -> Column:
+        return F.coalesce(F.sum(F.when(kind, F.col("n_orders"))), F.lit(0))
+
+    one = days.agg(
+        F.count_if(pre & has_date).alias("d_pre"),
+        orders_of(pre).alias("n_pre"),
+        F.count_if(base & has_date).alias("d_base"),
+        orders_of(base).alias("n_base"),
     )
     rows = F.array(
         F.struct(F.lit("pre_holiday").alias("period"), F.col("d_pre").alias("days_with_orders"), F.col("n_pre").alias("n_orders")),
@@ -161,7 +184,7 @@ def pre_holiday_summary(m: Model) -> DataFrame:
 
 def daily_orders_dense(m: Model) -> DataFrame:
     """SEi: orders per calendar day, days without orders as 0."""
-    return _daily_dense(_shop_orders(m))
+    return _daily_dense(m)
 
 
 def holiday_window_daily(m: Model) -> DataFrame:
@@ -172,7 +195,7 @@ def holiday_window_daily(m: Model) -> DataFrame:
         "holiday",
         F.explode(F.sequence(F.lit(-p.holiday_window_before), F.lit(p.holiday_window_after))).alias("offset"),
     ).withColumn("date", F.date_add("holiday", F.col("offset")))
-    return _daily_dense(_shop_orders(m)).join(F.broadcast(win), "date", "inner").select(
+    return _daily_dense(m).join(F.broadcast(win), "date", "inner").select(
         "holiday", "date", "offset", "n_orders")
 
 
@@ -181,13 +204,13 @@ def campaign_offset_profile(m: Model) -> DataFrame:
     days outside the data range are dropped, days inside without orders count
     as 0 (the denominator is calendar days)."""
     span = m.params.campaign_offset_span
-    orders = _shop_orders(m)
-    around = _double_dates(orders).select(
-        F.col("date").alias("campaign_day"),
-        F.explode(F.sequence(F.lit(-span), F.lit(span))).alias("offset"),
-    ).withColumn("date", F.date_add("campaign_day", F.col("offset")))
+    whole = Window.partitionBy()
+    days = _daily_dense(m).select("*", F.min("date").over(whole).alias("lo"), F.max("date").over(whole).alias("hi"))
+    around = days.select(
+        "n_orders", "date", "lo", "hi", F.explode(F.sequence(F.lit(-span), F.lit(span))).alias("offset"),
+    ).withColumn("campaign_day", F.date_sub("date", F.col("offset")))
     return (
-        around.join(_daily_dense(orders), "date", "inner")
+        around.where(_is_double(F.col("campaign_day")) & F.col("campaign_day").between(F.col("lo"), F.col("hi")))
         .groupBy("offset")
         .agg(F.avg("n_orders").alias("mean_orders"), F.count(F.lit(1)).alias("calendar_days"))
     )

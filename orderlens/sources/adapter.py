@@ -11,8 +11,8 @@ the line count, so it is never a broadcast candidate at scale; it is joined
 with a sort-merge join, which leaves the lines hash-partitioned by order key,
 and every later (order, shop) aggregate, the customer-order semi-join and the
 order-level join-backs reuse that partitioning instead of shuffling the lines
-again. ``part`` is joined after it as a broadcast when a row count shows it
-is small (its strings then stay out of the line shuffle), else before it as
+again. ``part`` is joined after it as a broadcast when a check of its bytes
+shows it is small (its strings then stay out of the line shuffle), else before it as
 its own shuffle join, so the orders join still comes last.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlens.config import DEFAULT
 from orderlens.operators.joins import checked_broadcast
 from orderlens.sources.io import read_table
 
@@ -58,11 +59,10 @@ def _idiv(a: Column, n: int) -> Column:
     return ((a - a % n) / n).cast("bigint")
 
 
-def _joined(spark: SparkSession, sf_dir: str, max_broadcast_parts: int = 5_000_000) -> DataFrame:
+def _joined(spark: SparkSession, sf_dir: str, max_broadcast_bytes: int = DEFAULT.max_broadcast_bytes) -> DataFrame:
     """lineitem joined to part and orders.
 
-    When ``part`` is small enough to broadcast (a row count from the Parquet
-    footers), it is joined *after* the orders sort-merge join: its string
+    When ``part`` is small enough to broadcast (a check of its bytes), it is joined *after* the orders sort-merge join: its string
     columns then never travel through the line shuffle, and the broadcast
     join keeps the order-key partitioning. A large ``part`` is joined first
     (its own shuffle join on the part key), so that the orders join still
@@ -74,7 +74,7 @@ def _joined(spark: SparkSession, sf_dir: str, max_broadcast_parts: int = 5_000_0
     )
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    part_b, small = checked_broadcast(part, max_broadcast_parts)
+    part_b, small = checked_broadcast(part, max_broadcast_bytes)
     if small:
         x = li.join(orders.hint("merge"), li.l_orderkey == orders.o_orderkey, "inner")
         return x.join(part_b, x.l_partkey == part_b.p_partkey, "inner")
@@ -82,9 +82,9 @@ def _joined(spark: SparkSession, sf_dir: str, max_broadcast_parts: int = 5_000_0
     return x.join(orders.hint("merge"), x.l_orderkey == orders.o_orderkey, "inner")
 
 
-def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_items(spark: SparkSession, sf_dir: str, max_broadcast_bytes: int = DEFAULT.max_broadcast_bytes) -> DataFrame:
     """Clean order-item lines (the input of SKU parsing and the model)."""
-    x = _joined(spark, sf_dir)
+    x = _joined(spark, sf_dir, max_broadcast_bytes)
 
     ln = F.col("l_linenumber")
     suffix = F.coalesce(_pick(ln - 1, SKU_SUFFIXES), F.lit(""))

@@ -75,6 +75,39 @@ def test_queries_on_materialised_model_match(spark):
         assert a == b, k
 
 
+def test_written_model_is_read_once_and_has_its_own_costs(spark):
+    from orderlens.config import Params
+    from orderlens.operators.model import Model, materialize_model
+    from orderlens.plans import registry
+
+    from conftest import SF_SMALL
+
+    base = tempfile.mkdtemp(prefix="orderlens-model-once-")
+    cost = tempfile.mkdtemp(prefix="orderlens-cost-") + "/cost.csv"
+    with open(cost, "w") as f:
+        f.write("product_code,cost\nBrand#10,123\n")
+    materialize_model(Model(spark, SF_SMALL, Params(cost_csv=cost)), base)
+    m = Model(spark, "/nowhere", Params(model_dir=base))  # no source tables at all
+    assert {(r.product_code, r.cost) for r in registry.QUERY_KEYS["item_margin"](m).select("product_code", "cost").distinct().collect()} == {("Brand#10", 123)}
+    for k in ("incomplete_by_reason", "unpaid_by_pay_method", "campaign_rate_on_double_dates", "campaign_margin_pooled",
+              "campaign_rate_baseline", "status_mix_by_month", "cancel_rate_by_product"):
+        plan = registry.QUERY_KEYS[k](m)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(f"{base}/fact_order_item") == 1, k
+    for k in ("daily_orders_dense", "campaign_offset_profile", "campaign_day_summary", "pre_holiday_summary", "campaign_weekday_mix"):
+        plan = registry.QUERY_KEYS[k](m)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(f"{base}/fact_order_item") == 0 and plan.count(f"{base}/dim_order") == 1, k
+
+
+def test_broadcast_bound_is_in_bytes(spark):
+    from orderlens.operators.joins import checked_broadcast
+
+    narrow = spark.range(1000)
+    wide = narrow.selectExpr("id", "repeat('x', 2000) AS text")
+    assert checked_broadcast(narrow, 1 << 20)[1] and not checked_broadcast(wide, 1 << 20)[1]
+    assert checked_broadcast(wide, 4 << 20)[1] and not checked_broadcast(narrow, 1000)[1]
+    assert checked_broadcast(narrow.limit(0), 0)[1]
+
+
 def test_bucketed_model_joins_without_shuffle(spark):
     from orderlens.config import Params
     from orderlens.operators.model import Model, materialize_model
