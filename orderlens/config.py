@@ -32,6 +32,18 @@ PII_COLUMNS = (
     "buyerFailedDeliveryUserName", "sellerNote",
 )
 
+# Headers of the marketplace export and the names they have here; other columns
+# of an export are not read.
+EXPORT_COLUMNS = {
+    "orderNumber": "order_number", "orderItemId": "line_number", "sellerSku": "seller_sku", "itemName": "item_name",
+    "status": "status_raw", "payMethod": "pay_method", "shippingProvider": "carrier", "shippingProviderType": "carrier_type",
+    "buyerFailedDeliveryReason": "fail_reason", "buyerFailedDeliveryDetail": "fail_detail",
+    "unitPrice": "unit_price_raw", "paidPrice": "paid_price", "shippingFee": "shipping_fee",
+    "sellerDiscountTotal": "seller_discount_raw", "platformDiscountTotal": "platform_discount_raw",
+    "bundleDiscount": "bundle_discount_raw", "createTime": "created_raw", "updateTime": "updated_raw",
+    "deliveredDate": "delivered_raw", "promisedShippingTime": "promised_raw",
+}
+
 # Timestamp format of the export, e.g. '14 Nov 2022 10:35'.
 RAW_TIMESTAMP_FORMAT = "d MMM yyyy HH:mm"
 

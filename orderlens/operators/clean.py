@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 from orderlens.config import COMPLETED_STATUSES, DEFAULT, Params
 from orderlens.functions.calendar import parse_export_timestamp
 
-DATE_COLUMNS = {"created_raw": "created_at"}
+DATE_COLUMNS = {
+    "created_raw": "created_at", "updated_raw": "updated_at", "delivered_raw": "delivered_at", "promised_raw": "promised_at",
+}
 DISCOUNT_COLUMNS = {"seller_discount_raw": "seller_discount", "platform_discount_raw": "platform_discount"}
-NUMERIC_COLUMNS = {"unit_price_raw": "unit_price", "paid_price": "paid_price", "shipping_fee": "shipping_fee"}
+NUMERIC_COLUMNS = {
+    "unit_price_raw": "unit_price", "paid_price": "paid_price", "shipping_fee": "shipping_fee",
+    "bundle_discount_raw": "bundle_discount",
+}
 
 
 def drop_columns(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -87,12 +92,10 @@ def null_ratio_profile(df: DataFrame) -> DataFrame:
 
 def parse_failure_counts(df: DataFrame) -> DataFrame:
     """CL4: per date column, values present in the raw text but null after parsing."""
-    parts = []
-    for raw_col, parsed in DATE_COLUMNS.items():
-        parts.append(F.count_if(F.col(raw_col).isNotNull() & F.col(parsed).isNull()).alias(parsed))
-    one = df.agg(*parts)
-    pairs = ", ".join(f"'{p}', `{p}`" for p in DATE_COLUMNS.values())
-    return one.selectExpr(f"stack({len(DATE_COLUMNS)}, {pairs}) AS (column_name, n_fail)")
+    dates = {raw: parsed for raw, parsed in DATE_COLUMNS.items() if raw in df.columns}
+    one = df.agg(*[F.count_if(F.col(raw).isNotNull() & F.col(parsed).isNull()).alias(parsed) for raw, parsed in dates.items()])
+    pairs = ", ".join(f"'{p}', `{p}`" for p in dates.values())
+    return one.selectExpr(f"stack({len(dates)}, {pairs}) AS (column_name, n_fail)")
 
 
 def value_counts(df: DataFrame, col: str, extra=()) -> DataFrame:

@@ -11,6 +11,7 @@ span two shops.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 from orderlens.config import DEFAULT, Params
 from orderlens.functions.calendar import weekday0, year_month
 from orderlens.functions.sku import campaign_flag, has_gift, promo_label
-from orderlens.operators.clean import completed_flag, normalise_category
+from orderlens.operators.clean import clean_orders, completed_flag, normalise_category
 from orderlens.operators.joins import checked_broadcast
 from orderlens.operators.prefix_match import with_product_code
+from orderlens.session import check_session
 from orderlens.sources import adapter
+from orderlens.sources.io import ingest_labelled, read_export
 
 ORDER_KEY = ["order_number", "shop"]
 
@@ -31,6 +34,7 @@ FACT_COLUMNS = [
     "has_gift", "promo_label", "status", "is_completed", "unit_price", "paid_price",
     "shipping_fee", "seller_discount", "platform_discount", "carrier", "carrier_type",
     "fail_reason", "order_date", "created_at", "updated_at", "delivered_at",
+    "bundle_discount", "fail_detail", "promised_at",
 ]
 
 
@@ -173,11 +177,17 @@ class Model:
 
     def __init__(self, spark: SparkSession, sf_dir: str, params: Params = DEFAULT):
         self.spark, self.sf_dir, self.params = spark, sf_dir, params
+        check_session(spark)
 
     @cached_property
     def items(self) -> DataFrame:
         return adapter.order_items(self.spark, self.sf_dir, self.params.max_broadcast_bytes)
 
+    @cached_property
+    def raw(self) -> DataFrame:
+        """The labelled union of the shops' exports, as they come."""
+        return ingest_labelled(adapter.raw_order_sources(self.spark, self.sf_dir), "shop")
+
     @cached_property
     def codes(self) -> DataFrame:
         return adapter.base_codes(self.spark, self.sf_dir)
@@ -263,6 +273,43 @@ class Model:
         return stored if stored is not None else dim_shipping_provider(self.fact)
 
 
+class ExportModel(Model):
+    """The model of real exports: raw -> cleaned -> parsed -> the same tables,
+    so every query runs on it. ``exports`` maps a shop's label to its export
+    (see ``read_export``); ``codes`` has (code, ordinal), ``cost`` (product_code,
+    cost). An export has no part number; its products are their codes."""
+
+    def __init__(self, spark: SparkSession, exports: dict[str, str], codes: DataFrame, cost: DataFrame,
+                 params: Params = DEFAULT, file_format: str = "csv"):
+        super().__init__(spark, "", params if params.product_key != "part_id" else replace(params, product_key="product_code"))
+        self.exports, self.file_format, self.codes, self.cost = exports, file_format, codes, cost
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return ingest_labelled((label, read_export(self.spark, path, self.file_format)) for label, path in self.exports.items())
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return cleaned_export(self.raw, self.params)
+
+    @cached_property
+    def cleaned(self) -> DataFrame:
+        return self.items
+
+
+def cleaned_export(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """The cleaned lines of an export with all columns that the fact needs."""
+    return clean_orders(raw, params).withColumn("part_id", F.lit(None).cast("bigint"))
+
+
+def materialize_stages(m: Model, base_path: str) -> dict[str, str]:
+    """Write the cleaned and the parsed lines, overwrite-by-name."""
+    from orderlens.sources.io import write_table
+
+    return {name: write_table(df, f"{base_path.rstrip('/')}/{name}")
+            for name, df in (("orders_clean", m.cleaned), ("orders_parsed", m.parsed))}
+
+
 MODEL_TABLES = ("fact_order_item", "dim_order", "dim_product", "dim_date", "dim_shipping_provider")
 
 

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from orderlens.operators import clean as cl
 from orderlens.operators.model import ORDER_KEY, Model
-from orderlens.sources.adapter import raw_order_sources
-from orderlens.sources.io import export_csv_roundtrip, ingest_labelled
+from orderlens.sources.io import export_csv_roundtrip
 
 
 def _raw(m: Model) -> DataFrame:
-    return ingest_labelled(raw_order_sources(m.spark, m.sf_dir), "shop")
+    return m.raw
 
 
 def _clean(m: Model) -> DataFrame:
@@ -35,7 +34,7 @@ def ingest_profile(m: Model) -> DataFrame:
 def export_csv(m: Model) -> DataFrame:
     """IO5: the cleaned lines written as CSV to the shared scratch folder and
     read back, every value as it was."""
-    return export_csv_roundtrip(m.spark, _clean(m).drop("created_raw"))
+    return export_csv_roundtrip(m.spark, _clean(m).drop(*cl.DATE_COLUMNS))
 
 
 def clean_drop_columns(m: Model) -> DataFrame:
@@ -50,7 +49,7 @@ def null_ratio_profile(m: Model) -> DataFrame:
 
 def clean_parse_dates(m: Model) -> DataFrame:
     """CL3: export timestamps parsed (bad text -> null)."""
-    return _clean(m).select("order_number", "line_number", "shop", "created_raw", "created_at")
+    return _clean(m).select("order_number", "line_number", "shop", *cl.DATE_COLUMNS, *cl.DATE_COLUMNS.values())
 
 
 def parse_failure_counts(m: Model) -> DataFrame:
@@ -62,7 +61,7 @@ def clean_money(m: Model) -> DataFrame:
     """CL5 + CL6: discount signs fixed, numeric coercion, nulls -> 0."""
     return _clean(m).select(
         "order_number", "line_number", "shop", "unit_price", "seller_discount",
-        "platform_discount", "paid_price", "shipping_fee")
+        "platform_discount", "paid_price", "shipping_fee", "bundle_discount")
 
 
 def money_failure_counts(m: Model) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.operators.model import ORDER_KEY, Model
+from orderlens.operators.model import ORDER_KEY, Model, cleaned_export, parse_orders
+from orderlens.operators.model import fact_order_item as fact_of
 
 
 def fact_order_item(m: Model) -> DataFrame:
@@ -13,6 +14,11 @@ def fact_order_item(m: Model) -> DataFrame:
     return m.fact
 
 
+def fact_from_exports(m: Model) -> DataFrame:
+    """SM1 from the raw exports: union -> cleaning -> SKU parsing -> fact."""
+    return fact_of(parse_orders(cleaned_export(m.raw, m.params), m.codes, m.params), m.params)
+
+
 def dim_order(m: Model) -> DataFrame:
     """SM2 + SM3: one row per (order_number, shop) with the bulk flag."""
     return m.dim_order

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -89,6 +90,25 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return sc.getCheckpointDir() or path
 
 
+def check_session(spark: SparkSession) -> list[str]:
+    """Settings the plans rely on that this session has otherwise (hot orders
+    are split, and lines stay partitioned by order, only under them), and a
+    checkpoint folder that looks machine-local on a cluster. Each is warned
+    about once an application; nothing is changed."""
+    found = [f"{k} is {have}, not {v}" for k, v in RECOMMENDED_CONF.items() if (have := spark.conf.get(k, "unset")) != v]
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or ""
+    if not sc.master.startswith("local") and (folder.startswith("file:") or folder.startswith("/")):
+        found.append(f"spark.checkpoint.dir is {folder}: it must be a folder that all executors share")
+    if found and _CHECKED.get("app") != sc.applicationId:
+        warnings.warn("; ".join(found), stacklevel=3)
+    _CHECKED["app"] = sc.applicationId
+    return found
+
+
+_CHECKED: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)

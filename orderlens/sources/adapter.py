@@ -34,6 +34,8 @@ CARRIER_TYPES = ("pickup", "dropoff")  # by l_suppkey % 2
 SKU_SUFFIXES = ("-FS", "FS2", "-SL", "-1sticker", " - fs3")
 # failure reason of returned lines by l_linenumber % 4
 FAIL_REASONS = ("too_slow", "duplicate", "unpaid", None)
+# bundle discount of the lines with (order + line) % 101 = 0
+BUNDLE_DISCOUNT = 5000
 # codes without a known cost
 BRANDS_WITHOUT_COST = ("Brand#3", "Brand#7")
 # columns of the labelled raw union once the personal columns are dropped
@@ -41,6 +43,7 @@ RAW_COLUMNS = (
     "order_number", "line_number", "seller_sku", "item_name", "status_raw", "pay_method", "carrier",
     "carrier_type", "fail_reason", "unit_price_raw", "seller_discount_raw", "platform_discount_raw",
     "shipping_fee", "paid_price", "created_raw", "warehouse", "shop",
+    "bundle_discount_raw", "fail_detail", "updated_raw", "delivered_raw", "promised_raw",
 )
 # ---------------------------------------------------------------------------
 
@@ -104,7 +107,10 @@ def order_items(spark: SparkSession, sf_dir: str, max_broadcast_bytes: int = DEF
         ln.alias("line_number"),
         _pick(F.col("l_suppkey") % 2, SHOP_LABELS).alias("shop"),
         F.col("l_partkey").alias("part_id"),
-        F.concat(F.col("p_brand"), F.lit("-"), F.col("p_type"), suffix).alias("seller_sku"),
+        F.concat(
+            F.when((F.col("l_orderkey") % 97 == 0) & (ln == 1), "unlisted").otherwise(F.col("p_brand")),  # no such code
+            F.lit("-"), F.col("p_type"), suffix,
+        ).alias("seller_sku"),
         F.concat(F.lit("["), F.col("p_type"), F.lit("] "), F.col("p_name")).alias("item_name"),
         status.alias("status"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "CARD")
@@ -117,6 +123,7 @@ def order_items(spark: SparkSession, sf_dir: str, max_broadcast_bytes: int = DEF
         _idiv(unit_price * disc_pct, 100).alias("seller_discount"),
         _idiv(unit_price * tax_pct, 200).alias("platform_discount"),
         (F.round(F.col("l_quantity")).cast("bigint") * 1000).alias("shipping_fee"),
+        F.when((F.col("l_orderkey") + ln) % 101 == 0, BUNDLE_DISCOUNT).otherwise(0).cast("bigint").alias("bundle_discount"),
         created_at.alias("created_at"),
         F.col("l_orderkey").alias("_k"),
     )
@@ -124,14 +131,16 @@ def order_items(spark: SparkSession, sf_dir: str, max_broadcast_bytes: int = DEF
     return out.select(
         "order_number", "line_number", "shop", "part_id", "seller_sku", "item_name",
         "status", "pay_method", "carrier", "carrier_type", "fail_reason",
-        "unit_price", "seller_discount", "platform_discount", "shipping_fee",
+        F.concat(F.lit("told: "), F.col("fail_reason")).alias("fail_detail"),
+        "unit_price", "seller_discount", "platform_discount", "bundle_discount", "shipping_fee",
         (F.col("unit_price") + F.col("shipping_fee") - F.col("seller_discount")
-         - F.col("platform_discount")).alias("paid_price"),
+         - F.col("platform_discount") - F.col("bundle_discount")).alias("paid_price"),
         "created_at",
         F.timestamp_add("MINUTE", (F.col("_k") * 7 + F.col("line_number") * 131) % 4000,
                         F.col("created_at")).alias("updated_at"),
         F.when(completed, F.timestamp_add("DAY", (F.col("_k") * 3 + F.col("line_number")) % 20,
                                           F.col("created_at"))).alias("delivered_at"),
+        F.timestamp_add("DAY", F.lit(2), F.col("created_at")).alias("promised_at"),
     )
 
 
@@ -165,10 +174,15 @@ def raw_order_sources(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataF
         .otherwise(F.col("unit_price").cast("string")).alias("unit_price_raw"),
         F.when(F.col("seller_discount") != 0, -F.col("seller_discount")).alias("seller_discount_raw"),
         F.when(F.col("platform_discount") != 0, -F.col("platform_discount")).alias("platform_discount_raw"),
-        "shipping_fee", "paid_price",
+        F.when(F.col("bundle_discount") != 0, F.col("bundle_discount").cast("string")).alias("bundle_discount_raw"),
+        "fail_detail", "shipping_fee", "paid_price",
         F.when(k % 89 == 0, F.lit(None).cast("string"))
         .when(k % 97 == 0, F.lit("bad"))
         .otherwise(F.date_format("created_at", "dd MMM yyyy HH:mm")).alias("created_raw"),
+        F.when(k % 83 == 0, F.lit("")).otherwise(F.date_format("updated_at", "dd MMM yyyy HH:mm")).alias("updated_raw"),
+        F.date_format("delivered_at", "dd MMM yyyy HH:mm").alias("delivered_raw"),
+        F.when(k % 79 == 0, F.date_format("promised_at", "yyyy-MM-dd"))
+        .otherwise(F.date_format("promised_at", "dd MMM yyyy HH:mm")).alias("promised_raw"),
         "customer_name", "customer_segment",
     )
     a = raw.where(F.col("shop") == SHOP_LABELS[0]).drop("shop").withColumn(

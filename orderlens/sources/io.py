@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlens.config import EXPORT_COLUMNS
 from orderlens.session import scratch_path
 from orderlens.sources.schemas import SCHEMAS
 
@@ -40,6 +41,23 @@ def ingest_labelled(sources: Iterable[tuple[str, DataFrame]], label_col: str = "
     return out
 
 
+def read_export(spark: SparkSession, path: str, file_format: str = "csv",
+                columns: dict[str, str] | None = None) -> DataFrame:
+    """One shop's order export under the names used here, all values as text or
+    as the file has them; cleaning gives them their types. Personal and unknown
+    columns are not read. A file without one of the columns is refused, for a
+    renamed header must not become a column of nulls."""
+    columns = columns or EXPORT_COLUMNS
+    reader = spark.read
+    if file_format == "csv":
+        reader = reader.options(header=True, quote='"', escape='"', multiLine=True)
+    df = reader.format(file_format).load(path)
+    absent = [c for c in columns if c not in df.columns]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
+    return df.select(*[F.col(f"`{c}`").alias(name) for c, name in columns.items()])
+
+
 def read_cost_csv(spark: SparkSession, path: str, code_col: str = "product_code",
                   cost_col: str = "cost") -> DataFrame:
     """IO4: the product cost table from a CSV file with a header.

@@ -3,6 +3,9 @@
 import datetime as dt
 import tempfile
 
+import pytest
+from pyspark.sql import functions as F
+
 from orderlens.sources.io import export_csv, read_cost_csv, read_exported_csv
 
 
@@ -98,6 +101,53 @@ def test_written_model_is_read_once_and_has_its_own_costs(spark):
         assert plan.count(f"{base}/fact_order_item") == 0 and plan.count(f"{base}/dim_order") == 1, k
 
 
+def test_model_of_exports(spark):
+    """The raw lines as two shops' CSV exports with the export's own headers."""
+    from orderlens.config import EXPORT_COLUMNS
+    from orderlens.operators.model import ExportModel, Model, materialize_stages
+    from orderlens.plans import registry
+    from orderlens.sources.io import CSV_OPTIONS
+
+    from conftest import SF_SMALL
+
+    base = tempfile.mkdtemp(prefix="orderlens-exports-")
+    own = Model(spark, SF_SMALL)
+    exports = {}
+    for shop in ("shop_a", "shop_b"):
+        exports[shop] = f"{base}/{shop}"
+        raw = own.raw.where(F.col("shop") == shop).withColumn("customerName", F.lit("someone"))
+        raw = raw.select("customerName", *[F.col(name).alias(c) for c, name in EXPORT_COLUMNS.items()])
+        raw.write.options(**CSV_OPTIONS, emptyValue='""').csv(exports[shop])
+    m = ExportModel(spark, exports, own.codes, own.cost)
+    assert m.params.product_key == "product_code" and "customerName" not in m.raw.columns
+
+    def rows(df):
+        return sorted((tuple(str(v) for v in r) for r in df.select(sorted(df.columns)).collect()))
+
+    assert rows(m.fact) == rows(registry.QUERY_KEYS["fact_from_exports"](own))
+    for k in ("incomplete_by_month", "campaign_margin_pooled", "cohort_sizes", "rfm_segments", "daily_orders_dense", "parse_failure_counts", "case_variant_report"):
+        assert registry.QUERY_KEYS[k](m).count() > 0, k
+    stages = materialize_stages(m, f"{base}/stages")
+    assert {"created_at", "item_name"} <= set(spark.read.parquet(stages["orders_clean"]).columns)
+    parsed = spark.read.parquet(stages["orders_parsed"])
+    assert parsed.count() == m.raw.count() and "item_name" not in parsed.columns
+    renamed = spark.read.option("header", True).csv(exports["shop_a"]).withColumnRenamed("unitPrice", "price")
+    renamed.write.option("header", True).csv(f"{base}/renamed")
+    with pytest.raises(ValueError, match="unitPrice"):
+        ExportModel(spark, {"shop_a": f"{base}/renamed"}, own.codes, own.cost).raw
+
+
+def test_session_settings_are_checked(spark):
+    from orderlens.session import check_session
+
+    assert check_session(spark) == []
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        assert len(check_session(spark)) == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+
+
 def test_broadcast_bound_is_in_bytes(spark):
     from orderlens.operators.joins import checked_broadcast
 
