@@ -43,11 +43,12 @@ def _daily(m: Model) -> DataFrame:
     )
 
 
-def _daily_dense(m: Model) -> DataFrame:
+def _daily_dense(orders: DataFrame) -> DataFrame:
     """Orders per calendar day between the first and the last one: each day
     with orders also gives the days up to the next, with 0 orders."""
     until = F.coalesce(F.date_sub(F.lead("date").over(Window.orderBy("date")), 1), F.col("date"))
-    days = _daily(m).where(F.col("date").isNotNull()).select("n_orders", F.col("date").alias("first"), until.alias("until"))
+    days = orders.where(F.col("order_date").isNotNull()).groupBy(F.col("order_date").alias("date")).agg(F.count(F.lit(1)).alias("n_orders"))
+    days = days.select("n_orders", F.col("date").alias("first"), until.alias("until"))
     spans = days.select("n_orders", "first", F.explode(F.sequence("first", "until")).alias("date"))
     return spans.select("date", F.when(F.col("date") == F.col("first"), F.col("n_orders")).otherwise(F.lit(0)).alias("n_orders"))
 
@@ -184,7 +185,7 @@ def pre_holiday_summary(m: Model) -> DataFrame:
 
 def daily_orders_dense(m: Model) -> DataFrame:
     """SEi: orders per calendar day, days without orders as 0."""
-    return _daily_dense(m)
+    return _daily_dense(_shop_orders(m))
 
 
 def holiday_window_daily(m: Model) -> DataFrame:
@@ -195,7 +196,7 @@ def holiday_window_daily(m: Model) -> DataFrame:
         "holiday",
         F.explode(F.sequence(F.lit(-p.holiday_window_before), F.lit(p.holiday_window_after))).alias("offset"),
     ).withColumn("date", F.date_add("holiday", F.col("offset")))
-    return _daily_dense(m).join(F.broadcast(win), "date", "inner").select(
+    return _daily_dense(_shop_orders(m)).join(F.broadcast(win), "date", "inner").select(
         "holiday", "date", "offset", "n_orders")
 
 
@@ -205,7 +206,7 @@ def campaign_offset_profile(m: Model) -> DataFrame:
     as 0 (the denominator is calendar days)."""
     span = m.params.campaign_offset_span
     whole = Window.partitionBy()
-    days = _daily_dense(m).select("*", F.min("date").over(whole).alias("lo"), F.max("date").over(whole).alias("hi"))
+    days = _daily_dense(_shop_orders(m)).select("*", F.min("date").over(whole).alias("lo"), F.max("date").over(whole).alias("hi"))
     around = days.select(
         "n_orders", "date", "lo", "hi", F.explode(F.sequence(F.lit(-span), F.lit(span))).alias("offset"),
     ).withColumn("campaign_day", F.date_sub("date", F.col("offset")))
