@@ -47,6 +47,8 @@ from orderlens.llm.common import U64, expand, mix, prefix_hash, routed, row_slic
 LENGTH = 100
 TRIGGER = 32
 BLOCK_BYTES = 2 << 20
+#: Text hashed at a time; the arrays over it take a hundred times its size.
+WORK_BYTES = 1 << 20
 PER_TRIGGER = 8
 PER_BUCKET = 600_000
 _LOW = U64((1 << 24) - 1)
@@ -109,10 +111,10 @@ class Parse:
     @staticmethod
     def _ranges(offsets: np.ndarray):
         """Ranges of window starts, of bounded size."""
-        for lo, hi in row_slices(offsets, BLOCK_BYTES):
+        for lo, hi in row_slices(offsets, WORK_BYTES):
             a, b = int(offsets[lo]), int(offsets[hi])
-            for x in range(a, b, 2 * BLOCK_BYTES):
-                yield x, min(b, x + 2 * BLOCK_BYTES)
+            for x in range(a, b, WORK_BYTES):
+                yield x, min(b, x + WORK_BYTES)
 
     @staticmethod
     def _segment(data, offsets, a, b):
@@ -302,14 +304,14 @@ class Windows:
         for lo in range(0, len(self.sent), 1 << 20):  # hashed in bounded parts
             own = self.sent[lo : lo + (1 << 20)]
             a, b = int(self.start[own[0]]), int(self.start[own[-1]]) + LENGTH
-            for x, y in [(a, b)] if b - a <= 8 * BLOCK_BYTES else self._pieces(own):
+            for x, y in [(a, b)] if b - a <= 2 * WORK_BYTES else self._pieces(own):
                 inside = own[(self.start[own] >= x) & (self.start[own] + LENGTH <= y)]
                 prefix = prefix_hash(block.data[x:y])
                 self.content[inside] = span_hash(prefix, self.start[inside] - x, self.start[inside] - x + LENGTH)
 
     def _pieces(self, own):
         a, b = int(self.start[own[0]]), int(self.start[own[-1]]) + LENGTH
-        step = 4 * BLOCK_BYTES
+        step = WORK_BYTES
         return [(x, min(b, x + step + LENGTH)) for x in range(a, b, step)]
 
     def messages(self, n_buckets: int):
