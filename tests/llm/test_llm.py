@@ -166,6 +166,18 @@ def test_suffix_tree_cases(spark, awkward):
     assert suffix_tree_lm.score_texts(awkward.limit(0)).count() == 0
 
 
+def test_suffix_tree_counts_at_any_size(spark, monkeypatch):
+    """What is counted is the same for a corpus that other texts make much larger."""
+    monkeypatch.setattr(suffix_tree_lm, "PER_BUCKET", 100_000)
+    text = "red fox jumps over"
+    train = [i for i in range(20) if zlib.crc32(str(i).encode()) % 10][: suffix_tree_lm.MIN_COUNT]
+    rows = [(i, text) for i in train] + [(100 + i, " ".join(f"u{(i * 50_021 + k) % 4_800_000}" for k in range(50_000))) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, levels, tree = suffix_tree_lm.train(suffix_tree_lm.to_blocks(suffix_tree_lm._prepared(df, "doc_id", "text"), "text"))
+    fox = suffix_tree_lm.tokens(np.frombuffer(b"fox", np.uint8), np.array([0, 3]))[0][:1]
+    assert tree.root["N"] > 4_300_000 and levels >= 1 and suffix_tree_lm._lookup(tree.states, suffix_tree_lm.mix(fox, 31))[0] >= 0
+
+
 # --- 4 and 10 ----------------------------------------------------------------------------
 
 
