@@ -166,6 +166,60 @@ def test_suffix_tree_cases(spark, awkward):
     assert suffix_tree_lm.score_texts(awkward.limit(0)).count() == 0
 
 
+def brute_suffix_tree(texts, held):
+    """Scores by plain dictionaries: contexts of any length, the longest retained suffix."""
+    least, discount = suffix_tree_lm.MIN_COUNT, suffix_tree_lm.DISCOUNT
+    own = {i: t.split() + [None] for i, t in texts.items()}
+    words = Counter(w for i in own if i not in held for w in own[i])
+    n, ones, twos = sum(words.values()), *(sum(c == k for c in words.values()) for k in (1, 2))
+    d = ones / (ones + 2 * twos) if ones and twos else discount
+    states: dict = {}
+
+    def probability(context, symbol):
+        for k in range(len(context) + 1):
+            if context[k:] in states:
+                entries, left = states[context[k:]]
+                return entries[symbol] if symbol in entries else left * probability(context[k + 1 :], symbol)
+        return (words[symbol] - d) / n if words[symbol] else d * len(words) / n
+
+    depth, deepest = 0, 0
+    while True:
+        depth += 1
+        follow: dict = {}
+        for i in own:
+            for at in range(depth, len(own[i]) if i not in held else 0):
+                follow.setdefault(tuple(own[i][at - depth : at]), Counter())[own[i][at]] += 1
+        new = {}
+        for context, c in follow.items():
+            total, often = sum(c.values()), {s: m for s, m in c.items() if m >= least}
+            if not often:
+                continue
+            entries = {s: (m - discount) / total for s, m in often.items()}
+            shorter = {s: probability(context[1:], s) for s in often}
+            left, left_shorter = max(1 - sum(entries.values()), 1e-12), max(1 - sum(shorter.values()), 1e-12)
+            gain = sum(p * math.log(p / shorter[s]) for s, p in entries.items()) + left * math.log(left / left_shorter)
+            if total * gain > 0.5 * math.log(n) * (len(entries) + 1):
+                new[context] = entries, left / left_shorter
+        if not new:
+            return {i: sum(math.log10(probability(tuple(w[max(0, k - deepest) : k]), s)) for k, s in enumerate(w)) for i, w in own.items()}, deepest
+        states |= new
+        deepest = depth
+
+
+def test_suffix_tree_any_depth_matches_brute_force(spark, monkeypatch):
+    """A word that depends on all of the four words before it: contexts of four words are retained."""
+    r = np.random.default_rng(2)
+    texts = {}
+    for i in range(60):
+        x = ["".join(k) for k in r.choice(["p", "q"], (30, 4))]
+        texts[i] = " ".join(" ".join(k) + f" {k}" + (f" z{i}" if r.random() < 0.2 else "") for k in x)
+    monkeypatch.setattr(suffix_tree_lm, "PER_BUCKET", 50)  # several buckets
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x for x in suffix_tree_lm.score_texts(df).collect()}
+    want, deepest = brute_suffix_tree(texts, {i for i in got if got[i].held_out})
+    assert deepest >= 4 and all(abs(got[i].score - want[i]) < 1e-6 * abs(want[i]) for i in texts)
+
+
 def test_suffix_tree_counts_at_any_size(spark, monkeypatch):
     """What is counted is the same for a corpus that other texts make much larger."""
     monkeypatch.setattr(suffix_tree_lm, "PER_BUCKET", 100_000)
