@@ -4,8 +4,11 @@ Only the histogram of piece lengths (at most ``capacity`` counts, whatever the
 corpus size) reaches the driver. There, bins are completed around the largest
 remaining length: fillings are enumerated by branch and bound, dominated ones
 are left out, the waste bound prunes, and the best-fit filling is the first
-incumbent. A filling is repeated as often as the counts allow. Pieces then find
-their place by their rank among the pieces of equal length.
+incumbent. A filling is repeated as often as the counts allow. This packing and
+best-fit decreasing are the first whole solutions; while the best one is over
+the lower bound (volume, and pieces over half a sequence), a branch and bound
+over fillings and their multiplicities looks for a better one, at every size of
+the table and until its nodes are used up. Pieces then find their place by their rank among the pieces of equal length.
 
 Defined cases: a null text is empty, and every document has at least its end
 id; repeated rows and ids are documents of their own; an empty table gives no
@@ -18,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +84,35 @@ def complete(counts: np.ndarray, room: int, max_nodes: int) -> list[int]:
     return best
 
 
-def pack_histogram(counts: np.ndarray, max_nodes: int = 4000, exact_pieces: int = 40) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings and how often each is used, for ``counts[length]`` pieces."""
+def best_fit_decreasing(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Each piece, the largest first, into the fullest sequence that it fits."""
+    capacity = len(counts) - 1
+    bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by what is left
+    for size in np.flatnonzero(counts)[::-1].tolist():
+        n = int(counts[size])
+        while n:
+            room = min((r for r in bins if r >= size), default=capacity)
+            filling, times = bins[room].pop() if room in bins else ((), n)
+            if room in bins and not bins[room]:
+                del bins[room]
+            each = min(room // size, n)
+            used = min(times, n // each)
+            if filling and used < times:
+                bins.setdefault(room, []).append((filling, times - used))
+            bins.setdefault(room - each * size, []).append((filling + (size,) * each, used))
+            n -= each * used
+    return [x for own in bins.values() for x in own]
+
+
+def lower_bound(counts: np.ndarray) -> int:
+    """No packing has fewer sequences: the volume, and the pieces over half a sequence."""
+    capacity = len(counts) - 1
+    volume = int((np.arange(capacity + 1) * counts).sum())
+    return max(-(-volume // capacity), int(counts[capacity // 2 + 1 :].sum()))
+
+
+def completed(counts: np.ndarray, max_nodes: int) -> list[tuple[tuple[int, ...], int]]:
+    """The filling of least waste around the largest piece that is left, again and again."""
     capacity = len(counts) - 1
     left, out = counts.astype(np.int64).copy(), []
     for size in range(capacity, 0, -1):
@@ -93,49 +124,104 @@ def pack_histogram(counts: np.ndarray, max_nodes: int = 4000, exact_pieces: int
             for k, n in filling.items():
                 left[k] -= n * times
             out.append((tuple(sorted(filling.elements(), reverse=True)), times))
-    if 0 < counts.sum() <= exact_pieces:
-        better = _search(counts, sum(n for _, n in out), max_nodes)
-        return [(p, 1) for p in better] if better else out
     return out
 
 
-def _search(counts: np.ndarray, incumbent: int, max_nodes: int) -> list[tuple[int, ...]] | None:
-    """Fewer sequences than the incumbent's, for a small number of pieces, or None."""
+def pack_histogram(counts: np.ndarray, max_nodes: int = 4000) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings and how often each is used, for ``counts[length]`` pieces: the
+    best whole solution, of best-fit decreasing, of bin completion, or of the
+    branch and bound, which bisects between the lower bound and the best, first
+    with each filling as often as it can be, then with all numbers of times."""
+    def size(packing):
+        return sum(n for _, n in packing)
+
+    best, nodes = min(best_fit_decreasing(counts), completed(counts, max_nodes), key=size), max_nodes
+    for partly in (False, True):
+        low, high = lower_bound(counts), size(best)
+        target = low
+        while low < high and nodes > 0:
+            found, used = _search(counts, target, min(nodes, -(-max_nodes // 8)), partly)
+            nodes -= max(used, 1)
+            if found:
+                best, high = found, size(found)
+            else:
+                low = target + 1
+            target = (low + high) // 2
+    return best
+
+
+def _search(counts: np.ndarray, target: int, max_nodes: int, partly: bool) -> tuple[list[tuple[tuple[int, ...], int]] | None, int]:
+    """A packing into at most ``target`` sequences or None, and the nodes used.
+
+    Depth first on the histogram: around the largest length left, each filling
+    and, if ``partly``, fewer times (halved again and again; the next node may
+    take the same filling). The volume bound is kept as the waste still allowed."""
     capacity = len(counts) - 1
-    sizes = np.arange(capacity + 1)
-    best, found, nodes = incumbent, None, 0
-    least = -(-int((sizes * counts).sum()) // capacity)
-    stack = [(counts.copy(), ())]
-    while stack and best > least and nodes < max_nodes:
-        left, bins = stack.pop()
-        rest = int((sizes * left).sum())
+    left, chosen, nodes = counts.astype(np.int64).copy(), [], 0
+    rest = int((np.arange(capacity + 1) * left).sum())
+    waste = target * capacity - rest
+    frames = [_choices(left, capacity, waste, partly)]
+    while frames and nodes < max_nodes:
+        choice = next(frames[-1], None)
+        if choice is None:
+            frames.pop()
+            if not chosen:
+                break
+            (filling, times), sign = chosen.pop(), 1
+        else:
+            nodes += 1
+            chosen.append(choice)
+            (filling, times), sign = choice, -1
+        np.add.at(left, list(filling), sign * times)
+        rest += sign * times * sum(filling)
+        waste += sign * times * (capacity - sum(filling))
         if not rest:
-            if len(bins) < best:
-                best, found = len(bins), list(bins)
+            return chosen, nodes
+        if sign < 0:
+            frames.append(_choices(left, capacity, waste, partly))
+    return None, nodes
+
+
+def _choices(counts: np.ndarray, capacity: int, waste: int, partly: bool) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Fillings around the largest length, with how often each is used."""
+    own = counts.copy()
+    top = int(np.flatnonzero(own)[-1])
+    own[top] -= 1
+    seen = set()
+    for rest in chain([tuple(complete(own, capacity - top, 200))], _fillings(own, capacity - top, waste)):
+        filling = (top, *rest)
+        lost = capacity - sum(filling)
+        if filling in seen or lost > waste:
+            continue
+        seen.add(filling)
+        times = min(int(counts[k]) // n for k, n in Counter(filling).items())
+        times = min(times, waste // lost) if lost else times
+        while times:
+            yield filling, times
+            times = times // 2 if partly else 0
+
+
+def _fillings(counts: np.ndarray, room: int, waste: int, max_steps: int = 20_000) -> Iterator[tuple[int, ...]]:
+    """Fillings that waste no more than that and to which nothing can be added,
+    larger lengths first."""
+    sizes = np.flatnonzero(counts[: room + 1])
+    reachable = np.cumsum(sizes * counts[sizes])
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(room, len(sizes) - 1, ())]
+    for _ in range(max_steps):
+        if not stack:
+            return
+        left, top, chosen = stack.pop()
+        top = min(top, int(np.searchsorted(sizes, left, "right")) - 1)
+        if top < 0:
+            if left <= waste and not any(k <= left and chosen.count(k) < counts[k] for k in sizes[: np.searchsorted(sizes, left, "right")].tolist()):
+                yield chosen
             continue
-        if len(bins) + -(-rest // capacity) >= best:
+        if left - reachable[top] > waste:
             continue
-        nodes += 1
-        top = int(np.flatnonzero(left)[-1])
-        left[top] -= 1
-        for filling in _maximal(left, capacity - top, 64):
-            after = left.copy()
-            for k in filling:
-                after[k] -= 1
-            stack.append((after, (*bins, (top, *filling))))
-    return found
-
-
-def _maximal(counts: np.ndarray, room: int, limit: int) -> list[tuple[int, ...]]:
-    """Fillings to which nothing can be added, the least waste last."""
-    out, stack = [], [(room, room, ())]
-    while stack and len(out) < limit:
-        left, most, chosen = stack.pop()
-        fits = [int(k) for k in np.flatnonzero(counts[: min(left, room) + 1]) if chosen.count(int(k)) < counts[k]]
-        if not fits:
-            out.append((left, chosen))
-        stack += [(left - k, k, (*chosen, k)) for k in fits if k <= most]
-    return [c for _, c in sorted(out, reverse=True)]
+        size = int(sizes[top])
+        stack.append((left, top - 1, chosen))
+        if chosen.count(size) < counts[size]:
+            stack.append((left - size, top, (*chosen, size)))
 
 
 class _Places:

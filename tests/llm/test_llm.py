@@ -126,6 +126,17 @@ def test_bin_completion_small_optimum():
     assert Counter(k for p, n in out for k in p * n) == Counter({6: 2, 5: 2, 4: 2, 3: 2, 2: 2})
 
 
+def test_bin_search_above_forty_pieces():
+    """The same pieces once and many times over: 3 sequences each, at any size."""
+    for times in (1, 6, 1000):
+        counts = np.zeros(101, np.int64)
+        np.add.at(counts, [60, 49, 49, 39, 31, 31, 20, 20], times)
+        for out in (packing.pack_histogram(counts), packing.best_fit_decreasing(counts)):
+            assert Counter({k: int(counts[k]) for k in np.flatnonzero(counts).tolist()}) == sum((Counter({k: c * n for k, c in Counter(p).items()}) for p, n in out), Counter())
+            assert all(sum(p) <= 100 for p, _ in out)
+        assert packing.lower_bound(counts) == -(-299 * times // 100) <= sum(n for _, n in packing.pack_histogram(counts)) <= 3 * times
+
+
 # --- 3 ---------------------------------------------------------------------------------
 
 
