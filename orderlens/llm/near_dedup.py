@@ -7,7 +7,10 @@ keeps the earliest one, and a process stops as soon as its next arrival is later
 than all of the document's registers. Two documents agree in a register with
 their probability Jaccard similarity. Bands of four registers make buckets of
 candidates, and candidates are verified exactly on their shingles: a link is a
-probability Jaccard, or a plain Jaccard of the shingle sets, of at least 0.8.
+probability Jaccard, or a plain Jaccard of the shingle sets, of at least 0.8. A
+text in which a shingle repeats has a second signature and bands, of the set
+without weights (other texts' only signature is just that), so that pairs of
+either similarity meet.
 
 Work is done once for each distinct word sequence (its class of copies). In a
 bucket, up to ``SMALL`` texts are compared with one another; in a larger one all
@@ -15,8 +18,9 @@ texts are compared with the text that stands in the most and largest buckets,
 then those that are not yet connected with it with the next such one, and what
 is left after ``ROUNDS`` of these is compared with every text of the bucket that
 two sketches do not rule out: the 96 registers (below 0.62, over four standard
-deviations under the threshold), and, unless shingles repeat much in a text, the
-least hashes of 512 bins of the set (below 0.74, over three). So no group is
+deviations under the threshold) and the least hashes of 512 bins of the set
+(below 0.74, over three); if a shingle repeats in one of the two, the registers
+speak for one similarity and the bins for the other, and only both together rule it out. So no group is
 paired out, and only texts about as alike as the threshold are compared.
 
 Defined cases: null and empty texts are never duplicates; other texts without
@@ -111,11 +115,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         own = _signatures(row, gram, weight, n)
         mixed = mix(own, 3)
-        prefix = prefix_hash(mixed.reshape(-1))
-        starts = np.arange(n * BANDS) * ROWS
-        keys = span_hash(prefix, starts, starts + ROWS) ^ mix(np.tile(np.arange(BANDS, dtype=np.uint64), n), 8)
+        heavy = np.bincount(row, weight > 1, n) > 0
+        plain, again = mixed.copy(), heavy[row]
+        renumbered = (np.cumsum(heavy) - 1)[row[again]]
+        plain[heavy] = mix(_signatures(renumbered, gram[again], np.ones(len(renumbered), np.int64), int(heavy.sum())), 3)
+        keys = np.concatenate([_band_keys(mixed), _band_keys(plain)], axis=1)
         sketch = np.ascontiguousarray(mixed.astype(np.uint8)).view(np.int64)
-        heavy = np.bincount(row, weight, n) > 1.05 * np.bincount(row, minlength=n)
         h1, h2 = sequence.astype(np.int64), mix(sequence ^ n_words.astype(np.uint64), 4).astype(np.int64)
         raw = batch.column(3).to_numpy(zero_copy_only=False)
         size, rows = np.diff(offsets), batch.column(0).to_numpy(zero_copy_only=False)
@@ -124,11 +129,18 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h2 = np.where(wordless, np.where(size > 0, -size, 0), h2)
         yield pa.RecordBatch.from_arrays([
             batch.column(0), batch.column(1), batch.column(3), pa.array(h1), pa.array(h2),
-            _lists(keys.view(np.int64).reshape(n, BANDS), wordless), _lists(sketch.reshape(n, REGISTERS // 8), wordless),
+            _lists(keys.view(np.int64), wordless), _lists(sketch.reshape(n, REGISTERS // 8), wordless),
             _lists(least_of_bins(row, gram, n), wordless), pa.array(heavy),
         ], names=[c.split()[0] for c in SIGNED.split(", ")])
 
 
+def _band_keys(signature: np.ndarray) -> np.ndarray:
+    n = len(signature)
+    starts = np.arange(n * BANDS) * ROWS
+    keys = span_hash(prefix_hash(signature.reshape(-1)), starts, starts + ROWS) ^ mix(np.tile(np.arange(BANDS, dtype=np.uint64), n), 8)
+    return keys.reshape(n, BANDS)
+
+
 def least_of_bins(row: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
     """A byte of the least hash in each of ``BINS`` bins of a row's shingles, 0
     for an empty bin; eight bins to a number."""
@@ -283,7 +295,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.min(F.struct("text_hash", "bands", "sketch", "bins", "heavy")).alias("m")  # equal for all copies but for text_hash
     texts = write_table(signed.groupBy("h1", "h2").agg(first).select("h1", "h2", F.col("m.text_hash").alias("node"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch"), F.col("m.bins").alias("bins"), F.col("m.heavy").alias("heavy")), "texts")
 
-    banded = texts.select("node", F.explode("bands").alias("bucket"))
+    banded = texts.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = write_table(banded.join(sizes, "bucket"), "buckets")
     support = members.groupBy("node").agg(F.sum("size").alias("support"))
@@ -375,11 +387,14 @@ def _compare(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
         xs, ys = left.column("body").to_pylist(), right.column("body").to_pylist()
         opened: dict[int, tuple] = {}
         for i in range(len(left)):
-            at = np.flatnonzero((cy != cx[i]) & ((sy == sx[i]).sum(axis=1) >= LEAST_SKETCH * REGISTERS))
-            first = np.where(ky[at] == kx[i], ky[at], np.iinfo(np.int64).max).min(axis=1) == bucket
-            at = at[first]
+            at = np.flatnonzero(cy != cx[i])
+            alike = (sy[at] == sx[i]).sum(axis=1) >= LEAST_SKETCH * REGISTERS
+            heavy = hx[i] | hy[at]  # plain and probability Jaccard differ
+            at, alike, heavy = (v[alike | heavy] for v in (at, alike, heavy))
             same, either = ((by[at] == bx[i]) & (bx[i] > 0)).sum(axis=1), ((by[at] > 0) | (bx[i] > 0)).sum(axis=1)
-            at = at[(same >= LEAST_BINS * either) | hx[i] | hy[at]]
+            in_bins = same >= LEAST_BINS * either
+            at = at[np.where(heavy, alike | in_bins, alike & in_bins)]
+            at = at[_first_shared(kx[i], ky[at]) == bucket]
             own = _unpacked(xs[i]) if len(at) else None
             for j in at.tolist():
                 if j not in opened:
@@ -390,6 +405,13 @@ def _compare(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _first_shared(x: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """The least bucket that one text shares with each of some others; either
+    of its two keys of a band may be either of theirs."""
+    x, ys = x.reshape(2, 1, BANDS), ys.reshape(-1, 1, 2, BANDS)
+    return np.where(ys == x, ys, np.iinfo(np.int64).max).min(axis=(1, 2, 3))
+
+
 def _to_centres(pairs: DataFrame, support: DataFrame) -> DataFrame:
     """Turn pairs so that b is the text of more support, where many meet."""
     s = support.withColumnRenamed("support", "s")

@@ -367,6 +367,39 @@ def test_near_chain_in_a_large_bucket(spark):
     assert {x.doc_id: x.class_id for x in near_dedup.near_classes(df).collect()} == {i: root(i) for i in own}
 
 
+def test_near_copies_with_a_repeated_line(spark):
+    """Copies whose last line stands 100 times: plain Jaccard 0.98 or more,
+    probability Jaccard far under the threshold; in small and in large buckets."""
+    r = np.random.default_rng(6)
+    rows = []
+    for k in range(24):
+        words = [f"s{k}x{i}" for i in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + words[-10:] * 99))]
+    base = [f"h{i}" for i in range(300)]
+    for k in range(30):  # one family: every text near to the others in plain Jaccard
+        words = list(base)
+        words[int(r.integers(0, 280))] = f"v{k}"
+        rows.append((100 + k, " ".join(words + words[-10:] * (99 if k % 2 else 0))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dedup.near_classes(df).collect()}
+    assert got == {i: i - i % 2 if i < 100 else 100 for i, _ in rows}
+
+
+def test_near_sketches_spare_plain_links():
+    """Two chunks of a large bucket that share only a band of the plain signature."""
+    words = " ".join(f"s{i}" for i in range(300))
+    repeated = words + " " + " ".join([f"s{i}" for i in range(290, 300)] * 99)
+    batch = near_dedup.pa.RecordBatch.from_arrays([near_dedup.pa.array([0, 1]), near_dedup.pa.array([0, 1]), near_dedup.pa.array([words, repeated]), near_dedup.pa.array([5, 6])],
+                                                  names=["_row", "_id", "_text", "_hash"])
+    signed = near_dedup.pa.Table.from_batches(list(near_dedup._sign(iter([batch]))))
+    data, offsets = near_dedup.text_buffer(batch.column(2))
+    row, gram, weight, _, _ = near_dedup.shingles(data, offsets)
+    body = [near_dedup._packed(gram[row == k], weight[row == k]) for k in (0, 1)]
+    shared = set(signed["bands"][0].as_py()) & set(signed["bands"][1].as_py())
+    sides = [near_dedup.pa.table({"bucket": [min(shared)], "node": [k], "component": [k], "body": [body[k]], **{c: signed[c].slice(k, 1) for c in ("sketch", "bins", "heavy", "bands")}}) for k in (0, 1)]
+    assert near_dedup._compare(*sides, near_dedup.THRESHOLD).num_rows == 1
+
+
 def test_near_cases(spark, awkward):
     rows = near_dedup.near_classes(awkward).collect()
     classes = {}
