@@ -17,9 +17,9 @@ bucket, up to ``SMALL`` texts are compared with one another; in a larger one all
 texts are compared with the text that stands in the most and largest buckets,
 then those that are not yet connected with it with the next such one, and what
 is left after ``ROUNDS`` of these is compared with every text of the bucket that
-two sketches do not rule out: the 96 registers (below 0.62, over four standard
+two sketches do not rule out: the 96 registers (below 0.59, five standard
 deviations under the threshold) and the least hashes of 512 bins of the set
-(below 0.74, over three); if a shingle repeats in one of the two, the registers
+(below 0.71, five; together they lose no more than the bands); if a shingle repeats in one of the two, the registers
 speak for one similarity and the bins for the other, and only both together rule it out. So no group is
 paired out, and only texts about as alike as the threshold are compared.
 
@@ -48,9 +48,9 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 SMALL = 8
 ROUNDS = 1
-LEAST_SKETCH = 0.62
+LEAST_SKETCH = 0.59
 BINS = 512
-LEAST_BINS = 0.74
+LEAST_BINS = 0.71
 CHUNK = 256
 
 

@@ -400,6 +400,14 @@ def test_near_sketches_spare_plain_links():
     assert near_dedup._compare(*sides, near_dedup.THRESHOLD).num_rows == 1
 
 
+def test_near_sketches_lose_no_more_than_bands():
+    def below(n, share):
+        return sum(math.comb(n, i) * 0.8**i * 0.2 ** (n - i) for i in range(math.ceil(share * n)))
+
+    lost = below(near_dedup.REGISTERS, near_dedup.LEAST_SKETCH) + below(near_dedup.BINS, near_dedup.LEAST_BINS)
+    assert lost <= (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS
+
+
 def test_near_cases(spark, awkward):
     rows = near_dedup.near_classes(awkward).collect()
     classes = {}
