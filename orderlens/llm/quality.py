@@ -13,7 +13,8 @@ its text. It is applied to all passages of all texts.
 Defined cases: null and empty texts have one empty passage and so a score too;
 without labels of both kinds every score is 0.5; a null id counts as the empty
 string for the split and has no label; an id that is labelled twice counts once
-(label 1 first); repeated rows are documents of their own; empty tables give
+(label 1 first); of rows that share a sampled id one trains (least text hash),
+and all are scored as documents of their own; empty tables give
 empty results; extra columns are not read (``keep_good`` returns them).
 """
 
@@ -138,7 +139,7 @@ def sample_bags(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) ->
     one = split(one).where("not held_out").withColumn("order", F.xxhash64("doc_id"))
     drawn = one.where("y = 0").orderBy("order", "doc_id").limit(max_docs // 2).union(one.where("y = 1").orderBy("order", "doc_id").limit(max_docs // 2))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = texts.join(F.broadcast(drawn.select("doc_id", "y")), "doc_id").select("doc_id", "y", "text")  # at most max_docs rows
+    both = texts.join(F.broadcast(drawn.select("doc_id", "y")), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("m")).select("doc_id", "y", F.col("m.text").alias("text"))  # at most max_docs rows
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,10 +151,10 @@ def sample_bags(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) ->
                 out.append(passage_features(data, starts[own], ends[own]).astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "y", "x"])
 
-    got = both.mapInArrow(cut, "doc_id long, y double, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
-    bags = [np.frombuffer(b, np.float16).reshape(-1, FEATURES) for b in got.column("x").to_pylist()[: 2 * max_docs]]
+    got = both.mapInArrow(cut, "doc_id long, y double, x binary").toArrow().sort_by("doc_id")
+    bags = [np.frombuffer(b, np.float16).reshape(-1, FEATURES) for b in got.column("x").to_pylist()]
     x = np.concatenate(bags).astype(np.float32) if bags else np.empty((0, FEATURES), np.float32)
-    return x, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.asarray(got.column("y"))[: len(bags)].astype(np.float32)
+    return x, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.asarray(got.column("y")).astype(np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> GatedAttention | None:

@@ -266,6 +266,14 @@ def test_quality_held_out_accuracy(spark, awkward):
     assert kept.columns == awkward.columns and quality.keep_good(awkward.limit(0), labels).count() == 0
 
 
+def test_quality_sample_takes_one_row_an_id(spark):
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:4]
+    docs = spark.createDataFrame([(ids[0], f"text {k}") for k in range(50)] + [(i, f"other {i}") for i in ids[1:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    _, bag, y = quality.sample_bags(docs, labels, max_docs=4)
+    assert y.tolist() == [0, 1, 0, 1] and bag.tolist() == [0, 1, 2, 3] and quality.train(docs, labels, 4) is not None
+
+
 # --- 5 ---------------------------------------------------------------------------------
 
 
