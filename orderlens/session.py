@@ -95,7 +95,7 @@ def check_session(spark: SparkSession) -> list[str]:
     are split, and lines stay partitioned by order, only under them), and a
     checkpoint folder that looks machine-local on a cluster. Each is warned
     about once an application; nothing is changed."""
-    found = [f"{k} is {have}, not {v}" for k, v in RECOMMENDED_CONF.items() if (have := spark.conf.get(k, "unset")) != v]
+    found = [f"{k} is {have}, not {v}" for k, v in RECOMMENDED_CONF.items() if (have := _setting(spark, k)) not in (v, None)]
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or ""
     if not sc.master.startswith("local") and (folder.startswith("file:") or folder.startswith("/")):
@@ -109,6 +109,16 @@ def check_session(spark: SparkSession) -> list[str]:
 _CHECKED: dict[str, str] = {}
 
 
+def _setting(spark: SparkSession, key: str) -> str | None:
+    """A setting's value or Spark's own default for it; None if this Spark does
+    not know it. (A default passed to ``get`` is checked against the setting's
+    type and may raise.) A diagnostic never fails a query."""
+    try:
+        return spark.conf.get(key)
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
