@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from orderlens.llm import chat, decontaminate, hash_index, language_id, near_dedup, packing, prefix_free, quality, suffix_tree_lm, token_files, warc
+from orderlens.llm import (
+    chat, decontaminate, hash_index, language_id, lexical, near_dedup, packing, prefix_free, quality, suffix_tree_lm, token_files, warc, zone_negatives,
+)
 
 
 def queries() -> dict:
@@ -17,9 +19,17 @@ def queries() -> dict:
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_chat_format": chat.op9_chat_format,
         "op10_quality": quality.op10_quality,
+        "op11_zone_negatives": zone_negatives.op11_zone_negatives,
+        "op12_lexical_search": lexical.op12_lexical_search,
         "op13_warc": warc.op13_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op9_chat_format": chat.ORACLE, "op13_warc": warc.ORACLE}
+    return {
+        "op1_decontaminate": decontaminate.ORACLE,
+        "op9_chat_format": chat.ORACLE,
+        "op11_zone_negatives": zone_negatives.ORACLE,
+        "op12_lexical_search": lexical.ORACLE,
+        "op13_warc": warc.ORACLE,
+    }
