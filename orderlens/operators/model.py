@@ -25,7 +25,8 @@ from orderlens.operators.joins import checked_broadcast
 from orderlens.operators.prefix_match import with_product_code
 from orderlens.session import check_session
 from orderlens.sources import adapter
-from orderlens.sources.io import ingest_labelled, read_export
+from orderlens.sources.exports import REJECTS, Export
+from orderlens.sources.io import checked_export, ingest_labelled
 
 ORDER_KEY = ["order_number", "shop"]
 
@@ -57,8 +58,9 @@ def parse_orders(items: DataFrame, codes: DataFrame, params: Params = DEFAULT) -
     )
 
 
-def fact_order_item(parsed: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """SM1: projection, carrier spelling fix, timestamp -> order date."""
+def fact_order_item(parsed: DataFrame, params: Params = DEFAULT, extra: tuple[str, ...] = ()) -> DataFrame:
+    """SM1: projection, carrier spelling fix, timestamp -> order date. ``extra``
+    columns are kept besides the fact's own."""
     return parsed.select(
         *[
             normalise_category(F.col("carrier"), params.carrier_canonical).alias("carrier")
@@ -66,16 +68,21 @@ def fact_order_item(parsed: DataFrame, params: Params = DEFAULT) -> DataFrame:
             else F.to_date("created_at").alias("order_date")
             if c == "order_date"
             else F.col(c)
-            for c in FACT_COLUMNS
+            for c in FACT_COLUMNS + [c for c in extra if c not in FACT_COLUMNS]
         ]
     )
 
 
+DIM_ORDER_COLUMNS = [
+    "order_number", "shop", "pay_method", "created_at", "order_date", "n_items", "n_items_completed", "is_completed",
+    "total_unit_price", "total_paid_price", "total_shipping_fee", "total_seller_discount", "total_platform_discount", "is_bulk",
+]
 _SUMMED = ("unit_price", "paid_price", "shipping_fee", "seller_discount", "platform_discount")
 
 
-def dim_order(parsed: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """SM2 + SM3: one row per (order_number, shop).
+def dim_order(parsed: DataFrame, params: Params = DEFAULT, spans: bool = False) -> DataFrame:
+    """SM2 + SM3: one row per (order_number, shop); with ``spans`` also the day
+    of its last line and the number of lines without a date.
 
     ``max(pay_method)`` is the deterministic, null-skipping pick of the order's
     pay method. A string in an aggregation buffer forces Spark's sort-based
@@ -86,7 +93,10 @@ def dim_order(parsed: DataFrame, params: Params = DEFAULT) -> DataFrame:
     the order number, so when the lines arrive partitioned by order (a shuffle
     join with ``orders``) neither level adds an exchange.
     """
+    last = F.max("created_at").alias("last_created_at")
+    undated = F.count_if(F.col("created_at").isNull()).alias("n_undated")
     lvl1 = parsed.groupBy(*ORDER_KEY, "pay_method").agg(
+        *([last, undated] if spans else []),
         F.min("created_at").alias("created_at"),
         F.count(F.lit(1)).alias("n_items"),
         F.sum(F.col("is_completed").cast("bigint")).alias("n_items_completed"),
@@ -103,6 +113,7 @@ def dim_order(parsed: DataFrame, params: Params = DEFAULT) -> DataFrame:
         F.bool_and("is_completed").alias("is_completed"),
         *[F.sum(f"total_{c}").alias(f"total_{c}") for c in _SUMMED],
         (n >= params.bulk_threshold).alias("is_bulk"),
+        *([F.to_date(F.max("last_created_at")).alias("last_order_date"), F.sum("n_undated").alias("n_undated")] if spans else []),
     )
 
 
@@ -227,7 +238,13 @@ class Model:
             return self.spark.table(f"{p.model_tables}.{name}")
         if not p.model_dir:
             return None
-        return self.spark.read.parquet(f"{p.model_dir.rstrip('/')}/{name}")
+        return self._store.table(name)
+
+    @cached_property
+    def _store(self):
+        from orderlens.operators.store import ModelStore
+
+        return ModelStore(self.spark, self.params.model_dir, self.params)
 
     @cached_property
     def fact(self) -> DataFrame:
@@ -240,7 +257,7 @@ class Model:
     def dim_order(self) -> DataFrame:
         stored = self._stored("dim_order")
         if stored is not None:
-            return stored
+            return stored.select(*DIM_ORDER_COLUMNS)
         # order-level columns only: built from the cleaned lines, so order
         # queries never plan the SKU parsing
         return dim_order(self.cleaned, self.params)
@@ -276,17 +293,31 @@ class Model:
 class ExportModel(Model):
     """The model of real exports: raw -> cleaned -> parsed -> the same tables,
     so every query runs on it. ``exports`` maps a shop's label to its export
-    (see ``read_export``); ``codes`` has (code, ordinal), ``cost`` (product_code,
-    cost). An export has no part number; its products are their codes."""
+    (see ``checked_export``); malformed records are in ``rejects`` instead.
+    ``codes`` has (code, ordinal), ``cost`` (product_code, cost). An export has
+    no part number; its products are their codes."""
 
     def __init__(self, spark: SparkSession, exports: dict[str, str], codes: DataFrame, cost: DataFrame,
-                 params: Params = DEFAULT, file_format: str = "csv"):
+                 params: Params = DEFAULT, file_format: str = "csv", line_breaks: str = "auto"):
         super().__init__(spark, "", params if params.product_key != "part_id" else replace(params, product_key="product_code"))
-        self.exports, self.file_format, self.codes, self.cost = exports, file_format, codes, cost
+        self.exports, self.file_format, self.codes, self.cost, self.line_breaks = exports, file_format, codes, cost, line_breaks
+
+    @cached_property
+    def checked(self) -> dict[str, Export]:
+        return {label: checked_export(self.spark, path, label, self.file_format, line_breaks=self.line_breaks)
+                for label, path in self.exports.items()}
 
     @cached_property
     def raw(self) -> DataFrame:
-        return ingest_labelled((label, read_export(self.spark, path, self.file_format)) for label, path in self.exports.items())
+        return ingest_labelled((label, e.rows) for label, e in self.checked.items())
+
+    @cached_property
+    def rejects(self) -> DataFrame:
+        """Records that are no rows: shop, file, reason, record."""
+        out = self.spark.createDataFrame([], REJECTS)
+        for e in self.checked.values():
+            out = out.unionByName(e.rejects)
+        return out
 
     @cached_property
     def items(self) -> DataFrame:
@@ -314,34 +345,26 @@ MODEL_TABLES = ("fact_order_item", "dim_order", "dim_product", "dim_date", "dim_
 
 
 def materialize_model(m: Model, base_path: str, buckets: int = 0, database: str | None = None) -> dict[str, str]:
-    """IO6: write the model tables overwrite-by-name under ``base_path`` (a
-    shared folder). The fact is partitioned by order month so date filters of
-    later analyses prune whole folders; each table is one job from the scan.
-
-    With ``buckets`` and ``database``, the fact and the order dimension are
-    instead written as catalog tables (data in ``base_path``) bucketed and
-    sorted by order number: analyses reading them with
-    ``Params(model_tables=database)`` join lines to orders without a shuffle.
+    """IO6: write the model under ``base_path`` (a shared folder) as a new
+    version of its store (see ``store.ModelStore``: readers see the old tables or
+    the new ones; the fact is partitioned by month, so date filters prune
+    folders). Returns each table's folder.
+
+    With ``buckets`` and ``database``, the fact and the order dimension are also
+    written as catalog tables bucketed and sorted by order number: analyses
+    reading them with ``Params(model_dir=base_path, model_tables=database)``
+    join lines to orders without a shuffle. These two are replaced in place.
     """
-    from orderlens.sources.io import write_table
+    from orderlens.operators.store import ModelStore
 
-    tables = {
-        "fact_order_item": (m.fact.withColumn("order_month", F.date_format("order_date", "yyyy-MM")), ["order_month"]),
-        "dim_order": (m.dim_order, []),
-        "dim_product": (m.dim_product, []),
-        "dim_date": (m.dim_date, []),
-        "dim_shipping_provider": (m.dim_shipping_provider, []),
-    }
-    out = {}
+    store = ModelStore(m.spark, base_path, m.params)
+    store.build(m.parsed, m.cost)
+    out = {name: path for name, path in store.paths().items() if name in MODEL_TABLES}
     if buckets and database:
-        m.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{base_path.rstrip('/')}/_catalog'")
-    for name, (df, parts) in tables.items():
-        path = f"{base_path.rstrip('/')}/{name}"
-        if buckets and database and name in ("fact_order_item", "dim_order"):
-            (df.drop("order_month").write.mode("overwrite").option("path", path)
-             .bucketBy(buckets, "order_number").sortBy("order_number")
-             .saveAsTable(f"{database}.{name}"))
+        base = base_path.rstrip("/")
+        m.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{base}/_catalog'")
+        for name, columns in (("fact_order_item", FACT_COLUMNS), ("dim_order", DIM_ORDER_COLUMNS)):
+            (store.table(name).select(*columns).write.mode("overwrite").option("path", f"{base}/_bucketed/{name}")
+             .bucketBy(buckets, "order_number").sortBy("order_number").saveAsTable(f"{database}.{name}"))
             out[name] = f"{database}.{name}"
-        else:
-            out[name] = write_table(df, path, parts)
     return out

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.operators.model import ORDER_KEY, Model, cleaned_export, parse_orders
+from orderlens.operators.model import DIM_ORDER_COLUMNS, FACT_COLUMNS, ORDER_KEY, Model, cleaned_export, parse_orders
 from orderlens.operators.model import fact_order_item as fact_of
+from orderlens.operators.store import ModelStore
+from orderlens.session import scratch_path
 
 
 def fact_order_item(m: Model) -> DataFrame:
@@ -68,6 +70,41 @@ def model_row_counts(m: Model) -> DataFrame:
     return out
 
 
+def _late(m: Model):
+    """The last 60 days of the data."""
+    return F.col("created_at") >= m.cleaned.agg(F.max("created_at").alias("t")).first()["t"] - F.expr("INTERVAL 60 DAYS")
+
+
+def _refreshed(m: Model) -> ModelStore:
+    """A store of all lines but the last days', refreshed with these."""
+    store, late = ModelStore(m.spark, scratch_path(m.spark, "model-store"), m.params), F.coalesce(_late(m), F.lit(False))
+    store.build(m.parsed.where(~late), m.cost)
+    store.refresh(m.parsed.where(late), m.cost)
+    return store
+
+
+def store_row_counts(m: Model) -> DataFrame:
+    """IO6 + SM9: rows of every table of a refreshed model, as its writes counted them."""
+    return _refreshed(m).row_counts()
+
+
+def refreshed_dim_order(m: Model) -> DataFrame:
+    """IO6 + SM2: the order dimension after an incremental refresh."""
+    return _refreshed(m).table("dim_order").select(*DIM_ORDER_COLUMNS)
+
+
+def replaced_fact(m: Model) -> DataFrame:
+    """IO6 + SM1: the fact after the orders of the last days, first written with
+    an earlier state, were delivered again."""
+    store, late = ModelStore(m.spark, scratch_path(m.spark, "model-store"), m.params), F.coalesce(_late(m), F.lit(False))
+    orders = m.parsed.where(late).select(*ORDER_KEY).distinct()
+    again = m.parsed.join(orders, ORDER_KEY, "left_semi").select(*m.parsed.columns)
+    stale = {"status": F.when(late, F.lit("packed")).otherwise(F.col("status")), "is_completed": ~late & F.col("is_completed")}
+    store.build(m.parsed.withColumns(stale), m.cost)
+    store.refresh(again, m.cost, "replace")
+    return store.table("fact_order_item").select(*FACT_COLUMNS)
+
+
 def _dup_keys(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     dups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     return dups.agg(F.count(F.lit(1)).alias("n_duplicate_keys")).select(

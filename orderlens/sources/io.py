@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from orderlens.config import EXPORT_COLUMNS
 from orderlens.session import scratch_path
+from orderlens.sources.exports import REJECTS, Export, has_line_breaks, read_csv_checked
 from orderlens.sources.schemas import SCHEMAS
 
 
@@ -43,19 +44,26 @@ def ingest_labelled(sources: Iterable[tuple[str, DataFrame]], label_col: str = "
 
 def read_export(spark: SparkSession, path: str, file_format: str = "csv",
                 columns: dict[str, str] | None = None) -> DataFrame:
+    """One shop's order export under the names used here (see ``checked_export``), without its rejects."""
+    return checked_export(spark, path, "", file_format, columns).rows
+
+
+def checked_export(spark: SparkSession, path: str, label: str, file_format: str = "csv",
+                   columns: dict[str, str] | None = None, line_breaks: str = "auto") -> Export:
     """One shop's order export under the names used here, all values as text or
     as the file has them; cleaning gives them their types. Personal and unknown
     columns are not read. A file without one of the columns is refused, for a
-    renamed header must not become a column of nulls."""
+    renamed header must not become a column of nulls. Malformed CSV records are
+    the rejects; other formats have none."""
     columns = columns or EXPORT_COLUMNS
-    reader = spark.read
     if file_format == "csv":
-        reader = reader.options(header=True, quote='"', escape='"', multiLine=True)
-    df = reader.format(file_format).load(path)
+        df, rejects = read_csv_checked(spark, path, label, line_breaks)
+    else:
+        df, rejects = spark.read.format(file_format).load(path), spark.createDataFrame([], REJECTS)
     absent = [c for c in columns if c not in df.columns]
     if absent:
         raise ValueError(f"{path} has no column {', '.join(absent)}")
-    return df.select(*[F.col(f"`{c}`").alias(name) for c, name in columns.items()])
+    return Export(df.select(*[F.col(f"`{c}`").alias(name) for c, name in columns.items()]), rejects)
 
 
 def read_cost_csv(spark: SparkSession, path: str, code_col: str = "product_code",
@@ -99,10 +107,10 @@ def export_csv(df: DataFrame, path: str) -> str:
 
 
 def read_exported_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Read back what ``export_csv`` wrote; values may hold line breaks. The
-    reader would take a quoted empty field for null as well, so it is told to
+    """Read back what ``export_csv`` wrote. Files are split over tasks unless a
+    value holds a line break. The reader would take a quoted empty field for null as well, so it is told to
     deliver a character that no export holds for it."""
-    raw = spark.read.schema(schema).options(**CSV_OPTIONS, emptyValue="\x00", multiLine=True).csv(path)
+    raw = spark.read.schema(schema).options(**CSV_OPTIONS, emptyValue="\x00", multiLine=has_line_breaks(spark, path)).csv(path)
     strings = [f.name for f in schema.fields if f.dataType.typeName() == "string"]
     return raw.withColumns({c: F.when(F.col(c) == "\x00", F.lit("")).otherwise(F.col(c)) for c in strings})
 
