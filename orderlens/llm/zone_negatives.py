@@ -94,10 +94,11 @@ class Curve:
     def __init__(self, sample: np.ndarray):
         self.dim = sample.shape[1]
         self.centre = sample.mean(axis=0)
-        _, directions = np.linalg.eigh(np.cov(sample, rowvar=False).reshape(self.dim, self.dim))
+        x = sample - self.centre
+        _, directions = np.linalg.eigh(x.T @ x)
         self.directions = directions[:, ::-1][:, :CURVE_DIMS]
         cuts = np.linspace(0, 1, (1 << CURVE_BITS) + 1)[1:-1]
-        self.cuts = np.quantile((sample - self.centre) @ self.directions, cuts, axis=0)
+        self.cuts = np.quantile(x @ self.directions, cuts, axis=0)
 
     def key(self, vectors: np.ndarray) -> np.ndarray:
         x = (fitted(vectors, self.dim) - self.centre) @ self.directions
