@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,24 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     computed once and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete what ``write_table`` wrote, when no later step reads it."""
+    path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(table))
+    path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_shuffles(spark) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps now: it does
+    so when the driver's garbage collector finds that nothing refers to them."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_parts(spark) -> int:
