@@ -14,13 +14,15 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.config import DEFAULT, Params
 from orderlens.functions.calendar import weekday0, year_month
 from orderlens.functions.sku import campaign_flag, has_gift, promo_label
-from orderlens.operators.clean import clean_orders, completed_flag, normalise_category
+from orderlens.operators.clean import (
+    DATE_COLUMNS, DISCOUNT_COLUMNS, NUMERIC_COLUMNS, clean_orders, completed_flag, normalise_category, whole_units,
+)
 from orderlens.operators.joins import checked_broadcast
 from orderlens.operators.prefix_match import with_product_code
 from orderlens.session import check_session
@@ -334,11 +336,54 @@ def cleaned_export(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def materialize_stages(m: Model, base_path: str) -> dict[str, str]:
-    """Write the cleaned and the parsed lines, overwrite-by-name."""
+    """Write the cleaned and the parsed lines and the orders of the exports,
+    overwrite-by-name; their folders by name."""
+    return observed_stages(m, base_path)[0]
+
+
+def observed_stages(m: Model, base_path: str) -> tuple[dict[str, str], DataFrame]:
+    """``materialize_stages``, and what its writes have seen: (stage, metric,
+    column_name, value). Rows of each source (IO2), values that are there (CL2),
+    money and dates that do not parse (CL4, CL6), extracted SKU parts (SK5) and
+    the control total of paid prices in lines and orders (SM12). They are
+    observed while the rows are written: each stage is read from the one before
+    it, and nothing is scanned for the report.
+    """
     from orderlens.sources.io import write_table
 
-    return {name: write_table(df, f"{base_path.rstrip('/')}/{name}")
-            for name, df in (("orders_clean", m.cleaned), ("orders_parsed", m.parsed))}
+    raw = m.raw.drop(*m.params.pii_columns)
+    shops = list(getattr(m, "exports", None) or adapter.SHOP_LABELS)
+    money = [c for c in {**DISCOUNT_COLUMNS, **NUMERIC_COLUMNS} if c in raw.columns]
+    dates = {c: n for c, n in DATE_COLUMNS.items() if c in raw.columns}
+    bad = lambda c, parsed: F.count_if(F.col(c).isNotNull() & parsed.isNull())
+    paid = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    base, paths, report = base_path.rstrip("/"), {}, []
+
+    def write(name: str, df: DataFrame, seen: dict[str, Observation]) -> DataFrame:
+        paths[name] = write_table(df, f"{base}/{name}")
+        for stage, observation in seen.items():
+            report.extend((stage, *key.split("|"), int(value)) for key, value in observation.get.items())
+        return m.spark.read.schema(df.schema).parquet(paths[name])
+
+    def observed(df: DataFrame, observation: Observation, metrics: dict[str, Column]) -> DataFrame:
+        return df.observe(observation, *[c.alias(key) for key, c in metrics.items()])
+
+    as_read, clean, parsed, orders = (Observation() for _ in range(4))
+    raw = observed(raw, as_read, {
+        **{f"rows|{shop}": F.count_if(F.col("shop") == shop) for shop in shops},
+        **{f"values|{c}": F.count(F.col(c)) for c in raw.columns},
+        **{f"unparsed|{c}": bad(c, whole_units(F.col(c))) for c in money},
+    })
+    lines = observed(cleaned_export(raw, m.params), clean, {
+        **{f"unparsed|{c}": bad(c, F.col(n)) for c, n in dates.items()}, "total|paid_price": paid("paid_price")})
+    lines = write("orders_clean", lines, {"raw": as_read, "clean": clean})
+    sku = ("product_code", "campaign_flag", "promo_label")
+    lines = observed(parse_orders(lines, m.codes, m.params), parsed, {
+        **{f"values|{c}": F.count(F.col(c)) for c in sku}, "values|has_gift": F.count_if("has_gift"), "total|paid_price": paid("paid_price")})
+    lines = write("orders_parsed", lines, {"parsed": parsed})
+    by_order = observed(dim_order(lines, m.params), orders, {"rows|orders": F.count(F.lit(1)), "total|paid_price": paid("total_paid_price")})
+    write("orders", by_order, {"orders": orders})
+    return paths, m.spark.createDataFrame(report, "stage string, metric string, column_name string, value long")
 
 
 MODEL_TABLES = ("fact_order_item", "dim_order", "dim_product", "dim_date", "dim_shipping_provider")

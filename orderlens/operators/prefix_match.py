@@ -1,17 +1,22 @@
 """SK1: longest base code that is a case-insensitive prefix of a SKU.
 
-The reference loops over all codes for every row (a nested loop). Here the
-theta predicate "code is a prefix of sku" becomes equi-joins: for every code
-upper-cased length L in use, the first L characters of the upper-cased SKU must
-equal the upper-cased code (upper-casing can change a length, so both sides are
-upper-cased before anything is cut). The longest matching code wins, by its own
-length; among equally long ones the one listed first (lowest ordinal) wins.
+The reference loops over all codes for every row (a nested loop). Here the codes
+become a sorted index: the code before or at a SKU (its floor, by binary search)
+either is the longest code that the SKU begins with or itself begins with it,
+because everything sorted between a prefix and the string begins with that
+prefix. So each code holds its chain, the codes that it begins with, best first,
+and the first of the floor's chain that the SKU begins with is the answer: one
+lookup, whatever lengths the codes have. Both sides are upper-cased before
+anything is compared (upper-casing can change a length). The longest matching
+code wins, by its own length; among equally long ones the one listed first
+(lowest ordinal) wins.
 
 Plans
 -----
-- *broadcast* (codes table up to ``max_bytes``, measured):
-  one broadcast hash join per distinct code length, all inside the same
-  pipeline as the scan - no shuffle at all, and a hot SKU costs nothing extra.
+- *broadcast* (codes up to ``max_bytes``, measured): the index is one value, a
+  scalar subquery that reads the codes once; looking it up takes no join and no
+  shuffle, and a hot SKU costs nothing extra. A query that does not read the
+  product code does not build it.
 - *distinct-SKU* (larger code tables): only the distinct SKUs are shuffled
   (partial aggregation first), expanded to one candidate per code length,
   equi-joined to the codes, reduced with ``max_by`` and joined back; AQE
@@ -20,7 +25,7 @@ Plans
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.config import DEFAULT
@@ -60,30 +65,48 @@ def with_product_code(
 ) -> DataFrame:
     """Add ``out_col`` = longest case-insensitive prefix code of ``sku_col``."""
     keyed = _keyed_codes(codes, code_col, ordinal_col)
+    if strategy == "broadcast" or (strategy == "auto" and fits(keyed, max_bytes)):
+        return _index_plan(df, prefix_index(keyed), sku_col, out_col)
     lengths = code_lengths(keyed)
     if not lengths:
         return df.withColumn(out_col, F.lit(None).cast("string"))
-    if strategy == "broadcast" or (strategy == "auto" and fits(keyed, max_bytes)):
-        return _broadcast_plan(df, keyed, lengths, sku_col, out_col)
     return _distinct_sku_plan(df, keyed, lengths, sku_col, out_col)
 
 
-def _broadcast_plan(df, keyed, lengths, sku_col, out_col):
-    out = df
-    picked = []
-    for i, n in enumerate(lengths):
-        k, c = f"_pm_k{i}", f"_pm_c{i}"
-        # grouped by exactly the join key: Catalyst then knows the side is
-        # unique and removes the whole left join from queries that never read
-        # the product code
-        side = F.broadcast(
-            keyed.where(F.col("_pm_len") == n).groupBy(F.col("_pm_key").alias(k))
-            .agg(F.first(F.struct("_pm_rank", "_pm_code")).alias(c))
-        )
-        out = out.join(side, F.substring(F.upper(F.col(sku_col)), 1, n) == F.col(k), "left").drop(k)
-        picked.append(F.col(c))
-    best = picked[0] if len(picked) == 1 else F.greatest(*picked)  # skips nulls
-    return out.withColumn(out_col, best.getField("_pm_code")).drop(*[f"_pm_c{i}" for i in range(len(lengths))])
+def prefix_index(keyed: DataFrame) -> DataFrame:
+    """One row ``index``: the sorted keys, and the chain of each. A chain holds
+    the codes that the key begins with, itself too, best first."""
+    own = F.col("_pm_key")
+    entry = F.struct("_pm_rank", "_pm_key", "_pm_code")
+    prefixes = keyed.select(own, entry.alias("_pm_entry"), F.explode(F.sequence(F.lit(1), F.length(own))).alias("_pm_n"))
+    prefixes = prefixes.select(F.expr("substring(_pm_key, 1, _pm_n)").alias("_pm_prefix"), own, "_pm_entry")
+    # the keys that begin with a prefix, where that is a code itself
+    under = prefixes.groupBy("_pm_prefix").agg(
+        F.max(F.when(own == F.col("_pm_prefix"), F.col("_pm_entry"))).alias("_pm_entry"), F.collect_list(own).alias("_pm_keys"))
+    linked = under.where(F.col("_pm_entry").isNotNull()).select("_pm_entry", F.explode("_pm_keys").alias("_pm_key"))
+    chains = linked.groupBy("_pm_key").agg(F.sort_array(F.collect_list("_pm_entry"), asc=False).alias("_pm_chain"))
+    rows = chains.agg(F.sort_array(F.collect_list(F.struct("_pm_key", "_pm_chain"))).alias("rows"))
+    return rows.select(F.struct(F.col("rows._pm_key").alias("keys"), F.col("rows._pm_chain").alias("chains")).alias("index"))
+
+
+def _index_plan(df: DataFrame, index: DataFrame, sku_col: str, out_col: str) -> DataFrame:
+    """Floor by binary search, then the chain, as plain projections: the index is
+    one value that they refer to, so they stay inside generated code. The number
+    of keys and the longest chain set how many steps there are."""
+    keys, chains = F.col("index.keys"), F.col("index.chains")
+    shape = index.select(F.size(keys).alias("n"), F.coalesce(F.array_max(F.transform(chains, F.size)), F.lit(0)).alias("depth")).first()
+    value = index.scalar()
+    upper, floor = "_pm_sku", "_pm_floor"
+    out = df.withColumn(upper, F.upper(F.col(sku_col))).withColumn(floor, F.lit(0))
+    for k in reversed(range(shape["n"].bit_length())):
+        ahead = F.col(floor) + (1 << k)
+        out = out.withColumn(floor, F.when(F.get(value.getField("keys"), ahead - 1) <= F.col(upper), ahead).otherwise(F.col(floor)))
+    chain = F.get(value.getField("chains"), F.col(floor) - 1)
+    code = F.lit(None).cast("string")
+    for k in reversed(range(shape["depth"])):
+        entry = F.get(chain, F.lit(k))
+        code = F.when(F.startswith(F.col(upper), entry.getField("_pm_key")), entry.getField("_pm_code")).otherwise(code)
+    return out.withColumn(out_col, code).drop(upper, floor)
 
 
 def sku_code_map(skus: DataFrame, keyed: DataFrame, lengths: list[int], sku_col: str, out_col: str) -> DataFrame:
@@ -107,8 +130,4 @@ def product_code_map(skus: DataFrame, codes: DataFrame, sku_col: str = "seller_s
                      out_col: str = "product_code", code_col: str = "code",
                      ordinal_col: str = "ordinal") -> DataFrame:
     """(sku, product_code or null) for a frame of distinct SKUs."""
-    keyed = _keyed_codes(codes, code_col, ordinal_col)
-    lengths = code_lengths(keyed)
-    if not lengths:
-        return skus.withColumn(out_col, F.lit(None).cast("string"))
-    return skus.join(sku_code_map(skus, keyed, lengths, sku_col, out_col), sku_col, "left")
+    return with_product_code(skus, codes, sku_col, out_col, code_col, ordinal_col)

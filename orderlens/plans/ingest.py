@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orderlens.config import EXPORT_COLUMNS
 from orderlens.operators import clean as cl
-from orderlens.operators.model import ORDER_KEY, Model
+from orderlens.operators.model import ORDER_KEY, Model, observed_stages
 from orderlens.session import scratch_path
 from orderlens.sources.exports import read_csv_checked, reject_counts
 from orderlens.sources.io import export_csv_roundtrip
@@ -68,6 +68,11 @@ def export_csv(m: Model) -> DataFrame:
     return export_csv_roundtrip(m.spark, _clean(m).drop(*cl.DATE_COLUMNS))
 
 
+def stage_report(m: Model) -> DataFrame:
+    """IO2, CL2, CL4, CL6, SK5, SM12: what the writes of the stages have observed."""
+    return observed_stages(m, scratch_path(m.spark, "stages"))[1]
+
+
 def clean_drop_columns(m: Model) -> DataFrame:
     """CL1 + CL2: the union without personal and all-empty columns."""
     return cl.drop_columns(_raw(m), m.params)

@@ -104,7 +104,7 @@ def test_written_model_is_read_once_and_has_its_own_costs(spark):
 def test_model_of_exports(spark):
     """The raw lines as two shops' CSV exports with the export's own headers."""
     from orderlens.config import EXPORT_COLUMNS
-    from orderlens.operators.model import ExportModel, Model, materialize_stages
+    from orderlens.operators.model import ExportModel, Model, observed_stages
     from orderlens.plans import registry
     from orderlens.sources.io import CSV_OPTIONS
 
@@ -127,7 +127,10 @@ def test_model_of_exports(spark):
     assert rows(m.fact) == rows(registry.QUERY_KEYS["fact_from_exports"](own))
     for k in ("incomplete_by_month", "campaign_margin_pooled", "cohort_sizes", "rfm_segments", "daily_orders_dense", "parse_failure_counts", "case_variant_report"):
         assert registry.QUERY_KEYS[k](m).count() > 0, k
-    stages = materialize_stages(m, f"{base}/stages")
+    stages, report = observed_stages(m, f"{base}/stages")
+    seen = {(r.stage, r.metric, r.column_name): r.value for r in report.collect()}
+    assert seen["raw", "rows", "shop_a"] + seen["raw", "rows", "shop_b"] == own.raw.count()
+    assert seen["clean", "total", "paid_price"] == seen["orders", "total", "paid_price"] == spark.read.parquet(stages["orders"]).agg(F.sum("total_paid_price")).first()[0]
     assert {"created_at", "item_name"} <= set(spark.read.parquet(stages["orders_clean"]).columns)
     parsed = spark.read.parquet(stages["orders_parsed"])
     assert parsed.count() == m.raw.count() and "item_name" not in parsed.columns
@@ -181,3 +184,52 @@ def test_bucketed_model_joins_without_shuffle(spark):
     a = sorted(map(tuple, fn(Model(spark, SF_SMALL)).collect()), key=str)
     b = sorted(map(tuple, fn(Model(spark, SF_SMALL, p)).collect()), key=str)
     assert a == b
+
+
+HEADER = "orderNumber,sku,note"
+
+
+def write_files(base, *texts):
+    import os
+
+    os.makedirs(base)
+    for k, text in enumerate(texts):
+        with open(f"{base}/part-{k}.csv", "w", encoding="utf-8", newline="") as f:
+            f.write(text)
+    return base
+
+
+def test_malformed_lines_are_set_aside(spark):
+    from orderlens.sources.exports import read_csv_checked, reject_counts
+
+    base = tempfile.mkdtemp(prefix="orderlens-rejects-")
+    lines = ["1,a,x", '2,"b,c","say ""hi"""', "3,too,many,fields", "4,few", '5,"open,x', "6,,", " 7 , d ,  ", "8,é,ü"]
+    path = write_files(f"{base}/a", "\ufeff" + "\r\n".join([HEADER, *lines[:4]]) + "\r\n", "\n".join([HEADER, *lines[4:]]) + "\n\n")
+    rows, rejects = read_csv_checked(spark, path, "a", "reject")
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([("1", "a", "x"), ("2", "b,c", 'say "hi"'), ("6", None, None), (" 7 ", " d ", "  "), ("8", "é", "ü")], key=str)
+    assert {(r.shop, r.reason, r.record) for r in rejects.collect()} == {("a", "number of fields", "3,too,many,fields"), ("a", "number of fields", "4,few"), ("a", "open quote", '5,"open,x')}
+    assert all(r.file.endswith(".csv") for r in rejects.collect())
+    assert rows.select("sku").count() == 5 and rejects.select("record").count() == 3  # whatever columns are read
+    counts = reject_counts(rows.withColumn("shop", F.lit("a")), rejects).collect()
+    assert [tuple(r) for r in counts] == [("a", 5, 2, 1)]
+
+
+def test_line_breaks_in_fields_and_splits(spark):
+    from orderlens.sources.exports import has_line_breaks, read_csv_checked
+
+    base = tempfile.mkdtemp(prefix="orderlens-breaks-")
+    broken = write_files(f"{base}/b", f'{HEADER}\n1,a,"two\nlines"\n2,b,c\n3,x\n')
+    assert has_line_breaks(spark, broken)
+    rows, rejects = read_csv_checked(spark, broken, "b")
+    assert sorted(map(tuple, rows.collect())) == [("1", "a", "two\nlines"), ("2", "b", "c")]
+    assert [(r.reason, r.record.strip()) for r in rejects.collect()] == [("number of fields", "3,x")]
+    large = write_files(f"{base}/c", HEADER + "\n" + "".join(f"{i},sku{i},{'n' * 50}\n" for i in range(60_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        rows, rejects = read_csv_checked(spark, large, "c")
+        assert rows.rdd.getNumPartitions() >= 3 and rows.count() == 60_000 and rejects.count() == 0  # one file, several tasks
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    empty = write_files(f"{base}/d", HEADER + "\n")
+    assert [read_csv_checked(spark, empty, "d")[k].count() for k in (0, 1)] == [0, 0]

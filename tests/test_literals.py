@@ -1,6 +1,7 @@
 """The literal cases of FIXTURES.md section 3, on tiny hand-made frames."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -222,3 +223,31 @@ def test_normal_tail_relative_error(spark):
     for r in df.select("z", normal_upper_tail(F.col("z")).alias("p")).collect():
         want = 0.5 * math.erfc(r.z / math.sqrt(2.0))
         assert abs(r.p - want) <= 1e-10 * want
+
+
+def test_prefix_index_equals_all_pairs(spark):
+    """Nested codes of many lengths, codes that differ by case, characters
+    that sort next to each other, SKUs that equal, precede and follow all codes."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("aAbB-0") for _ in range(n))
+    codes = sorted({word(rng.randint(1, 7)) for _ in range(300)}, key=lambda c: rng.random())
+    skus = sorted({word(rng.randint(0, 9)) for _ in range(1500)} | {c + word(2) for c in codes} | {"zz", "!", ""})
+    table = spark.createDataFrame([(c, i) for i, c in enumerate(codes)], "code string, ordinal int")
+    df = spark.createDataFrame([(x,) for x in skus], "seller_sku string")
+
+    def best(sku):
+        own = [(len(c), -i, c) for i, c in enumerate(codes) if sku.upper().startswith(c.upper())]
+        return max(own)[2] if own else None
+
+    want = {x: best(x) for x in skus}
+    assert sum(v is not None for v in want.values()) > 500 and None in want.values()
+    for strategy in ("broadcast", "distinct"):
+        assert {r.seller_sku: r.product_code for r in with_product_code(df, table, strategy=strategy).collect()} == want, strategy
+    out = with_product_code(df, table, strategy="broadcast")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and len(set(re.findall(r"subquery#(\d+)", plan))) == 1  # one lookup, one index
+    none = with_product_code(df, table.limit(0), strategy="broadcast")
+    assert none.where("product_code is not null").count() == 0 and none.count() == len(skus)

@@ -1,5 +1,7 @@
 """Physical-plan properties of every query (shape, not timing)."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -55,6 +57,14 @@ def test_orders_join_is_a_shuffle_join(spark):
     assert first_level and all("HashAggregate" in ln for ln in first_level)
 
 
+def test_code_index_is_built_once_and_only_if_read(spark):
+    df = QUERIES["sku_product_code"](spark, SF_SMALL)
+    df.collect()
+    plan = _plan(df)
+    assert len(set(re.findall(r"subquery#(\d+)", plan))) == 1 and "Join" not in plan.split("Subquery")[0].split("FileScan")[0]
+    assert "subquery#" not in _plan(QUERIES["delivery_days_by_carrier"](spark, SF_SMALL))
+
+
 def test_checkpoint_calls_ensure_a_folder():
     # every module that checkpoints makes sure a checkpoint folder exists first
     import pathlib
