@@ -15,7 +15,7 @@ from weakref import WeakKeyDictionary
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import orderlens
@@ -28,20 +28,26 @@ _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns an operator reads, as ``(_row, _id, _text)``.
+def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """The two columns an operator reads, as ``(_row, _id, _text)``; the row
+    number from ``row_col`` if the rows have one.
 
     Every input row is a document of its own, also when ids or whole rows
     repeat; ``_row`` tells them apart. Other columns are left out here, so
     their names cannot clash with an operator's own."""
     ship(df.sparkSession)
     return df.select(
-        F.monotonically_increasing_id().alias("_row"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("_row"),
         F.col(id_col).cast("long").alias("_id"),
         F.col(text_col).cast("string").alias("_text"),
     )
 
 
+def whole_rows(df: DataFrame) -> Column:
+    """All columns of a caller's frame as one, so that their names cannot clash with an operator's own."""
+    return F.struct(*[F.col("`{}`".format(c.replace("`", "``"))) for c in df.columns])
+
+
 def ship(spark) -> None:
     """Let Spark hand this package to its Python workers (as --py-files does),
     once an application, so they can import it wherever they run."""

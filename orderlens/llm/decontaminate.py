@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import U64, byte_class, documents, mix, prefix_hash, ship, span_hash, text_buffer, word_segments, write_table
+from orderlens.llm.common import U64, byte_class, documents, mix, prefix_hash, ship, span_hash, text_buffer, whole_rows, word_segments, write_table
 
 WINDOW = 13
 GRAM = 8
@@ -218,10 +218,10 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 def remove_contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The clean documents, with all columns. A document's fate depends on its
     text alone, so rows are matched by id and text hash."""
-    docs = df.withColumn("_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    verdicts, _ = contamination(docs.select(F.col("_key").alias("doc_id"), "text"), benchmark)
-    found = verdicts.where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(found, "_key", "left_anti").select(*df.columns)
+    docs = df.select(whole_rows(df).alias("whole"), F.col("text"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
+    verdicts, _ = contamination(docs.select(F.col("key").alias("doc_id"), "text"), benchmark)
+    found = verdicts.where("contaminated").select(F.col("doc_id").alias("key")).distinct()
+    return docs.select("whole", "key").join(found, "key", "left_anti").select("whole.*")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -35,10 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import U64, documents, mix, prefix_hash, runs, sliced, span_hash, text_buffer, word_segments, write_table
+from orderlens.llm.common import U64, documents, mix, prefix_hash, runs, sliced, span_hash, text_buffer, word_segments, write_table, whole_rows
 from orderlens.llm.components import connected
 from orderlens.llm.decontaminate import IN_WORD, bitmap, gram_hashes
 
@@ -221,8 +221,8 @@ def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
 # --- the jobs ----------------------------------------------------------------------------
 
 
-def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return documents(df, id_col, text_col).withColumn("_hash", F.xxhash64(F.coalesce("_text", F.lit(""))))
+def _hashed(df: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    return documents(df, id_col, text_col, row_col).withColumn("_hash", F.xxhash64(F.coalesce("_text", F.lit(""))))
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -287,10 +287,10 @@ def _set_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["b", "a", "body"])
 
 
-def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: ``_row``, doc_id, ``class_id`` (the smallest id of its
+def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, row_col: str | None = None) -> DataFrame:
+    """Per document: ``_row`` (from ``row_col`` if given), doc_id, ``class_id`` (the smallest id of its
     class), ``class_row`` (that document's row)."""
-    docs = _hashed(df, id_col, text_col)
+    docs = _hashed(df, id_col, text_col, row_col)
     signed = write_table(docs.mapInArrow(_sign, SIGNED), "signatures")
     first = F.min(F.struct("text_hash", "bands", "sketch", "bins", "heavy")).alias("m")  # equal for all copies but for text_hash
     texts = write_table(signed.groupBy("h1", "h2").agg(first).select("h1", "h2", F.col("m.text_hash").alias("node"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch"), F.col("m.bins").alias("bins"), F.col("m.heavy").alias("heavy")), "texts")
@@ -421,17 +421,12 @@ def _to_centres(pairs: DataFrame, support: DataFrame) -> DataFrame:
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with one document of each class, all columns. Rows
-    that agree in id and text are told apart by their order."""
-    hash_ = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    classes = near_classes(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    keyed = documents(df, id_col, text_col).select("_row", F.col("_id").alias("_k"), F.xxhash64(F.coalesce("_text", F.lit(""))).alias("_h"))
-    kept = classes.where("_row = class_row").select("_row").join(keyed, "_row")
-    n_kept = kept.groupBy("_k", "_h").agg(F.count("*").alias("_n"))
-    rows = df.withColumn("_k", F.col(id_col).cast("long")).withColumn("_h", hash_)
-    found = rows.join(n_kept.withColumnRenamed("_k", "_k2").withColumnRenamed("_h", "_h2"), F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_h") == F.col("_h2")))
-    nth = F.row_number().over(Window.partitionBy("_k", "_h").orderBy(F.lit(0)))
-    return found.withColumn("_nth", nth).where("_nth <= _n").select(*df.columns)
+    """The rows of ``df`` with one document of each class, all columns. The rows
+    are written with their numbers, which so are the same in every step."""
+    rows = write_table(df.select(F.monotonically_increasing_id().alias("row"), whole_rows(df).alias("whole")), "near-rows")
+    texts = rows.select("row", F.col("whole").getField(id_col).alias("doc_id"), F.col("whole").getField(text_col).alias("text"))
+    kept = near_classes(texts, row_col="row").where("_row = class_row").select(F.col("_row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("whole.*")
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:

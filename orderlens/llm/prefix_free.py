@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import U64, expand, mix, prefix_hash, routed, row_slices, runs, ship, span_hash, text_buffer, write_table
+from orderlens.llm.common import U64, expand, mix, prefix_hash, release_shuffles, routed, row_slices, runs, ship, span_hash, text_buffer, write_table
 
 LENGTH = 100
 TRIGGER = 32
@@ -181,10 +181,8 @@ class Block:
     def messages(self, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         """Of each bucket: which phrases go there, in text order."""
         order, bounds = routed(self.parse.trigger[self.sent], n_buckets)
-        for k in range(n_buckets):
-            own = self.sent[order[bounds[k] : bounds[k + 1]]]
-            if len(own):
-                yield k, own
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            yield k, self.sent[order[bounds[k] : bounds[k + 1]]]
 
 
 def _keys_of(ids: pa.Array) -> np.ndarray:
@@ -197,6 +195,17 @@ def _message(*arrays: np.ndarray) -> bytes:
     return sizes.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
+_CODEC = pa.Codec("zstd", compression_level=3)
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def _unsqueezed(body: bytes) -> bytes:
+    return pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True)
+
+
 def _opened(body: bytes, *kinds) -> list[np.ndarray]:
     sizes, at, out = np.frombuffer(body, np.int64, len(kinds)), 8 * len(kinds), []
     for n, kind in zip(sizes.tolist(), kinds, strict=True):
@@ -229,7 +238,7 @@ def _settle_phrases(table: pa.Table) -> pa.Table:
     """For one bucket: which phrases are not the first of their class, and which
     are first but share their trigger with another class."""
     blocks, bodies = _gathered(table)
-    parts = [_opened(b, np.uint64, np.uint64, np.int64, np.uint32) for b in bodies]
+    parts = [_opened(_unsqueezed(b), np.uint64, np.uint64, np.int64, np.uint32) for b in bodies]
     trigger, content = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     when = np.concatenate([np.repeat(p[2], p[3]) for p in parts])
     order, new_class, _, shared = class_order(trigger, content, when)
@@ -251,7 +260,7 @@ def _answers(table, blocks, parts, state):
 def _settle_windows(table: pa.Table) -> pa.Table:
     """For one bucket: which windows are not the first with their content."""
     blocks, bodies = _gathered(table)
-    parts = [_opened(b, np.uint64, np.uint32, np.int64, np.uint32) for b in bodies]
+    parts = [_opened(_unsqueezed(b), np.uint64, np.uint32, np.int64, np.uint32) for b in bodies]
     content, more = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     when = np.concatenate([np.repeat(p[2], p[3]) for p in parts])
     order = np.lexsort((when, more, content))
@@ -316,10 +325,8 @@ class Windows:
 
     def messages(self, n_buckets: int):
         order, bounds = routed(self.content[self.sent], n_buckets)
-        for k in range(n_buckets):
-            own = self.sent[order[bounds[k] : bounds[k + 1]]]
-            if len(own):
-                yield k, own
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            yield k, self.sent[order[bounds[k] : bounds[k + 1]]]
 
 
 def _told(block: Block, answers, n_buckets: int):
@@ -348,20 +355,22 @@ def find_repeats(blocks: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
             for number, body in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
                 block = Block(open_block(body.as_py()), id_col, text_col)
                 keys, p = _keys_of(block.ids), block.parse
-                yield _batch([(k, number, _message(p.trigger[own], p.content[own], *_by_row(keys, p.row[own]))) for k, own in block.messages(n_phrase)])
+                yield _batch([(k, number, _squeezed(_message(p.trigger[own], p.content[own], *_by_row(keys, p.row[own])))) for k, own in block.messages(n_phrase)])
 
     def send_windows(batches):
         for batch in batches:
             for number, body, answers in zip(batch.column("block").to_pylist(), batch.column("rows"), batch.column("phrases").to_pylist(), strict=True):
                 block = Block(open_block(body.as_py()), id_col, text_col)
                 keys, w = _keys_of(block.ids), Windows(block, _told(block, answers, n_phrase)[1])
-                yield _batch([(k, number, _message(w.content[own], w.trigger[own].astype(np.uint32), *_by_row(keys, w.row[own]))) for k, own in w.messages(n_window)])
+                yield _batch([(k, number, _squeezed(_message(w.content[own], w.trigger[own].astype(np.uint32), *_by_row(keys, w.row[own])))) for k, own in w.messages(n_window)])
 
     sent = blocks.select("block", "rows").mapInArrow(send_phrases, MESSAGE)
     phrases = write_table(sent.groupBy("bucket").applyInArrow(_settle_phrases, MESSAGE), "phrase-answers")
+    release_shuffles(blocks.sparkSession)
     known = blocks.join(_collected(phrases, "phrases"), "block", "left")
     sent = known.select("block", "rows", "phrases").mapInArrow(send_windows, MESSAGE)
     windows = write_table(sent.groupBy("bucket").applyInArrow(_settle_windows, MESSAGE), "window-answers")
+    release_shuffles(blocks.sparkSession)
     both = _collected(phrases, "phrases").join(_collected(windows, "windows"), "block", "full")
     return blocks.join(both, "block", "left").select("block", "rows", "phrases", "windows"), n_phrase, n_window
 
