@@ -54,3 +54,32 @@ def normal_two_sided_p(z: Column) -> Column:
 def significant(x: Column, digits: int = 10) -> Column:
     """x to so many significant digits, also when it is tiny."""
     return F.format_string(f"%.{digits - 1}e", x).cast("double")
+
+
+#: The exact distribution of U is taken as the common libraries do: without ties,
+#: if the smaller group has at most so many values; and while n1 n2 is at most
+#: so much, from where on the normal approximation is as good.
+EXACT_GROUP, EXACT_PAIRS = 8, 20_000
+
+
+def exact_u_tail(u: Column, n1: Column, n2: Column) -> Column:
+    """P(U >= u) of two groups without ties. Ways to draw the smaller group from
+    all ranks, counted by their U: taking rank r as the j-th smallest drawn adds
+    r - j, so ways[j] gains ways[j - 1] moved by r - j for each rank."""
+    small, large = F.least(n1, n2).cast("int"), F.greatest(n1, n2).cast("int")
+    size = small * large + 1
+    zero, one = F.lit(0.0), F.array(F.lit(1.0))
+    none = F.array_repeat(zero, size)
+    start = F.transform(F.sequence(F.lit(0), small), lambda j: F.when(j == 0, F.slice(F.concat(one, none), F.lit(1), size)).otherwise(none))
+
+    def take(ways: Column, rank: Column) -> Column:
+        def gain(j: Column) -> Column:
+            moved = F.slice(F.concat(F.array_repeat(zero, rank - j), F.get(ways, j - 1)), F.lit(1), size)
+            return F.when((j == 0) | (rank < j) | (rank - j > large), F.get(ways, j)).otherwise(F.zip_with(F.get(ways, j), moved, lambda a, b: a + b))
+
+        return F.transform(F.sequence(F.lit(0), small), gain)
+
+    ways = F.get(F.aggregate(F.sequence(F.lit(1), small + large), start, take), small)
+    add = lambda a, b: a + b
+    at_least = F.slice(ways, F.ceil(u).cast("int") + 1, size)
+    return F.aggregate(at_least, zero, add) / F.aggregate(ways, zero, add)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.config import ALPHA, EFFECT_SIZE_LABELS
-from orderlens.functions.stats import normal_two_sided_p, normal_upper_tail, significant
+from orderlens.functions.stats import EXACT_GROUP, EXACT_PAIRS, exact_u_tail, normal_two_sided_p, normal_upper_tail, significant
 from orderlens.operators.model import Model
 from orderlens.operators.ranking import exact_quantiles, global_running_sum
 from orderlens.session import checkpoint_once
@@ -221,6 +221,13 @@ def mann_whitney_margin(m: Model) -> DataFrame:
         F.coalesce(F.sum(F.when(g == CAMPAIGN, F.col("n"))), F.lit(0)).alias("na"),
         F.coalesce(F.sum(F.when(g == NORMAL, F.col("n"))), F.lit(0)).alias("nb"),
     )
+    return mann_whitney(collapsed)
+
+
+def mann_whitney(collapsed: DataFrame) -> DataFrame:
+    """ST2 + ST3 of distinct values ``v`` with their numbers ``na`` and ``nb`` in
+    the two groups: the exact distribution of U for small groups without ties,
+    else the normal one with corrections for ties and continuity."""
     run = global_running_sum(collapsed, [F.col("v")], {"cum_b": "nb"})
     t = (F.col("na") + F.col("nb")).cast("double")
     s = run.agg(
@@ -237,6 +244,8 @@ def mann_whitney_margin(m: Model) -> DataFrame:
     big_u = F.greatest(u_a, n1 * n2 - u_a)
     z = F.try_divide(big_u - mu - F.lit(0.5), sigma)
     p = F.when(z < 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(2.0) * normal_upper_tail(z)))
+    exact = (tie == 0) & (F.least(n1, n2) >= 1) & (F.least(n1, n2) <= EXACT_GROUP) & (n1 * n2 <= EXACT_PAIRS)
+    p = F.when(exact, F.least(F.lit(1.0), F.lit(2.0) * exact_u_tail(big_u, n1, n2))).otherwise(p)
     effect = F.lit(1.0) - F.try_divide(F.lit(2.0) * u_a, n1 * n2)
     label = None
     for name, bound in EFFECT_SIZE_LABELS:
@@ -252,7 +261,7 @@ def mann_whitney_margin(m: Model) -> DataFrame:
         n2.cast("bigint").alias("n_b"),
         u_a.alias("u_stat"),
         F.round(z, 12).alias("z"),
-        F.when(z.isNotNull(), significant(p)).alias("p_value"),
+        F.when(z.isNotNull() | exact, significant(p)).alias("p_value"),
         F.round(effect, 12).alias("effect_size"),
     )
     return out.withColumn("effect_label", label).withColumn("decision", _decision(F.col("p_value")))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.calendar import weekday0, year_month
+from orderlens.operators.intervals import interval_join
 from orderlens.operators.model import ORDER_KEY, Model, date_spine
 
 
@@ -153,13 +154,10 @@ def pre_holiday_summary(m: Model) -> DataFrame:
     """SEh: the days [h - n, h - 1] before each holiday vs a clean baseline
     (neither campaign day nor pre-holiday day); per day = orders / days with orders."""
     p = m.params
-    pre_days = (
-        _holidays(m)
-        .select(F.explode(F.sequence(F.date_sub("holiday", p.pre_holiday_days), F.date_sub("holiday", 1))).alias("date"))
-        .distinct()
-        .withColumn("_pre", F.lit(True))
-    )
-    days = _daily(m).join(F.broadcast(pre_days), "date", "left")
+    windows = _holidays(m).select(F.date_sub("holiday", p.pre_holiday_days).alias("low"), F.date_sub("holiday", 1).alias("high"))
+    daily = _daily(m)
+    inside = interval_join(daily.select("date"), "date", windows, "low", "high", "left_semi").distinct().withColumn("_pre", F.lit(True))
+    days = daily.join(inside, "date", "left")
     pre = F.coalesce(F.col("_pre"), F.lit(False))
     base = ~pre & ~_is_double(F.col("date"))
     has_date = F.col("date").isNotNull()
@@ -192,12 +190,10 @@ def holiday_window_daily(m: Model) -> DataFrame:
     """SEj: daily orders from h - before to h + after around each holiday
     (days outside the data range are absent)."""
     p = m.params
-    win = _holidays(m).select(
-        "holiday",
-        F.explode(F.sequence(F.lit(-p.holiday_window_before), F.lit(p.holiday_window_after))).alias("offset"),
-    ).withColumn("date", F.date_add("holiday", F.col("offset")))
-    return _daily_dense(_shop_orders(m)).join(F.broadcast(win), "date", "inner").select(
-        "holiday", "date", "offset", "n_orders")
+    windows = _holidays(m).select(
+        "holiday", F.date_sub("holiday", p.holiday_window_before).alias("low"), F.date_add("holiday", p.holiday_window_after).alias("high"))
+    met = interval_join(_daily_dense(_shop_orders(m)), "date", windows, "low", "high")
+    return met.select("holiday", "date", F.datediff("date", "holiday").alias("offset"), "n_orders")
 
 
 def campaign_offset_profile(m: Model) -> DataFrame:
