@@ -20,6 +20,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlens.session import scratch_path
+
 REJECTS = "shop string, file string, reason string, record string"
 _CORRUPT = "_corrupt"
 #: The export's dialect; null is an empty field.
@@ -71,6 +73,10 @@ def read_csv_checked(spark: SparkSession, path: str, label: str, line_breaks: st
         # without column pruning: a row's number of fields is judged whatever a query reads
         read = spark.read.schema(schema).options(header=True, multiLine=True, columnPruning=False, enforceSchema=True, **DIALECT).csv(path)
         parsed = read.select(F.input_file_name().alias("file"), F.col(_CORRUPT).alias("line"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
+        # written once: Spark refuses a query on such a file that reads rejected records alone
+        path = scratch_path(spark, "export-records")
+        parsed.write.parquet(path)
+        parsed = spark.read.schema(parsed.schema).parquet(path)
         good, odd = F.col("line").isNull(), F.lit(False)
     else:
         lines = _lines(spark, path)

@@ -248,6 +248,6 @@ def test_prefix_index_equals_all_pairs(spark):
     out = with_product_code(df, table, strategy="broadcast")
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and len(set(re.findall(r"subquery#(\d+)", plan))) == 1  # one lookup, one index
+    assert "Join" not in plan and len(set(re.findall(r"ReusedSubquery Subquery subquery#(\d+)", plan))) == 1  # one lookup, one index
     none = with_product_code(df, table.limit(0), strategy="broadcast")
     assert none.where("product_code is not null").count() == 0 and none.count() == len(skus)
