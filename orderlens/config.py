@@ -1,13 +1,15 @@
-"""Thresholds, domain values and adapter parameters.
+"""Thresholds and domain values.
 
 Everything a business user might tune is a field of :class:`Params`; the
-library never hard-codes a reason string, carrier name or product code.
+library never hard-codes a reason string, carrier name or product code. The
+fields' defaults are for real exports; ``ADAPTER`` has the values of the test
+data, whose tables are derived (see ``sources.adapter``).
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # --- fixed values (must equal the reference for identical results) --------
 # Order statuses that count as a completed sale.
@@ -62,45 +64,57 @@ EFFECT_SIZE_LABELS = (("negligible", 0.1), ("small", 0.3), ("medium_or_large", N
 
 # Mann-Whitney / z-test decision level.
 ALPHA = 0.05
+
+# Orders with at least this many lines are operational; columns of the export
+# without a single value; failure reasons, cash on delivery and the carrier
+# spelling as the export has them; the holidays of its time range.
+BULK_THRESHOLD = 20
+EMPTY_COLUMNS = ("wareHouse", "walletCredit", "refundAmount")
+REASON_SLOW = "Thời gian giao hàng quá lâu"
+REASON_DUPLICATE = "Trùng đơn hàng"
+REASON_UNPAID = "Không hoàn thành thanh toán đúng thời gian"
+COD_VALUE = "COD"
+CARRIER_CANONICAL = (("vinacapital", "Vinacapital"),)
+HOLIDAYS = (dt.date(2021, 2, 12), dt.date(2022, 2, 1))
 # ---------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class Params:
-    """Analysis parameters. Defaults are the values used on the test adapter."""
+    """Analysis parameters; the defaults are those of real exports."""
 
     # orders with at least this many lines are internal/operational, not demand
-    bulk_threshold: int = 6
+    bulk_threshold: int = BULK_THRESHOLD
     # minimum lines per group for the campaign-vs-normal comparison
     min_sample: int = 20
     # minimum products in a cohort for the retention table
     min_cohort_size: int = 5
     # first month indices shown in the retention table
     retention_months: int = 12
-    # product used for the single-product margin comparison
-    hero_product: str = "Brand#10"
-    # shop analysed by the seasonality notebook
-    seasonality_shop: str = "shop_a"
+    # product of the single-product margin comparison (None: no product)
+    hero_product: str | None = None
+    # shop of the seasonality analyses (None: all shops)
+    seasonality_shop: str | None = None
     # failure reasons used by individual analyses
-    reason_slow: str = "too_slow"
-    reason_duplicate: str = "duplicate"
-    reason_unpaid: str = "unpaid"
+    reason_slow: str = REASON_SLOW
+    reason_duplicate: str = REASON_DUPLICATE
+    reason_unpaid: str = REASON_UNPAID
     # product key of the cohort and RFM analyses
-    product_key: str = "part_id"
+    product_key: str = "product_code"
     # the pay method value meaning cash on delivery
-    cod_value: str = "COD"
+    cod_value: str = COD_VALUE
     # carrier spelling fixes: lower(trim(value)) -> canonical
-    carrier_canonical: tuple = (("falcon", "Falcon"),)
+    carrier_canonical: tuple = CARRIER_CANONICAL
     # holidays and windows for the seasonality analysis
-    holidays: tuple = (dt.date(1999, 2, 16), dt.date(2000, 2, 5))
+    holidays: tuple = HOLIDAYS
     pre_holiday_days: int = 14
     holiday_window_before: int = 30
     holiday_window_after: int = 10
     campaign_offset_span: int = 7
     # the empty columns dropped by the cleaning step
-    empty_columns: tuple = ("warehouse",)
-    # personal columns present in the adapter's raw form
-    pii_columns: tuple = field(default=PII_COLUMNS + ("customer_name", "customer_segment"))
+    empty_columns: tuple = EMPTY_COLUMNS
+    # personal columns, dropped right after the scan
+    pii_columns: tuple = PII_COLUMNS
     # lookup tables (codes, costs, parts) are broadcast up to this many bytes,
     # measured; each executor holds one copy. Larger ones are shuffle-joined
     max_broadcast_bytes: int = 64 << 20
@@ -118,3 +132,11 @@ class Params:
 
 
 DEFAULT = Params()
+
+#: The values of the test data.
+ADAPTER = Params(
+    bulk_threshold=6, hero_product="Brand#10", seasonality_shop="shop_a", reason_slow="too_slow", reason_duplicate="duplicate",
+    reason_unpaid="unpaid", product_key="part_id", carrier_canonical=(("falcon", "Falcon"),),
+    holidays=(dt.date(1999, 2, 16), dt.date(2000, 2, 5)), empty_columns=("warehouse",),
+    pii_columns=(*PII_COLUMNS, "customer_name", "customer_segment"),
+)

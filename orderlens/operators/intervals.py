@@ -49,3 +49,17 @@ def interval_join(points: DataFrame, date: str, windows: DataFrame, low: str, hi
     inside = interval_join(points.select(F.col(date).alias("_ij_date")).distinct(), "_ij_date", windows.select(low, high), low, high)
     inside = inside.select(F.col("_ij_date").alias(date)).distinct()
     return points.join(inside, date, how)
+
+
+def with_inside(points: DataFrame, date: str, windows: DataFrame, low: str, high: str, flag: str) -> DataFrame:
+    """Distinct rows of ``points`` with a flag: does some window hold their date?
+    The points are read once."""
+    keyed = windows.where(F.col(low) <= F.col(high)).withColumn("_ij_level", _level(F.col(low), F.col(high)))
+    levels = [r["_ij_level"] for r in keyed.select("_ij_level").distinct().collect()]
+    ends = F.array_distinct(F.array(*[_bucket(_days(F.col(c)), F.col("_ij_level")) for c in (low, high)]))
+    keyed = keyed.select("_ij_level", F.explode(ends).alias("_ij_bucket"), F.col(low).alias("_ij_low"), F.col(high).alias("_ij_high"))
+    level = F.explode_outer(F.array(*[F.lit(k) for k in levels]).cast("array<int>")).alias("_ij_level")
+    spread = points.select("*", level).withColumn("_ij_bucket", _bucket(_days(F.col(date)), F.col("_ij_level")))
+    near = (spread["_ij_level"] == keyed["_ij_level"]) & (spread["_ij_bucket"] == keyed["_ij_bucket"])
+    met = spread.join(keyed, near & spread[date].between(keyed["_ij_low"], keyed["_ij_high"]), "left")
+    return met.groupBy(*[spread[c] for c in points.columns]).agg(F.bool_or(keyed["_ij_low"].isNotNull()).alias(flag))

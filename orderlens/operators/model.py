@@ -17,7 +17,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.config import DEFAULT, Params
+from orderlens.config import ADAPTER, DEFAULT, Params
 from orderlens.functions.calendar import weekday0, year_month
 from orderlens.functions.sku import campaign_flag, has_gift, promo_label
 from orderlens.operators.clean import (
@@ -186,9 +186,9 @@ def dim_shipping_provider(fact: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Lazily built model tables of one data folder."""
+    """Lazily built model tables of one folder of test data (``ExportModel``: of exports)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, params: Params = DEFAULT):
+    def __init__(self, spark: SparkSession, sf_dir: str, params: Params = ADAPTER):
         self.spark, self.sf_dir, self.params = spark, sf_dir, params
         check_session(spark)
 

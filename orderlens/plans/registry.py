@@ -1,7 +1,9 @@
 """Query registry: key -> callable(spark, sf_dir) -> DataFrame.
 
 Every callable builds a fresh lazy :class:`Model` for the folder (nothing is
-cached between calls) and returns the query's DataFrame without running it.
+cached between calls) and returns the query's DataFrame. Building it may run
+small planning jobs (sizes, code lengths), the checkpoints of global sorts and, in
+queries about written tables, the writes.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.config import DEFAULT, Params
+from orderlens.config import ADAPTER, Params
 from orderlens.operators.model import Model
 from orderlens.plans import (
     campaign, cohort, dashboard, incomplete, ingest, model_tables, payment, rfm, seasonality, sku_report,
@@ -36,7 +38,7 @@ def _collect_keys() -> None:
 _collect_keys()
 
 
-def queries(params: Params = DEFAULT) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries(params: Params = ADAPTER) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
         return lambda spark, sf_dir: fn(Model(spark, sf_dir, params))
 

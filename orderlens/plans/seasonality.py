@@ -13,16 +13,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.calendar import weekday0, year_month
-from orderlens.operators.intervals import interval_join
+from orderlens.operators.intervals import interval_join, with_inside
 from orderlens.operators.model import ORDER_KEY, Model, date_spine
 
 
+def _of_shop(m: Model, rows: DataFrame) -> DataFrame:
+    shop = m.params.seasonality_shop
+    return rows if shop is None else rows.where(F.col("shop") == shop)
+
+
 def _shop_orders(m: Model) -> DataFrame:
-    return m.orders.where(F.col("shop") == m.params.seasonality_shop)
+    return _of_shop(m, m.orders)
 
 
 def _shop_fact(m: Model) -> DataFrame:
-    return m.fact_customer.where(F.col("shop") == m.params.seasonality_shop)
+    return _of_shop(m, m.fact_customer)
 
 
 def _is_double(date: Column) -> Column:
@@ -106,7 +111,7 @@ def campaign_rate_on_double_dates(m: Model) -> DataFrame:
     """
     p = m.params
     order = Window.partitionBy(*ORDER_KEY)
-    lines = m.fact.where(F.col("shop") == p.seasonality_shop)
+    lines = _of_shop(m, m.fact)
     parts = lines.groupBy(*ORDER_KEY, "order_date").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("campaign_flag").isNotNull()).alias("flagged"))
     parts = parts.select(
@@ -155,10 +160,8 @@ def pre_holiday_summary(m: Model) -> DataFrame:
     (neither campaign day nor pre-holiday day); per day = orders / days with orders."""
     p = m.params
     windows = _holidays(m).select(F.date_sub("holiday", p.pre_holiday_days).alias("low"), F.date_sub("holiday", 1).alias("high"))
-    daily = _daily(m)
-    inside = interval_join(daily.select("date"), "date", windows, "low", "high", "left_semi").distinct().withColumn("_pre", F.lit(True))
-    days = daily.join(inside, "date", "left")
-    pre = F.coalesce(F.col("_pre"), F.lit(False))
+    days = with_inside(_daily(m), "date", windows, "low", "high", "_pre")
+    pre = F.col("_pre")
     base = ~pre & ~_is_double(F.col("date"))
     has_date = F.col("date").isNotNull()
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.operators.intervals import interval_join
+from orderlens.operators.intervals import interval_join, with_inside
 from orderlens.plans.campaign import mann_whitney
 
 
@@ -28,6 +28,9 @@ def test_interval_join_equals_all_pairs(spark):
     inside = {p for p, _ in want}
     assert {x.p for x in interval_join(frame, "date", windows, "low", "high", "left_semi").collect()} == inside
     assert {x.p for x in interval_join(frame, "date", windows, "low", "high", "left_anti").collect()} == {p for p, _ in points} - inside | {999}
+    flags = {x.p: x.inside for x in with_inside(frame, "date", windows, "low", "high", "inside").collect()}
+    assert flags == {p: p in inside for p, _ in points} | {999: False}
+    assert with_inside(frame, "date", windows.limit(0), "low", "high", "inside").where("not inside").count() == 201
     assert interval_join(frame, "date", windows.limit(0), "low", "high").count() == 0
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import tempfile
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def test_cost_csv_with_bom_and_quoted_commas(spark):
 
 
 def test_model_reads_cost_csv(spark):
-    from orderlens.config import Params
+    from orderlens.config import ADAPTER
     from orderlens.operators.model import Model
 
     from conftest import SF_SMALL
@@ -28,7 +29,7 @@ def test_model_reads_cost_csv(spark):
     path = tempfile.mkdtemp(prefix="orderlens-csv-") + "/cost.csv"
     with open(path, "w", encoding="utf-8") as f:
         f.write("product_code,cost\nBrand#10,1000\n")
-    m = Model(spark, SF_SMALL, Params(cost_csv=path))
+    m = Model(spark, SF_SMALL, replace(ADAPTER, cost_csv=path))
     got = {r.product_code: r.cost for r in m.dim_product.collect()}
     assert got["Brand#10"] == 1000 and got["Brand#11"] is None
 
@@ -60,7 +61,7 @@ def test_materialize_model_roundtrip(spark):
 
 def test_queries_on_materialised_model_match(spark):
     """Analyses read the written model tables and give the same results."""
-    from orderlens.config import Params
+    from orderlens.config import ADAPTER
     from orderlens.operators.model import Model, materialize_model
     from orderlens.plans import registry
 
@@ -68,7 +69,7 @@ def test_queries_on_materialised_model_match(spark):
 
     base = tempfile.mkdtemp(prefix="orderlens-model-q-")
     materialize_model(Model(spark, SF_SMALL), base)
-    stored = Params(model_dir=base)
+    stored = replace(ADAPTER, model_dir=base)
     keys = ["incomplete_by_month", "incomplete_by_reason", "campaign_margin_pooled", "cod_vs_prepaid",
             "rfm_segment_summary", "cohort_retention", "pareto_revenue", "model_row_counts", "dim_order_customer"]
     for k in keys:
@@ -79,7 +80,7 @@ def test_queries_on_materialised_model_match(spark):
 
 
 def test_written_model_is_read_once_and_has_its_own_costs(spark):
-    from orderlens.config import Params
+    from orderlens.config import ADAPTER
     from orderlens.operators.model import Model, materialize_model
     from orderlens.plans import registry
 
@@ -89,8 +90,8 @@ def test_written_model_is_read_once_and_has_its_own_costs(spark):
     cost = tempfile.mkdtemp(prefix="orderlens-cost-") + "/cost.csv"
     with open(cost, "w") as f:
         f.write("product_code,cost\nBrand#10,123\n")
-    materialize_model(Model(spark, SF_SMALL, Params(cost_csv=cost)), base)
-    m = Model(spark, "/nowhere", Params(model_dir=base))  # no source tables at all
+    materialize_model(Model(spark, SF_SMALL, replace(ADAPTER, cost_csv=cost)), base)
+    m = Model(spark, "/nowhere", replace(ADAPTER, model_dir=base))  # no source tables at all
     assert {(r.product_code, r.cost) for r in registry.QUERY_KEYS["item_margin"](m).select("product_code", "cost").distinct().collect()} == {("Brand#10", 123)}
     for k in ("incomplete_by_reason", "unpaid_by_pay_method", "campaign_rate_on_double_dates", "campaign_margin_pooled",
               "campaign_rate_baseline", "status_mix_by_month", "cancel_rate_by_product"):
@@ -103,7 +104,7 @@ def test_written_model_is_read_once_and_has_its_own_costs(spark):
 
 def test_model_of_exports(spark):
     """The raw lines as two shops' CSV exports with the export's own headers."""
-    from orderlens.config import EXPORT_COLUMNS
+    from orderlens.config import ADAPTER, EXPORT_COLUMNS
     from orderlens.operators.model import ExportModel, Model, observed_stages
     from orderlens.plans import registry
     from orderlens.sources.io import CSV_OPTIONS
@@ -118,7 +119,7 @@ def test_model_of_exports(spark):
         raw = own.raw.where(F.col("shop") == shop).withColumn("customerName", F.lit("someone"))
         raw = raw.select("customerName", *[F.col(name).alias(c) for c, name in EXPORT_COLUMNS.items()])
         raw.write.options(**CSV_OPTIONS, emptyValue='""').csv(exports[shop])
-    m = ExportModel(spark, exports, own.codes, own.cost)
+    m = ExportModel(spark, exports, own.codes, own.cost, ADAPTER)
     assert m.params.product_key == "product_code" and "customerName" not in m.raw.columns
 
     def rows(df):
@@ -137,7 +138,7 @@ def test_model_of_exports(spark):
     renamed = spark.read.option("header", True).csv(exports["shop_a"]).withColumnRenamed("unitPrice", "price")
     renamed.write.option("header", True).csv(f"{base}/renamed")
     with pytest.raises(ValueError, match="unitPrice"):
-        ExportModel(spark, {"shop_a": f"{base}/renamed"}, own.codes, own.cost).raw
+        ExportModel(spark, {"shop_a": f"{base}/renamed"}, own.codes, own.cost, ADAPTER).raw
 
 
 def test_session_settings_are_checked(spark):
@@ -162,7 +163,7 @@ def test_broadcast_bound_is_in_bytes(spark):
 
 
 def test_bucketed_model_joins_without_shuffle(spark):
-    from orderlens.config import Params
+    from orderlens.config import ADAPTER
     from orderlens.operators.model import Model, materialize_model
     from orderlens.plans import registry
 
@@ -170,7 +171,7 @@ def test_bucketed_model_joins_without_shuffle(spark):
 
     base = tempfile.mkdtemp(prefix="orderlens-bucketed-")
     materialize_model(Model(spark, SF_SMALL), base, buckets=4, database="orderlens_test")
-    p = Params(model_dir=base, model_tables="orderlens_test")
+    p = replace(ADAPTER, model_dir=base, model_tables="orderlens_test")
     # as at scale, where the order table is far too big to broadcast
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -124,7 +124,7 @@ def test_two_reasons_count_under_both(spark):
     lines = _lines(spark, [(1, "a", "canceled", "r1"), (1, "a", "canceled", "r2")])
     fact = lines.withColumn("product_code", F.lit("P")).withColumn("campaign_flag", F.lit(None).cast("string")) \
         .withColumn("carrier", F.lit("K")).withColumn("order_date", F.to_date("created_at"))
-    m = Model(spark, "unused", Params())
+    m = Model(spark, "unused")
     m.__dict__["cleaned"] = lines
     m.__dict__["fact"] = fact
     got = {r.fail_reason: (r.n_orders, r.lost_revenue) for r in incomplete.incomplete_by_reason(m).collect()}

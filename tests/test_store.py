@@ -2,11 +2,12 @@
 
 import datetime as dt
 import tempfile
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.config import Params
+from orderlens.config import ADAPTER
 from orderlens.operators import store as st
 from orderlens.operators.model import DIM_ORDER_COLUMNS, FACT_COLUMNS, MODEL_TABLES, Model
 from orderlens.plans import registry
@@ -51,7 +52,7 @@ def whole(spark, model, lines):
 
 
 def new(spark):
-    return st.ModelStore(spark, tempfile.mkdtemp(prefix="orderlens-store-"))
+    return st.ModelStore(spark, tempfile.mkdtemp(prefix="orderlens-store-"), ADAPTER)
 
 
 CUT = dt.datetime(1996, 6, 1)
@@ -116,7 +117,7 @@ def test_failed_write_leaves_the_old_model(spark, model, lines, whole):
             write()
         assert out.version() == 1 and {name: rows(out.table(name), name) for name in MODEL_TABLES} == old
     # a job may read the model that it replaces, and goes on from there
-    reader = Model(spark, "/nowhere", Params(model_dir=out.base))
+    reader = Model(spark, "/nowhere", replace(ADAPTER, model_dir=out.base))
     frame = reader.dim_order
     out.build(lines, model.cost)
     assert rows(frame, "dim_order") == old["dim_order"]
@@ -130,7 +131,7 @@ def test_second_writer_is_refused(spark, model, lines, monkeypatch):
     out = new(spark)
     few = lines.where("line_number = 1")
     out.build(few, model.cost)
-    other = st.ModelStore(spark, out.base)
+    other = st.ModelStore(spark, out.base, ADAPTER)
     commit = out._commit
     monkeypatch.setattr(out, "_commit", lambda *a: other.refresh(few, model.cost) and commit(*a))
     with pytest.raises(st.ConcurrentRefresh):
