@@ -73,16 +73,40 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
+    for scope in _SCOPES:
+        scope.append(path)
     return out
 
 
 _WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
+_SCOPES: list[list[str]] = []
+
+
 def drop_table(table: DataFrame) -> None:
     """Delete what ``write_table`` wrote, when no later step reads it."""
-    path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(table))
-    path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(table.sparkSession, _WRITTEN.pop(table))
+
+
+def _delete(spark, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def last_table_only(spark, write) -> DataFrame:
+    """Call ``write``, which writes tables and returns the last of them, and
+    delete the others: the last one's rows need no other table any more."""
+    _SCOPES.append([])
+    try:
+        last = write()
+    finally:
+        written = _SCOPES.pop()
+    for folder in written:
+        if folder != _WRITTEN.get(last):
+            _delete(spark, folder)
+    release_shuffles(spark)
+    return last
 
 
 def release_shuffles(spark) -> None:

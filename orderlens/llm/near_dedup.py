@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import U64, documents, mix, prefix_hash, runs, sliced, span_hash, text_buffer, word_segments, write_table, whole_rows
+from orderlens.llm.common import U64, documents, last_table_only, mix, prefix_hash, runs, sliced, span_hash, text_buffer, word_segments, write_table, whole_rows
 from orderlens.llm.components import connected
 from orderlens.llm.decontaminate import IN_WORD, bitmap, gram_hashes
 
@@ -290,6 +290,15 @@ def _set_rows(rows: list[tuple]) -> pa.RecordBatch:
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, row_col: str | None = None) -> DataFrame:
     """Per document: ``_row`` (from ``row_col`` if given), doc_id, ``class_id`` (the smallest id of its
     class), ``class_row`` (that document's row)."""
+    rows = last_table_only(df.sparkSession, lambda: _class_rows(df, id_col, text_col, threshold, row_col))
+    key = ["component", "wordless", "alone"]
+    heads = rows.groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("head"))
+    same = [rows[k].eqNullSafe(heads[k]) for k in key]
+    return rows.join(heads, same[0] & same[1] & same[2]).select("_row", rows["doc_id"], F.col("head.doc_id").alias("class_id"), F.col("head._row").alias("class_row"))
+
+
+def _class_rows(df: DataFrame, id_col: str, text_col: str, threshold: float, row_col: str | None) -> DataFrame:
+    """Every document with its class."""
     docs = _hashed(df, id_col, text_col, row_col)
     signed = write_table(docs.mapInArrow(_sign, SIGNED), "signatures")
     first = F.min(F.struct("text_hash", "bands", "sketch", "bins", "heavy")).alias("m")  # equal for all copies but for text_hash
@@ -319,11 +328,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     class_of = texts.join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     rows = signed.join(class_of, ["h1", "h2"]).select("_row", "doc_id", "component", F.when(F.size("bands") == 0, F.col("h2")).alias("wordless"), F.when(F.size("bands") == 0, F.col("h1")).alias("alone"))
-    key = ["component", "wordless", "alone"]
-    rows = write_table(rows, "classes")
-    heads = rows.groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("head"))
-    same = [rows[k].eqNullSafe(heads[k]) for k in key]
-    return rows.join(heads, same[0] & same[1] & same[2]).select("_row", rows["doc_id"], F.col("head.doc_id").alias("class_id"), F.col("head._row").alias("class_row"))
+    return write_table(rows, "classes")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
