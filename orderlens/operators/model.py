@@ -185,6 +185,19 @@ def dim_shipping_provider(fact: DataFrame) -> DataFrame:
     return fact.where(F.col("carrier").isNotNull()).select("carrier", "carrier_type").distinct()
 
 
+def line_sales(lines: DataFrame) -> DataFrame:
+    """Sums of customer lines by month, product and status, which add up over
+    months: what the dashboard asks of lines."""
+    return lines.groupBy(year_month(F.col("order_date")).alias("year_month"), "product_code", "status", "is_completed").agg(
+        F.count(F.lit(1)).alias("n_lines"), *[F.sum(c).alias(c) for c in _SUMMED])
+
+
+def order_sales(orders: DataFrame) -> DataFrame:
+    """Sums of customer orders by month, pay method and completion."""
+    return orders.groupBy(year_month(F.col("order_date")).alias("year_month"), "pay_method", "is_completed").agg(
+        F.count(F.lit(1)).alias("n_orders"), *[F.sum(f"total_{c}").alias(c) for c in _SUMMED])
+
+
 class Model:
     """Lazily built model tables of one folder of test data (``ExportModel``: of exports)."""
 
@@ -276,6 +289,16 @@ class Model:
         # the written orders know the bulk ones: no second pass over the lines
         return without_orders(self.fact, self.dim_order.where("is_bulk"))
 
+    @cached_property
+    def line_sales(self) -> DataFrame:
+        stored = self._stored("line_sales")
+        return line_sales(self.fact_customer) if stored is None else stored
+
+    @cached_property
+    def order_sales(self) -> DataFrame:
+        stored = self._stored("order_sales")
+        return order_sales(self.orders) if stored is None else stored
+
     @cached_property
     def dim_product(self) -> DataFrame:
         stored = self._stored("dim_product")

@@ -6,13 +6,14 @@ that make up each table; readers take the newest commit. So they see the old
 model or the new one and never half of it, a job that fails leaves the old one in
 place, and a job may read the model that it replaces.
 
-The fact, the order dimension and the line groups are partitioned by month, and
+The large tables are partitioned by month, and
 a commit lists their folders month by month with the number of rows and the range
 of order numbers. ``refresh`` merges new lines into the model: it finds the
 orders that they belong to in the months whose range of order numbers they meet,
 writes the months that change, and names the other months' folders again without
 reading them. The small dimensions come from the line groups (product, carrier,
-carrier type and month, with the first and last day), not from the lines.
+carrier type and month, with the first and last day), not from the lines. The
+dashboard's sums of lines and orders are kept by month in the same way.
 
     base/<table>/version=<v>/order_month=<yyyy-MM>/...   months
     base/<table>/version=<v>/...                         small dimensions
@@ -40,7 +41,7 @@ from orderlens.session import scratch_path
 MONTH = "order_month"
 UNDATED = "undated"
 #: Tables partitioned by month, and the column whose range a commit keeps.
-MONTHLY = {"fact_order_item": "order_number", "dim_order": "order_number", "line_groups": None}
+MONTHLY = {"fact_order_item": "order_number", "dim_order": "order_number", "line_groups": None, "line_sales": None, "order_sales": None}
 SMALL = ("dim_product", "dim_date", "dim_shipping_provider")
 #: A month of so many appended folders is written anew as one.
 MAX_FOLDERS = 8
@@ -188,6 +189,7 @@ class ModelStore:
             fact = self._written("fact_order_item", lines, version)
             tables = {"fact_order_item": fact, "dim_order": self._written("dim_order", self._orders(self._read("fact_order_item", fact)), version)}
             tables["line_groups"] = self._written("line_groups", _line_groups(self._read("fact_order_item", fact)), version)
+            tables |= self._sales(tables, {}, None, None, version)
         groups = self._read("line_groups", tables["line_groups"])
         days = groups.agg(F.min("first_day").alias("lo"), F.max("last_day").alias("hi"))
         small = {
@@ -262,7 +264,22 @@ class ModelStore:
         written = {"schema": tables["fact_order_item"]["schema"], "parts": [p for p in tables["fact_order_item"]["parts"] if p.version == version]}
         groups = self._written("line_groups", _line_groups(self._read("fact_order_item", written)), version)
         groups["parts"] += [p for p in before["line_groups"]["parts"] if p.month not in touched]
-        return tables | {"line_groups": groups}
+        # an order may have become a bulk order, or be none any more: the months of all its lines change
+        sales = self._sales(tables, before, fact_months | new_months, dim_months | months(orders.select(MONTH)), version)
+        return tables | {"line_groups": groups} | sales
+
+    def _sales(self, tables: dict, before: dict, line_months: set[str] | None, order_months: set[str] | None, version: str) -> dict:
+        """The dashboard's sums, of some months or all; the others' folders stay."""
+        orders = self._read("dim_order", tables["dim_order"])
+        lines = md.without_orders(self._read("fact_order_item", tables["fact_order_item"], line_months), orders.where("is_bulk"))
+        own = md.dim_order_customer(self._read("dim_order", tables["dim_order"], order_months))
+        month = F.coalesce("year_month", F.lit(UNDATED)).alias(MONTH)
+        out = {}
+        for name, df, touched in (("line_sales", md.line_sales(lines), line_months), ("order_sales", md.order_sales(own), order_months)):
+            out[name] = self._written(name, df.select("*", month), version)
+            if touched is not None:
+                out[name]["parts"] += [p for p in before[name]["parts"] if p.month not in touched]
+        return out
 
     def _rewritten(self, name: str, before: dict, rows: DataFrame, touched: set[str], gone: DataFrame | None, version: str) -> dict:
         """New rows, with what the ``touched`` months keep of their older ones

@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.config import CANCELED_STATUS, RETURNED_STATUSES
-from orderlens.functions.calendar import year_month
 from orderlens.operators.model import Model
 from orderlens.operators.ranking import global_rank, global_running_sum
-from orderlens.plans.campaign import _item_margin
 
 
 
@@ -17,6 +15,13 @@ def _seller_net():
     return F.col("unit_price") - F.col("seller_discount")
 
 
+def _costed(m: Model) -> DataFrame:
+    """Completed lines' sums of products with a known cost, with their margin."""
+    cost, _ = m.cost_lookup
+    sums = m.line_sales.where(F.col("is_completed")).join(cost, "product_code")
+    return sums.withColumn("margin", _seller_net() - F.col("n_lines") * F.col("cost"))
+
+
 def biz_monthly(m: Model) -> DataFrame:
     """DB1: per month, completed orders' revenue (net of seller discount), AOV
     (paid incl. shipping), gross margin over lines with a known cost and the
@@ -25,13 +30,12 @@ def biz_monthly(m: Model) -> DataFrame:
     Two grains, as the page shows them: revenue and AOV are of orders whose
     lines are all completed, margin and ``costed_revenue`` (the base of the
     rate) of completed lines of any order."""
-    done = F.col("is_completed")
-    orders = m.orders.where(done).groupBy(year_month(F.col("order_date")).alias("year_month")).agg(
-        F.count(F.lit(1)).alias("n_orders"),
-        F.sum(F.col("total_unit_price") - F.col("total_seller_discount")).alias("revenue"),
-        F.avg("total_paid_price").alias("aov"),
+    orders = m.order_sales.where(F.col("is_completed")).groupBy("year_month").agg(
+        F.sum("n_orders").alias("n_orders"),
+        F.sum(_seller_net()).alias("revenue"),
+        (F.sum("paid_price") / F.sum("n_orders")).alias("aov"),
     )
-    margin = _item_margin(m).where(done).groupBy(year_month(F.col("order_date")).alias("year_month")).agg(
+    margin = _costed(m).groupBy("year_month").agg(
         F.sum("margin").alias("gross_margin"),
         F.sum(_seller_net()).alias("costed_revenue"),
     )
@@ -46,7 +50,7 @@ def _step(order: int, name: str, amount):
 def revenue_bridge(m: Model) -> DataFrame:
     """DB2: completed lines: list value -> seller discount -> platform discount
     -> shipping -> paid, as signed steps in one aggregate."""
-    one = m.fact_customer.where(F.col("is_completed")).agg(
+    one = m.line_sales.where(F.col("is_completed")).agg(
         F.sum("unit_price").alias("a1"), F.sum("seller_discount").alias("a2"),
         F.sum("platform_discount").alias("a3"), F.sum("shipping_fee").alias("a4"),
         F.sum("paid_price").alias("a5"),
@@ -66,7 +70,7 @@ def pareto_revenue(m: Model) -> DataFrame:
     rank, share and cumulative share; ties by product code. The running sum and
     the total come from one distributed pass (``ranking``)."""
     rev = (
-        m.fact_customer.where(F.col("is_completed"))
+        m.line_sales.where(F.col("is_completed"))
         .groupBy("product_code").agg(F.sum(_seller_net()).alias("revenue"))
     )
     run = global_running_sum(rev, [F.desc("revenue"), F.asc_nulls_first("product_code")],
@@ -80,7 +84,7 @@ def pareto_revenue(m: Model) -> DataFrame:
 
 def rank_revenue_vs_profit(m: Model) -> DataFrame:
     """DB4: rank by revenue and rank by gross margin, completed costed lines."""
-    per = _item_margin(m).where(F.col("is_completed")).groupBy("product_code").agg(
+    per = _costed(m).groupBy("product_code").agg(
         F.sum(_seller_net()).alias("revenue"), F.sum("margin").alias("profit"))
     r = global_rank(per, [F.desc("revenue"), F.asc_nulls_first("product_code")], "rank_revenue")
     return global_rank(r, [F.desc("profit"), F.asc_nulls_first("product_code")], "rank_profit")
@@ -88,9 +92,10 @@ def rank_revenue_vs_profit(m: Model) -> DataFrame:
 
 def cancel_rate_by_product(m: Model) -> DataFrame:
     """DB5."""
-    return m.fact_customer.groupBy("product_code").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        (F.lit(100.0) * (F.lit(1) - F.avg(F.col("is_completed").cast("int")))).alias("cancel_pct"),
+    done = F.sum(F.when(F.col("is_completed"), F.col("n_lines")).otherwise(0))
+    return m.line_sales.groupBy("product_code").agg(
+        F.sum("n_lines").alias("n_lines"),
+        (F.lit(100.0) * (F.lit(1) - done / F.sum("n_lines"))).alias("cancel_pct"),
     )
 
 
@@ -104,16 +109,15 @@ def status_mix_by_month(m: Model) -> DataFrame:
         .when(st.isin(*RETURNED_STATUSES), "returned")
         .otherwise("other")
     )
-    agg = m.fact_customer.groupBy(
-        year_month(F.col("order_date")).alias("year_month"), group.alias("status_group")
-    ).agg(F.count(F.lit(1)).alias("n_lines"))
+    agg = m.line_sales.groupBy("year_month", group.alias("status_group")).agg(F.sum("n_lines").alias("n_lines"))
     return agg.withColumn(
         "pct", F.lit(100.0) * F.col("n_lines") / F.sum("n_lines").over(Window.partitionBy("year_month")))
 
 
 def cancel_rate_by_pay_method(m: Model) -> DataFrame:
     """DB8: order-level cancel rate per pay method (null is a group)."""
-    return m.orders.groupBy("pay_method").agg(
-        F.count(F.lit(1)).alias("n_orders"),
-        (F.lit(100.0) * (F.lit(1) - F.avg(F.col("is_completed").cast("int")))).alias("cancel_pct"),
+    done = F.sum(F.when(F.col("is_completed"), F.col("n_orders")).otherwise(0))
+    return m.order_sales.groupBy("pay_method").agg(
+        F.sum("n_orders").alias("n_orders"),
+        (F.lit(100.0) * (F.lit(1) - done / F.sum("n_orders"))).alias("cancel_pct"),
     )

@@ -22,7 +22,7 @@ def rows(df, name=""):
 
 
 def same(a, b):
-    for name in MODEL_TABLES:
+    for name in (*MODEL_TABLES, "line_sales", "order_sales"):
         assert rows(a.table(name), name) == rows(b.table(name), name), name
 
 
@@ -159,3 +159,15 @@ def test_empty_model(spark, model, lines):
     assert all(out.table(n).count() == 0 for n in MODEL_TABLES)
     out.refresh(lines.where("line_number = 1"), model.cost)
     assert out.table("fact_order_item").count() == lines.where("line_number = 1").count()
+
+
+def test_dashboard_from_stored_sums(spark, model):
+    """The dashboard's keys over a written model read its sums, not its lines, and give the same."""
+    out = new(spark)
+    out.build(model.parsed, model.cost)
+    stored = Model(spark, "/nowhere", replace(ADAPTER, model_dir=out.base))
+    for key in ("biz_monthly", "revenue_bridge", "pareto_revenue", "rank_revenue_vs_profit", "cancel_rate_by_product", "status_mix_by_month", "cancel_rate_by_pay_method"):
+        got = registry.QUERY_KEYS[key](stored)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "fact_order_item" not in plan and f"{out.base}/dim_order/" not in plan, key
+        assert rows(got) == rows(registry.QUERY_KEYS[key](model)), key
