@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from orderlens.sources.adapter import RAW_COLUMNS, raw_order_sources
@@ -65,6 +66,26 @@ def test_code_index_is_built_once_and_only_if_read(spark):
     assert "subquery#" not in _plan(QUERIES["delivery_days_by_carrier"](spark, SF_SMALL))
 
 
+def test_filters_on_the_code_look_it_up_once_each(spark):
+    """A join or filter on the code is moved below the lookup, and so writes the
+    lookup out again: its steps must not be written into each other on the way."""
+    from orderlens.operators.prefix_match import with_product_code
+
+    codes = spark.createDataFrame([(f"A{'B' * (i % 5)}{i}", i) for i in range(40)], "code string, ordinal int")
+    skus = spark.range(0, 400).select(F.concat(F.lit("abbb"), F.col("id").cast("string")).alias("seller_sku"))
+    cost = codes.select(F.col("code").alias("product_code"), "ordinal")
+    coded = lambda how: with_product_code(skus, codes, strategy=how).join(cost, "product_code").where(F.length("product_code") > 2)
+    out = coded("broadcast")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("transform(array(struct(keys") <= 4, plan[:2000]  # two conditions, the column
+    # no row holds the index
+    assert " AS _pm_one#" not in plan, plan[:2000]
+    for name in ("fact_order_item", "sku_coverage", "item_margin", "sku_unmatched", "fact_from_exports"):
+        plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "transform(array(struct(keys" in plan and " AS _pm_one#" not in plan, name
+    assert sorted(out.collect()) == sorted(coded("distinct").collect()) != []
+
+
 def test_checkpoint_calls_ensure_a_folder():
     # every module that checkpoints makes sure a checkpoint folder exists first
     import pathlib
