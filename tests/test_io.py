@@ -234,3 +234,22 @@ def test_line_breaks_in_fields_and_splits(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     empty = write_files(f"{base}/d", HEADER + "\n")
     assert [read_csv_checked(spark, empty, "d")[k].count() for k in (0, 1)] == [0, 0]
+
+
+def test_lines_of_an_export_are_parsed_once_a_table(spark, tmp_path):
+    """Neither the header's check nor the cleaning of a line's ends is written out
+    for every column of the export."""
+    from orderlens.sources.exports import _lines, read_csv_checked
+
+    names = [f"c{i}" for i in range(12)]
+    good, head = ",".join("x" * 12), ",".join(names)
+    lines = [head, good, head, head + ",more", good + ",y", '"' + good, good.replace("x", "c0"), good[:-2], "\ufeff" + good, "", '"c0",' + head[3:]]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    found = read_csv_checked(spark, str(tmp_path), "s", "reject")
+    assert sorted(r.c0 for r in found.rows.collect()) == ["c0", "x", "x"]
+    assert sorted((r.reason, r.record) for r in found.rejects.collect()) == [
+        ("number of fields", good[:-2]), ("number of fields", good + ",y"), ("open quote", '"' + good)]
+    plan = found.rows.select("c0")._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("from_csv(") <= 3, plan
+    plan = _lines(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == plan.count("THEN regexp_replace(") > 0, plan
