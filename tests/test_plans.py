@@ -86,6 +86,19 @@ def test_filters_on_the_code_look_it_up_once_each(spark):
     assert sorted(out.collect()) == sorted(coded("distinct").collect()) != []
 
 
+def test_replaced_orders_are_chosen_before_their_lines_are_parsed(spark, monkeypatch):
+    from orderlens.operators.model import fact_order_item
+    from orderlens.operators.store import ModelStore
+
+    seen = []
+    monkeypatch.setattr(ModelStore, "build", lambda self, parsed, cost: 1)
+    monkeypatch.setattr(ModelStore, "refresh", lambda self, parsed, cost, mode: seen.append(parsed))
+    monkeypatch.setattr(ModelStore, "table", lambda self, name: fact_order_item(seen[0]))
+    QUERIES["replaced_fact"](spark, SF_SMALL)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("transform(array(struct(keys") < plan.index("Join LeftSemi"), plan[:3000]
+
+
 def test_checkpoint_calls_ensure_a_folder():
     # every module that checkpoints makes sure a checkpoint folder exists first
     import pathlib
