@@ -251,3 +251,13 @@ def test_prefix_index_equals_all_pairs(spark):
     assert "Join" not in plan and len(set(re.findall(r"ReusedSubquery Subquery subquery#(\d+)", plan))) == 1  # one lookup, one index
     none = with_product_code(df, table.limit(0), strategy="broadcast")
     assert none.where("product_code is not null").count() == 0 and none.count() == len(skus)
+
+
+def test_promo_label_builds_no_trimmed_name(spark):
+    names = ["[A] x", "  [B]", "  [C]  ", "[ D ]\t\n", "\x1c[E]\x1f", "[]x]", "[F", "x [G]", "", None, "[H\n]y\n", " [ ] "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(names)], "i int, n string")
+    trimmed = F.regexp_replace("n", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    want = F.when(trimmed.rlike(r"^\[([^\]]+)\]"), F.regexp_extract(trimmed, r"^\[([^\]]+)\]", 1))
+    out = df.select("n", promo_label(F.col("n")).alias("got"), want.alias("want"))
+    assert [r for r in out.collect() if r.got != r.want] == []
+    assert "regexp_replace" not in out.select("got")._jdf.queryExecution().optimizedPlan().toString()
