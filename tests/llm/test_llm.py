@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from orderlens.llm import chat, decontaminate, hash_index, language_id, near_dedup, packing, prefix_free, quality, suffix_tree_lm, token_files, tokens
+from orderlens.llm import chat, common, decontaminate, hash_index, language_id, near_dedup, packing, prefix_free, quality, suffix_tree_lm, token_files, tokens
 from orderlens.session import scratch_path
 from orderlens.verify import duckdb_con
 
@@ -243,6 +243,42 @@ def test_suffix_tree_counts_at_any_size(spark, monkeypatch):
     assert tree.root["N"] > 4_300_000 and levels >= 1 and suffix_tree_lm._lookup(tree.states, suffix_tree_lm.mix(fox, 31))[0] >= 0
 
 
+def test_suffix_tree_levels_move_no_states(spark):
+    """The join of the states with the answers shuffles the answers alone, whatever the number of files."""
+    rows = [(i, "a b c " * 30 + "a d e " * 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    states, _, _ = suffix_tree_lm.train(suffix_tree_lm.to_blocks(suffix_tree_lm._prepared(df, "doc_id", "text"), "text"), keep_tree=False)
+    for n in (5, 16):
+        bucketed = common.write_bucketed(states, "states", n)
+        told = suffix_tree_lm._collected(spark.createDataFrame([(0, 0, b"")], suffix_tree_lm.MESSAGE).repartition(n, "block"), "told")
+        plan = bucketed.join(told.hint("merge"), "block", "left")
+        assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and plan.count() == states.count()
+
+
+def test_suffix_tree_distinct_by_a_plain_sort():
+    r = np.random.default_rng(3)
+    for values in (r.integers(0, 50, 1000).astype(np.uint64), r.integers(0, 2**64 - 1, 1000, np.uint64), np.empty(0, np.uint64)):  # high bits equal; not; none
+        for got, want in zip(suffix_tree_lm._distinct(values), np.unique(values, return_index=True, return_inverse=True), strict=True):
+            assert (got == want).all()
+    for top in (40, 2**45):  # the pairs fit 64 bits with their places, or don't
+        a, b = r.integers(0, 4, 500), r.choice([0, 1, top], 500)
+        first, number = suffix_tree_lm._distinct_pairs(a, b)
+        pairs = list(zip(a[first].tolist(), b[first].tolist(), strict=True))
+        assert pairs == sorted(set(zip(a.tolist(), b.tolist(), strict=True))) and (a[first][number] == a).all() and (b[first][number] == b).all()
+
+
+def test_suffix_tree_message_needs_no_more_room_for_more_buckets():
+    """Messages carry numbers of words and counts: a block's do not grow with the number of buckets that the corpus has."""
+    r, s, n = np.random.default_rng(4), suffix_tree_lm.BlockState(), 200_000
+    s.dictionary, s.code = np.arange(1, 5002, dtype=np.uint64), np.minimum(r.zipf(1.3, n), 5000)
+    s.frequent, s.closed, s.held, s.held_out, s.total = np.ones(n, bool), np.zeros(n), np.array([n]), np.array([False]), np.zeros(1)
+    root = {"N": n, "V": 5001, "D": 0.5}
+    s.reach(1)
+    s.settle(np.log10(suffix_tree_lm._root_probability(root, 8 + 9_000 // (1 + s.code))), np.zeros(0))
+    few, many = (sum(len(m) for _, m in s.messages(1, k, True, root)) for k in (2, 16))
+    assert many < 1.3 * few
+
+
 # --- 4 and 10 ----------------------------------------------------------------------------
 
 
