@@ -1,6 +1,7 @@
 """CSV source and sink (IO4, IO5)."""
 
 import datetime as dt
+import os
 import tempfile
 from dataclasses import replace
 
@@ -44,6 +45,22 @@ def test_export_csv_roundtrip(spark):
     assert sorted(map(tuple, back.collect())) == rows
 
 
+def test_scratch_export_is_compressed_in_bounded_files(spark, monkeypatch):
+    from orderlens.sources import io
+
+    monkeypatch.setitem(io.SCRATCH_CSV, "maxRecordsPerFile", 300)
+    folders = []
+    monkeypatch.setattr(io, "scratch_path", lambda *_: folders.append(tempfile.mkdtemp(prefix="orderlens-csv-out-") + "/out") or folders[-1])
+    df = spark.range(1000).selectExpr("id", "if(id % 7 = 0, null, concat('order, ', id % 9)) AS s", "if(id = 5, 'two\nlines', '') AS t")
+    back = io.export_csv_roundtrip(spark, df.coalesce(1))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    files = [f for f in os.listdir(folders[0]) if f.startswith("part-")]
+    assert len(files) == 4 and all(f.endswith(".csv.gz") for f in files)
+    plain = export_csv(df, tempfile.mkdtemp(prefix="orderlens-csv-out-") + "/out")
+    size = lambda folder: sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder) if f.startswith("part-"))
+    assert size(folders[0]) < size(plain) / 2
+
+
 def test_materialize_model_roundtrip(spark):
     from orderlens.operators.model import MODEL_TABLES, Model, materialize_model
 
