@@ -171,3 +171,29 @@ def test_dashboard_from_stored_sums(spark, model):
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "fact_order_item" not in plan and f"{out.base}/dim_order/" not in plan, key
         assert rows(got) == rows(registry.QUERY_KEYS[key](model)), key
+
+
+def test_large_tables_are_written_by_groups_of_months(spark, model, lines, whole, monkeypatch, tmp_path):
+    """Some months at a time; nothing is left in the scratch folder, also for a table without rows."""
+    monkeypatch.setattr(st, "GROUP_BYTES", 1)
+    monkeypatch.setattr(st, "GROUPS", 4)
+    monkeypatch.setattr(st, "scratch_path", lambda _, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    seen = []
+    groups = st.ModelStore._groups
+
+    def counted(self, df):
+        for rows in groups(self, df):
+            seen.append({r[0] for r in rows.select(st.MONTH).distinct().collect()})
+            yield rows
+
+    monkeypatch.setattr(st.ModelStore, "_groups", counted)
+    out = new(spark)
+    out.build(lines.where(F.col("created_at") < CUT), model.cost)
+    fact = seen[: len(seen) // 2]
+    assert len(fact) > 2 and sum(map(len, fact)) == len(set.union(*fact))
+    out.refresh(lines.where(F.coalesce(F.col("created_at") >= CUT, F.lit(True))), model.cost)
+    same(out, whole)
+    assert not list(tmp_path.iterdir())
+    none = new(spark)
+    none.build(lines.limit(0), model.cost)
+    assert rows(none.table("fact_order_item")) == [] == rows(none.table("dim_order"))
