@@ -197,3 +197,20 @@ def test_large_tables_are_written_by_groups_of_months(spark, model, lines, whole
     none = new(spark)
     none.build(lines.limit(0), model.cost)
     assert rows(none.table("fact_order_item")) == [] == rows(none.table("dim_order"))
+
+
+def test_lines_of_chosen_orders_need_no_other_shuffle(spark, model):
+    from orderlens.plans.model_tables import _of_orders
+
+    odd = spark.createDataFrame([(1, "a", 1), (1, "a", 0), (1, "b", 0), (2, None, 1), (None, "a", 1), (3, "a", 0), (4, "b", 1), (4, "b", 1)],
+                                "order_number long, shop string, n int")
+    assert rows(_of_orders(odd, F.col("n") == 1)) == sorted([(1, 1, "a"), (0, 1, "a"), (1, 4, "b"), (1, 4, "b")], key=str)
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "true")
+        df = _of_orders(model.cleaned, F.col("created_at") >= CUT)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 4, plan  # lines and orders, twice
+    finally:
+        spark.conf.set(name, before)
