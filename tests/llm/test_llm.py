@@ -267,6 +267,44 @@ def test_suffix_tree_distinct_by_a_plain_sort():
         assert pairs == sorted(set(zip(a.tolist(), b.tolist(), strict=True))) and (a[first][number] == a).all() and (b[first][number] == b).all()
 
 
+def test_suffix_tree_sorts_small_numbers_and_pairs_without_an_argsort(monkeypatch):
+    """Numbers of words, pairs of them and scores, of which the old code sorted places."""
+    r = np.random.default_rng(5)
+    number = r.integers(0, 1 << 20, 5000).astype(np.uint64)
+    scores = np.log10(r.integers(1, 300, 5000) / 7e5)
+    wanted = [np.unique(x, return_index=True, return_inverse=True) for x in (number, number << np.uint64(32) | number[::-1])]
+    monkeypatch.setattr(np, "unique", None)
+    for x, want in zip((number, number << np.uint64(32) | number[::-1]), wanted, strict=True):
+        for got, own in zip(suffix_tree_lm._distinct(x), want, strict=True):
+            assert (got == own).all()
+    coded, at = suffix_tree_lm._decoded(*suffix_tree_lm._coded(scores), np.float64)
+    assert (coded[at] == scores).all() and len(coded) == len(set(scores.tolist()))
+    code = r.integers(0, 40, 3000)  # of a dictionary with repeats and values that are not used
+    coded, at = suffix_tree_lm._decoded(*suffix_tree_lm._coded(number[:60] % np.uint64(9), code))
+    assert (coded[at] == number[code] % np.uint64(9)).all() and len(coded) == len(set(coded.tolist()))
+
+
+def test_suffix_tree_takes_few_tokens_through_all_levels_in_one_task(spark, monkeypatch):
+    """A text that occurs often has a level for each of its words; the scores are the same to the last bit."""
+    r = np.random.default_rng(6)
+    word = lambda n: " ".join(f"w{x}" for x in r.integers(0, 30, n))
+    often = " ".join(f"v{x}" for x in range(12)) + " " + " ".join(r.permutation([f"v{x % 6}" for x in range(18)]))
+    rows = [(k, f"{word(9)} {often if k % 3 else word(30)} {word(5)}") for k in range(120)] + [(None, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    levels, tails = [], []
+    level, last = suffix_tree_lm._level, suffix_tree_lm._last_levels
+    monkeypatch.setattr(suffix_tree_lm, "_level", lambda *a: levels.append(a[1]) or level(*a))
+    monkeypatch.setattr(suffix_tree_lm, "_last_levels", lambda *a: tails.append(last(*a)) or tails[-1])
+    got = {}
+    for most in (suffix_tree_lm.TAIL_TOKENS, 0):
+        levels.clear()
+        monkeypatch.setattr(suffix_tree_lm, "TAIL_TOKENS", most)
+        got[most] = sorted(map(tuple, suffix_tree_lm.score_texts(df).collect()), key=str), len(levels)
+    (one, n_one), (many, n_many) = got.values()
+    assert one == many and len(one) == 122
+    assert n_one == 1 and n_many > 2 and len(tails) == 1 and tails[0][1] == n_many - 1
+
+
 def test_suffix_tree_message_needs_no_more_room_for_more_buckets():
     """Messages carry numbers of words and counts: a block's do not grow with the number of buckets that the corpus has."""
     r, s, n = np.random.default_rng(4), suffix_tree_lm.BlockState(), 200_000
